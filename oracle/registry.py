@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import features
+from oracle import features, ledgers, market
 
-MODULES = [features]
+MODULES = [features, market, ledgers]
 
 
 def oracle_sql() -> dict[str, str]:

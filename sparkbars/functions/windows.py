@@ -75,4 +75,5 @@ def as_points(*flags: Column) -> Column:
 
 
 def half_even(column: Column, digits: int) -> Column:
-    return F.bround(column, digits)
+    """Half-even rounding of the decimal value, without binary noise in the last digits."""
+    return F.bround(F.round(column, digits + 4), digits)

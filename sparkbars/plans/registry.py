@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkbars.plans import features
+from sparkbars.plans import features, ledgers, market
 
 FLAGSHIP = "tag_no_supply"
-MODULES = [features]
+MODULES = [features, market, ledgers]
 
 
 def queries() -> dict:

@@ -24,7 +24,7 @@ def _weekly(spark: SparkSession, root: str) -> DataFrame:
     trades = table(spark, root, "lineitem").where("l_quantity > 0 and l_extendedprice > 0").select(
         F.col("l_suppkey").alias("sym"),
         F.to_date("l_shipdate").alias("day"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.col("l_quantity").cast("bigint").alias("qty"),
     )
     days = (
@@ -73,14 +73,14 @@ def universe(spark: SparkSession, root: str) -> DataFrame:
 def market_daily(spark: SparkSession, root: str) -> DataFrame:
     """Market activity per date, in currency units (summed exactly in cents)."""
     return table(spark, root, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(
-        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("amv"),
+        (F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("amv"),
         F.count(F.lit(1)).alias("stock_count"),
     )
 
 
 def index_daily(spark: SparkSession, root: str) -> DataFrame:
     """A market index per date: mean order value."""
-    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    cents = F.sum(F.rint(F.col("o_totalprice") * 100).cast("bigint"))
     return table(spark, root, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(
         (cents / F.count(F.lit(1)) / 100.0).alias("close"))
 
@@ -118,5 +118,5 @@ def push_logs(spark: SparkSession, root: str) -> DataFrame:
         F.col("event_id").alias("id"), F.col("ts").alias("push_time"),
         F.when(F.col("event_type").isin("click", "view"), "intraday").otherwise("after_hours").alias("mode"),
         k.alias("signal_count"), F.when(F.col("event_type") != "error", 1).otherwise(0).alias("success"),
-        F.round(F.col("value") * 100).cast("bigint").alias("duration_ms"), "user_id", "event_type",
+        F.rint(F.col("value") * 100).cast("bigint").alias("duration_ms"), "user_id", "event_type",
     )
