@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import features, ledgers, market
+from oracle import features, ledgers, maintenance, market, operations, scan, streams
 
-MODULES = [features, market, ledgers]
+MODULES = [features, market, ledgers, maintenance, operations, scan, streams]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkbars.plans import features, ledgers, market
+from sparkbars.plans import features, ledgers, maintenance, market, operations, scan, streams
 
-FLAGSHIP = "tag_no_supply"
-MODULES = [features, market, ledgers]
+FLAGSHIP = "scan_all_dates"
+MODULES = [features, market, ledgers, maintenance, operations, scan, streams]
 
 
 def queries() -> dict:
