@@ -10,16 +10,21 @@ from sparkbars.streaming import streams as s
 BARS = "sym string, start timestamp, open double, high double, low double, close double, volume double"
 
 
+def _naive(df):
+    """Window starts as zone-free timestamps, like the event table's own column."""
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def stream_ohlcv_bars(spark, root):
-    return s.run(s.ohlcv(s.ticks(spark, root)), "ohlcv")
+    return _naive(s.run(s.ohlcv(s.ticks(spark, root)), "ohlcv"))
 
 
 def stream_sliding_volume(spark, root):
-    return s.run(s.sliding_volume(s.ticks(spark, root)), "sliding")
+    return _naive(s.run(s.sliding_volume(s.ticks(spark, root)), "sliding"))
 
 
 def stream_sessions(spark, root):
-    return s.run(s.sessions(s.ticks(spark, root)), "sessions")
+    return _naive(s.run(s.sessions(s.ticks(spark, root)), "sessions"))
 
 
 def stream_quote_splice(spark, root):
@@ -31,11 +36,11 @@ def stream_quote_splice(spark, root):
 
 
 def stream_upsert_bars(spark, root):
-    return s.run_batches(s.ohlcv(s.ticks(spark, root)), "upsert", s.upsert, BARS)
+    return _naive(s.run_batches(s.ohlcv(s.ticks(spark, root)), "upsert", s.upsert, BARS))
 
 
 def stream_regime_latch(spark, root):
-    return s.run_batches(s.ohlcv(s.ticks(spark, root)), "latch", s.latch_update(20.0, 5.0), "sym string, start timestamp, state int")
+    return _naive(s.run_batches(s.ohlcv(s.ticks(spark, root)), "latch", s.latch_update(20.0, 5.0), "sym string, start timestamp, state int"))
 
 
 def stream_dedup(spark, root):

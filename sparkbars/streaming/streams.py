@@ -18,7 +18,8 @@ DELAY = "10 minutes"
 
 def ticks(spark: SparkSession, root: str) -> DataFrame:
     """Event stream as ticks: the type is the symbol, the value the price."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1000).parquet(f"{root}/events.parquet")
+    # A pattern, because the file source takes a plain path for a partition root; it matches a file or a folder.
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1000).parquet(f"{root}/event[s].parquet")
     return raw.select("event_id", "ts", "user_id", F.col("event_type").alias("sym"), F.col("value").alias("price"),
                       F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
