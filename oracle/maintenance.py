@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 from oracle.ledgers import GATES
-from oracle.market import MOMENTUM, REGIME_CTE, allow_abs
+from oracle.market import MOMENTUM, REGIME_CTE, allow_abs, grid_ctes
 from oracle.prelude import BARS, BARS_RAW, INDEX, MARKET, UNIVERSE, base, query, tags
-from sparkbars.params import BEST
+from sparkbars.params import BEST, FINE_GRID
 
 PRICES = "round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 2) AS volume"
 OLD = "old AS (SELECT * FROM bars WHERE d < DATE '2000-01-01' + ((sym % 5) * 14)::INT)"
@@ -89,6 +89,9 @@ def oracle_sql() -> dict[str, str]:
       (SELECT max(d) AS latest FROM bars), (SELECT max(d) AS last_open FROM calendar WHERE is_open),
       (SELECT max(d) AS open_before FROM calendar WHERE is_open AND d < (SELECT max(d) FROM calendar WHERE is_open))""", CAL)
     o["snapshot_sufficiency"] = b("SELECT count(*) AS rows, count(DISTINCT sym) AS symbols, count(*) >= 1000 AS enough_rows, count(DISTINCT sym) >= 1000 AS enough_symbols FROM bars")
+    o["report_json"] = query("SELECT industry, sym, count(*) AS signals, max(d) AS last FROM sig JOIN universe USING (sym) WHERE signal_v64 GROUP BY 1, 2",
+                             base(), tags(BEST), UNIVERSE)
+    o["grid_csv"] = query("SELECT smooth, cost, upper, lower, total_days, bull_days, bear_days, transitions FROM scored", *grid_ctes(FINE_GRID, 0.5, 3))
     o["clean_bars"] = b(f"SELECT {cols} FROM dirty WHERE {GOOD}", DIRTY)
     o["clean_jump_rows"] = b(f"SELECT {cols} FROM cleaned", DIRTY, jumps("dirty", "cleaned"))
     fill = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY sym ORDER BY d ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("open", "high", "low", "close", "volume"))

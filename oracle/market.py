@@ -189,7 +189,7 @@ def oracle_sql() -> dict[str, str]:
       count(*) FILTER (momentum > 0) OVER () AS hot, count(*) FILTER (momentum <= 0) OVER () AS cold,
       count(*) FILTER (rotation = '轮入') OVER () AS rotated_in, count(*) FILTER (rotation = '轮出') OVER () AS rotated_out,
       count(*) FILTER (rotation = '加速') OVER () AS faster FROM stats) WHERE top <= 5 OR bottom <= 3""", *full)
-    o["industry_ma_lines"] = query("""SELECT industry, d, round(avg(white_line), 4) AS white, round(avg(yellow_line), 7) AS yellow
+    o["industry_ma_lines"] = query("""SELECT industry, d, round(avg(white_line), 4) AS white, round(avg(yellow_line), 9) AS yellow
       FROM ind JOIN universe USING (sym) WHERE industry IN (SELECT industry FROM ind JOIN universe USING (sym) GROUP BY 1 HAVING count(DISTINCT sym) >= 3)
       GROUP BY 1, 2""", base(), UNIVERSE)
     o["asof_nearest_momentum"] = query("""SELECT s.sym, s.d, s.industry, round((SELECT arg_min(m.momentum, abs(m.d - s.d) * 2 + (m.d > s.d)::INT) FROM mom m

@@ -32,14 +32,12 @@ def ratio(a: str, b: str) -> str:
 
 
 WEEKLY = f"""
-trades AS (SELECT l_suppkey AS sym, l_shipdate::DATE AS day, round(l_extendedprice * 100)::BIGINT AS cents,
-             l_quantity::BIGINT AS qty FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0),
-days AS (SELECT sym, day, sum(cents)::BIGINT AS cents, sum(qty)::BIGINT AS qty,
-             max({ratio('cents', '100 * qty')})::BIGINT AS hi, min({ratio('cents', '100 * qty')})::BIGINT AS lo
-           FROM trades GROUP BY sym, day),
-days2 AS (SELECT *, {ratio('cents', '100 * qty')} AS px FROM days),
-weekly AS (SELECT sym, date_trunc('week', day)::DATE AS d, arg_min(px, day) AS op, max(hi) AS hi, min(lo) AS lo,
-             arg_max(px, day) AS cl, sum(cents)::BIGINT AS cents, sum(qty)::BIGINT AS qty FROM days2 GROUP BY 1, 2)"""
+trades AS (SELECT l_suppkey AS sym, date_trunc('week', l_shipdate)::DATE AS d, round(l_extendedprice * 100)::BIGINT AS cents, l_quantity::BIGINT AS qty,
+             ((isodow(l_shipdate) - 1) * (1::BIGINT << 54) + l_orderkey) * 8 + l_linenumber AS place
+           FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0),
+ticked AS (SELECT *, {ratio('cents', '100 * qty')} AS tick FROM trades),
+weekly AS (SELECT sym, d, arg_min(tick, place) AS op, max(tick) AS hi, min(tick) AS lo, arg_max(tick, place) AS cl,
+             sum(cents)::BIGINT AS cents, sum(qty)::BIGINT AS qty FROM ticked GROUP BY 1, 2)"""
 
 
 def _as_bars(src: str) -> str:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Rows per block for recurrences; see ``ewm``.
 BLOCK = 512
+# Fixed-point scale of running price sums.
+FIXED = 1e9
 
 
 def by_symbol():
@@ -36,8 +38,20 @@ def sequence(bars: DataFrame) -> DataFrame:
     Bars are unique on (sym, d), so one symbol never holds more rows than the calendar has
     dates; trade skew is absorbed earlier by the pre-aggregation that builds the bars.
     """
-    rn = F.row_number().over(Window.partitionBy("sym").orderBy("d"))
-    return bars.withColumn("rn", rn).withColumn("blk", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
+    w = Window.partitionBy("sym").orderBy("d")
+    fixed = F.rint(F.col("close") * FIXED).cast("bigint")
+    running = F.sum(fixed).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return bars.withColumns({"rn": F.row_number().over(w), "close_sum": running}).withColumn(
+        "blk", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
+
+
+def close_mean(n: int) -> Column:
+    """Mean close of the last n rows as a difference of two running sums.
+
+    The cost per row does not depend on n, and fixed-point sums lose nothing over time.
+    """
+    before = F.coalesce(F.lag("close_sum", n).over(by_symbol()), F.lit(0))
+    return (F.col("close_sum") - before) / F.least("rn", F.lit(n)) / FIXED
 
 
 def prior(column, n: int = 1) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkbars.functions.recurrences import center_of_mass, ewm, span
-from sparkbars.functions.windows import by_symbol, gated, last_n, previous_n, prior, sequence, so_far
+from sparkbars.functions.windows import by_symbol, close_mean, gated, last_n, previous_n, prior, sequence, so_far
 
 GUARD = 1e-8
+FLOW_BARS = 8  # window of the money-flow structure
 
 
 def candles(df: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def rolling(df: DataFrame) -> DataFrame:
     """All first-level windows over raw bar columns (one Window node)."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     out = {f"prev_{c}": prior(c) for c in ("open", "high", "low", "close", "volume", "amplitude")}
-    out |= {f"ma{n}": F.avg("close").over(last_n(n)) for n in (14, 28, 57, 114)}
+    out |= {f"ma{n}": close_mean(n) for n in (14, 28, 57, 114)}
     out |= {
         "volume_ma": F.avg("volume").over(last_n(20)),
         "low9": F.min("low").over(last_n(9)),
@@ -39,6 +40,7 @@ def rolling(df: DataFrame) -> DataFrame:
         "low10": gated(F.min, "close", last_n(10), 5),
         "low12": gated(F.min, "close", last_n(12), 6),
         "volume_ma10": gated(F.avg, "volume", last_n(10), 5),
+        "flow_high": F.max("close").over(last_n(FLOW_BARS)),
     }
     return df.withColumns(out)
 

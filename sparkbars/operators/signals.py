@@ -12,157 +12,135 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkbars.functions.windows import any_in, as_points, count_in, last_n, previous_n, prior, seen_before, truth
-from sparkbars.operators.indicators import GUARD
+from sparkbars.operators.indicators import FLOW_BARS, GUARD
 from sparkbars.params import Rules
 
 c = F.col
 
 
-def dry_tags(df: DataFrame, r: Rules) -> DataFrame:
-    """Supply running dry, and bars that test the slow line."""
-    return df.withColumns({
-        "trend_ok": truth((c("white_line") > c("yellow_line")) & (c("close") > c("yellow_line"))),
+def row_tags(df: DataFrame, r: Rules) -> DataFrame:
+    """Everything decided by one bar and its indicators, for all stages."""
+    change = F.coalesce(c("change"), F.lit(0.0))
+    up, down = truth(c("close") > c("prev_close")), truth(c("close") < c("prev_close"))
+    vol = c("volume") / F.nullif("prev_volume", F.lit(0.0))
+    slow, atr = c("yellow_line"), c("atr14")
+    if r.flow_lookback != FLOW_BARS:
+        df = df.withColumn("flow_high", F.max("close").over(last_n(r.flow_lookback)))
+    df = df.withColumns({
+        # supply running dry, and bars that test the slow line
+        "trend_ok": truth((c("white_line") > slow) & (c("close") > slow)),
         "no_supply": truth((c("volume") < c("volume_ma") * r.dry_volume) & (c("volume") < c("prev_volume"))
                            & (c("amplitude") < c("prev_amplitude"))),
-        "test_bar": truth((c("low") <= c("yellow_line") + r.touch_band * c("atr14")) & (c("close") > c("low"))
+        "test_bar": truth((c("low") <= slow + r.touch_band * atr) & (c("close") > c("low"))
                           & (c("lower_shadow") > c("body") * 1.5)
                           & (c("volume") < c("volume_ma") * r.test_volume)),
-    }).withColumns({
-        "dry": c("no_supply") | c("test_bar"),
-        "dry_volume": F.when(c("no_supply") | c("test_bar"), c("volume")).otherwise(F.lit(0.0)),
-    })
-
-
-def anchor_tags(df: DataFrame, r: Rules) -> DataFrame:
-    """Demand bar with its guard rails; the anchor is the conjunction of all of them."""
-    df = df.withColumns({
-        "dry_recent": seen_before("dry", 3),
-        "dry_volume_max": F.max("dry_volume").over(previous_n(3)),
         "lively": truth((c("daily_return") > 9.5) | truth(c("amplitude") / (c("prev_close") + GUARD) > 0.10)),
-    })
-    demand = (c("volume") > c("volume_ma") * r.demand_vs_average) & (c("volume") > c("dry_volume_max") * r.demand_vs_dry)
-    df = df.withColumns({
-        "active": any_in("lively", 20),
         "dragon": truth(c("max_return30") > c("atr30") / (c("close") + GUARD) * r.dragon_multiple),
-        "demand_bar": truth((c("close") > c("open")) & (c("body") / (c("amplitude") + GUARD) > r.body_share)
-                            & (c("close_position") > r.close_location) & demand
-                            & (c("close") > F.greatest("prev_open", "prev_close"))),
-        "in_support": truth(c("close") > c("yellow_line") - r.support_band * c("atr14")),
-        "not_over": truth(c("close") <= c("yellow_line") + r.overshoot_band * c("atr14")),
-    })
-    anchor = reduce(lambda a, b: a & b, [c(n) for n in (
-        "trend_ok", "dry_recent", "demand_bar", "in_support", "not_over", "active", "dragon")])
-    return df.withColumn("anchor", anchor)
-
-
-def quiet_tags(df: DataFrame, r: Rules) -> DataFrame:
-    """Quiet pull-back after an anchor, and how many of its five conditions hold."""
-    df = df.withColumns({
-        "anchor_recent": seen_before("anchor", r.window),
+        "in_support": truth(c("close") > slow - r.support_band * atr),
+        "not_over": truth(c("close") <= slow + r.overshoot_band * atr),
+        # quiet pull-back
         "oversold": truth(c("j") < r.oversold),
         "volume_quiet": truth(c("volume") < c("volume_ma") * r.quiet_volume),
         "body_quiet": truth(c("body") / (c("close") + GUARD) < r.quiet_body),
-        "support_ok": truth(c("close") > c("yellow_line") - r.quiet_support * c("atr14")),
-    })
-    parts = [c(n) for n in ("anchor_recent", "oversold", "volume_quiet", "body_quiet", "support_ok")]
-    rebound = truth(c("lower_shadow") > c("body") * r.rebound_shadow) | truth(c("close") > c("open")) | truth(
-        c("j") > c("prev_j"))
-    return df.withColumns({
-        "signal_v60": reduce(lambda a, b: a & b, parts), "near_count": as_points(*parts), "rebound_ok": rebound,
-    }).withColumn("signal_v61", c("signal_v60") & c("rebound_ok") if r.rebound else c("signal_v60"))
-
-
-def micro_tags(df: DataFrame, r: Rules) -> DataFrame:
-    """Small-scale stabilisation: average price, inside bar, shrinking range, lower wick."""
-    ratio = c("volume") / F.nullif("volume_ma", F.lit(0.0))
-    df = df.withColumns({
+        "support_ok": truth(c("close") > slow - r.quiet_support * atr),
+        "rebound_ok": truth(c("lower_shadow") > c("body") * r.rebound_shadow) | truth(c("close") > c("open"))
+        | truth(c("j") > c("prev_j")),
+        # small-scale stabilisation
         "above_vwap": truth(c("close") > c("vwap")),
         "inside_bar": truth((c("high") <= c("prev_high")) & (c("low") >= c("prev_low"))),
-        "range_shrink": truth((c("atr14") < c("prev_atr")) & (c("prev_atr") < c("prev2_atr"))),
-        "lower_wick": truth((c("lower_shadow") > c("body") * 0.8) & (ratio < 0.9)),
-    })
-    chosen = [c(n) for n, on in (("above_vwap", r.micro_vwap), ("inside_bar", r.micro_inside),
-                                 ("range_shrink", r.micro_shrink), ("lower_wick", r.micro_wick)) if on]
-    if not chosen:
-        combined = F.lit(True)
-    else:
-        combined = reduce((lambda a, b: a & b) if r.micro_all else (lambda a, b: a | b), chosen)
-    return df.withColumn("micro_ok", combined).withColumn(
-        "signal_v63", c("signal_v61") & c("micro_ok") if r.micro else c("signal_v61"))
-
-
-def support_factors(df: DataFrame) -> DataFrame:
-    """Five footprints of a large buyer (0/1 each) and their sum."""
-    calm = truth((c("volume") < c("volume_ma") * 0.85) & (c("close") >= c("low_before5") - 0.5 * c("atr14")))
-    touch = truth((c("low") <= c("yellow_line") + 0.8 * c("atr14")) & (c("low") >= c("yellow_line") - 0.8 * c("atr14"))
-                  & (c("close") >= c("yellow_line") - 0.1 * c("atr14")))
-    gather = truth(c("lower_shadow") > c("body") * 1.5) | truth(c("close_position") > 0.65) | truth(
-        (c("close") > c("open")) & (c("volume") < c("volume_ma") * 0.8) & (c("body") / (c("close") + GUARD) < 0.03))
-    df = df.withColumns({"_calm": calm, "_touch": touch, "_gather": gather})
-    at_low = c("close") <= c("low10") * 1.01
-    df = df.withColumns({
-        "factor_a": count_in("_calm", 2) >= 2,
-        "factor_b": truth(at_low & (c("obv") > c("low_obv10") * 1.05)),
-        "factor_b_volume": truth(at_low & (c("volume") < c("volume_ma10"))),
-        "factor_c": count_in("_touch", 8) >= 2,
-        "factor_d": count_in("_gather", 3) >= 1,
+        "range_shrink": truth((atr < c("prev_atr")) & (c("prev_atr") < c("prev2_atr"))),
+        "lower_wick": truth((c("lower_shadow") > c("body") * 0.8)
+                            & (c("volume") / F.nullif("volume_ma", F.lit(0.0)) < 0.9)),
+        # footprints of a large buyer
+        "calm": truth((c("volume") < c("volume_ma") * 0.85) & (c("close") >= c("low_before5") - 0.5 * atr)),
+        "touch": truth((c("low") <= slow + 0.8 * atr) & (c("low") >= slow - 0.8 * atr) & (c("close") >= slow - 0.1 * atr)),
+        "gather": truth(c("lower_shadow") > c("body") * 1.5) | truth(c("close_position") > 0.65) | truth(
+            (c("close") > c("open")) & (c("volume") < c("volume_ma") * 0.8) & (c("body") / (c("close") + GUARD) < 0.03)),
+        "factor_b": truth((c("close") <= c("low10") * 1.01) & (c("obv") > c("low_obv10") * 1.05)),
+        "factor_b_volume": truth((c("close") <= c("low10") * 1.01) & (c("volume") < c("volume_ma10"))),
         "factor_e": truth((c("close") <= c("low12") * 1.01) & (c("macd_hist") > c("low_hist12") + 1e-4)
                           & (c("macd_hist") < 0)),
+        # money flow
+        "flow_up": truth(up & (change >= r.flow_up_return) & (vol >= r.flow_up_volume)),
+        "flow_down": down,
+        "flow_down_quiet": truth(down & (vol <= r.flow_pullback_volume)),
+        "flow_gain": F.when(up, c("volume") * F.greatest(change, F.lit(0.0))).otherwise(F.lit(0.0)),
+        "flow_loss": F.when(down, c("volume") * -F.least(change, F.lit(0.0))).otherwise(F.lit(0.0)),
+        "flow_heavy": truth((c("close") >= c("flow_high") * r.flow_near_high) & down
+                            & ((c("prev_close") - c("close")) / F.nullif("prev_close", F.lit(0.0)) >= r.flow_heavy_drop)
+                            & (vol >= r.flow_heavy_volume)),
+        "crossed": truth((c("white_line") > slow) & (c("prev_white") <= c("prev_yellow"))),
+        "rising": truth(slow > c("yellow_ago")),
     })
-    return df.withColumn("support_score", as_points(*[c(f"factor_{x}") for x in "abcde"]))
+    dry = c("no_supply") | c("test_bar")
+    return df.withColumns({"dry": dry, "dry_volume": F.when(dry, c("volume")).otherwise(F.lit(0.0))})
 
 
-def smart_money(df: DataFrame, r: Rules) -> DataFrame:
-    """Volume/price structure of the last bars: four flags, their sum and the verdict."""
+def tag_windows(df: DataFrame, r: Rules) -> DataFrame:
+    """All windows over row tags: one Window node for every stage."""
     n = r.flow_lookback
-    change = F.coalesce(c("change"), F.lit(0.0))
-    up, down = truth(c("close") > c("prev_close")), truth(c("close") < c("prev_close"))
-    vol = c("volume") / F.nullif("prev_volume", F.lit(0.0))
-    df = df.withColumns({
-        "_up": truth(up & (change >= r.flow_up_return) & (vol >= r.flow_up_volume)),
-        "_down": down,
-        "_down_quiet": truth(down & (vol <= r.flow_pullback_volume)),
-        "_gain": F.when(up, c("volume") * F.greatest(change, F.lit(0.0))).otherwise(F.lit(0.0)),
-        "_loss": F.when(down, c("volume") * -F.least(change, F.lit(0.0))).otherwise(F.lit(0.0)),
-        "_high": F.max("close").over(last_n(n)),
-        "_vol": vol,
-    })
-    heavy = truth((c("close") >= c("_high") * r.flow_near_high) & c("_down")
-                  & ((c("prev_close") - c("close")) / F.nullif("prev_close", F.lit(0.0)) >= r.flow_heavy_drop)
-                  & (c("_vol") >= r.flow_heavy_volume))
-    df = df.withColumn("_heavy", heavy)
-    downs = count_in("_down", n)
-    df = df.withColumns({
-        "sm_strong_up": count_in("_up", n) >= 1,
-        "sm_pullback_shrink": (downs == 0) | truth(count_in("_down_quiet", n) / F.nullif(downs, F.lit(0))
+    downs = count_in("flow_down", n)
+    return df.withColumns({
+        "dry_recent": seen_before("dry", 3),
+        "dry_volume_max": F.max("dry_volume").over(previous_n(3)),
+        "active": any_in("lively", 20),
+        "factor_a": count_in("calm", 2) >= 2,
+        "factor_c": count_in("touch", 8) >= 2,
+        "factor_d": count_in("gather", 3) >= 1,
+        "sm_strong_up": count_in("flow_up", n) >= 1,
+        "sm_pullback_shrink": (downs == 0) | truth(count_in("flow_down_quiet", n) / F.nullif(downs, F.lit(0))
                                                    >= r.flow_pullback_share),
-        "sm_dominance": F.sum("_gain").over(last_n(n)) >= F.sum("_loss").over(last_n(n)) * r.flow_dominance,
-        "sm_no_distribution": count_in("_heavy", n) <= r.flow_heavy_days,
+        "sm_dominance": F.sum("flow_gain").over(last_n(n)) >= F.sum("flow_loss").over(last_n(n)) * r.flow_dominance,
+        "sm_no_distribution": count_in("flow_heavy", n) <= r.flow_heavy_days,
+        "crossed_recent": any_in("crossed", r.cross_lookback),
     })
-    score = as_points(c("sm_strong_up"), c("sm_pullback_shrink"), c("sm_dominance"), c("sm_no_distribution"))
-    return df.withColumn("flow_score", score).withColumn("flow_ok", c("flow_score") >= r.flow_min_score)
+
+
+def anchors(df: DataFrame, r: Rules) -> DataFrame:
+    """Demand bar within its guard rails after supply ran dry, and whether one was seen lately."""
+    demand = (c("volume") > c("volume_ma") * r.demand_vs_average) & (c("volume") > c("dry_volume_max") * r.demand_vs_dry)
+    df = df.withColumn("demand_bar", truth(
+        (c("close") > c("open")) & (c("body") / (c("amplitude") + GUARD) > r.body_share)
+        & (c("close_position") > r.close_location) & demand & (c("close") > F.greatest("prev_open", "prev_close"))))
+    anchor = reduce(lambda a, b: a & b, [c(n) for n in (
+        "trend_ok", "dry_recent", "demand_bar", "in_support", "not_over", "active", "dragon")])
+    return df.withColumn("anchor", anchor).withColumn("anchor_recent", seen_before("anchor", r.window))
+
+
+def quiet_signals(df: DataFrame, r: Rules) -> DataFrame:
+    """Quiet pull-back after an anchor, how many of its five conditions hold, and the confirmations."""
+    parts = [c(n) for n in ("anchor_recent", "oversold", "volume_quiet", "body_quiet", "support_ok")]
+    chosen = [c(n) for n, on in (("above_vwap", r.micro_vwap), ("inside_bar", r.micro_inside),
+                                 ("range_shrink", r.micro_shrink), ("lower_wick", r.micro_wick)) if on]
+    combine = (lambda a, b: a & b) if r.micro_all else (lambda a, b: a | b)
+    df = df.withColumns({
+        "signal_v60": reduce(lambda a, b: a & b, parts), "near_count": as_points(*parts),
+        "micro_ok": reduce(combine, chosen) if chosen else F.lit(True)})
+    df = df.withColumn("signal_v61", c("signal_v60") & c("rebound_ok") if r.rebound else c("signal_v60"))
+    return df.withColumn("signal_v63", c("signal_v61") & c("micro_ok") if r.micro else c("signal_v61"))
 
 
 def quality_scores(df: DataFrame, r: Rules) -> DataFrame:
-    """Entry quality: five partial scores and their sum, capped at eight."""
+    """Entry quality: partial scores of 0-2 points and their sum, capped at eight."""
     ratio = c("volume") / (c("volume_ma") + GUARD)
-    crossed = truth((c("white_line") > c("yellow_line")) & (c("prev_white") <= c("prev_yellow")))
-    df = df.withColumn("_crossed", crossed)
     candle = as_points(truth(c("lower_shadow") > c("body") * r.candle_shadow),
                        truth(c("body") / (c("close") + GUARD) < r.candle_body), truth(c("close") > c("open")))
     near = prior("near_count") >= r.persist_conditions
     near2 = prior("near_count", 2) >= r.persist_conditions
     df = df.withColumns({
+        "support_score": as_points(*[c(f"factor_{x}") for x in "abcde"]),
+        "flow_score": as_points(c("sm_strong_up"), c("sm_pullback_shrink"), c("sm_dominance"), c("sm_no_distribution")),
+        "eq_persist": F.when(truth(near) | truth(near2), r.persist_points).otherwise(0),
+    })
+    df = df.withColumns({
+        "flow_ok": c("flow_score") >= r.flow_min_score,
         "eq_j": F.when(c("j") < r.j_extreme, 2).when(c("j") < r.j_low, 1).otherwise(0),
         "eq_volume": F.when(ratio < r.volume_extreme, 2).when(ratio < r.volume_low, 1).otherwise(0),
         "eq_candle": F.least(candle, F.lit(r.candle_cap)),
-        "eq_ma": F.when(c("white_line") > c("yellow_line"), 2)
-        .when(any_in("_crossed", r.cross_lookback), 1)
+        "eq_ma": F.when(c("white_line") > c("yellow_line"), 2).when(c("crossed_recent"), 1)
         .when(F.abs(c("white_line") - c("yellow_line")) < r.converge_band * c("atr14"), 1).otherwise(0),
         "eq_support": F.when(c("support_score") >= r.support_two, 2).when(c("support_score") >= r.support_one, 1)
         .otherwise(0),
-        "eq_persist": F.when(truth(near) | truth(near2), r.persist_points).otherwise(0),
-        "rising": truth(c("yellow_line") > c("yellow_ago")),
     })
     total = c("eq_j") + c("eq_volume") + c("eq_candle") + c("eq_ma") + c("eq_support")
     if r.persist:
@@ -194,6 +172,6 @@ def final_signals(df: DataFrame, r: Rules) -> DataFrame:
 
 def signals(df: DataFrame, r: Rules) -> DataFrame:
     """All tags, scores and signals of a rule set on top of ``indicators``."""
-    for step in (dry_tags, anchor_tags, quiet_tags, micro_tags):
+    for step in (row_tags, tag_windows, anchors, quiet_signals, quality_scores, final_signals):
         df = step(df, r)
-    return final_signals(quality_scores(smart_money(support_factors(df), r), r), r)
+    return df

@@ -210,7 +210,8 @@ def report_json(spark, root):
     per = df.groupBy("sym", "industry").agg(F.count(F.lit(1)).alias("signals"), F.max("d").alias("last"))
     path = scratch(spark, "report")
     per.select("industry", F.struct("sym", "signals", "last").alias("item")).write.json(path)
-    return spark.read.text(path)
+    back = spark.read.schema("industry string, item struct<sym: bigint, signals: bigint, last: date>").json(path)
+    return back.select("industry", "item.*")
 
 
 def grid_csv(spark, root):

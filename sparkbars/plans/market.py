@@ -230,7 +230,7 @@ def industry_topn(spark, root):
 
 def industry_ma_lines(spark, root):
     lines = industry.ma_lines(indicators(views.bars(spark, root)), views.universe(spark, root))
-    return lines.select("industry", "d", F.round("white", 4).alias("white"), F.round("yellow", 7).alias("yellow"))
+    return lines.select("industry", "d", F.round("white", 4).alias("white"), F.round("yellow", 9).alias("yellow"))
 
 
 def asof_nearest_momentum(spark, root):

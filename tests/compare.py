@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -75,15 +77,19 @@ def main(root: str, only: list[str]) -> int:
     con = connect(root)
     queries, oracle = entry.queries(), entry.oracle_sql()
     bad = 0
-    for name, make in queries.items():
-        if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
-            continue
+    chosen = [n for n in queries if not only or any(n == o or (o.endswith("*") and n.startswith(o[:-1])) for o in only)]
+
+    def check(name: str) -> dict:
         try:
-            res = compare(spark, con, root, name, make, oracle.get(name))
+            return compare(spark, con.cursor(), root, name, queries[name], oracle.get(name))
         except Exception as exc:  # report every failing query, not only the first
-            res = {"query": name, "ok": False, "problems": [str(exc)[:700]]}
             if len(only) == 1:
                 traceback.print_exc()
+            return {"query": name, "ok": False, "problems": [str(exc)[:700]]}
+
+    workers = int(os.environ.get("COMPARE_WORKERS", "1"))
+    for res in ThreadPoolExecutor(workers).map(check, chosen):
+        name = res["query"]
         bad += not res["ok"]
         print(("OK  " if res["ok"] else "FAIL"), res, flush=True)
         if res.get("rows") == 0:
