@@ -171,35 +171,41 @@ def grid_series(series: DataFrame, settings: dict) -> DataFrame:
     df = series.select("d", "amv", "ret")
     df = df.withColumns({f"s{n}": full_mean("amv", n) for n in settings["smooth"]})
     df = df.withColumns({f"c{n}_{m}": full_mean(f"s{n}", m) for n in settings["smooth"] for m in settings["cost"]})
-    pairs = [F.struct(F.lit(n).alias("smooth"), F.lit(m).alias("cost"),
+    pairs = [F.struct(F.lit(i).alias("pair"), F.lit(n).alias("smooth"), F.lit(m).alias("cost"),
                       ((F.col(f"s{n}") - F.col(f"c{n}_{m}")) / F.col(f"c{n}_{m}") * 100.0).alias("x"))
-             for n in settings["smooth"] for m in settings["cost"]]
+             for i, (n, m) in enumerate((n, m) for n in settings["smooth"] for m in settings["cost"])]
     return df.select("d", "ret", F.inline(F.array(*pairs)))
 
 
 def grid_states(series: DataFrame, settings: dict, strict: bool = True) -> DataFrame:
     """States of every parameter combination; the fixed grid is exploded from a literal array."""
-    limits = F.array(*[F.struct(F.lit(float(u)).alias("upper"), F.lit(float(low)).alias("lower"))
-                       for u, low in grid(settings, strict)])
-    rows = grid_series(series, settings).select("d", "ret", "smooth", "cost", "x", F.inline(limits))
-    keys = ["smooth", "cost", "upper", "lower"]
-    return rows.withColumn("state", latch(F.col("x") >= F.col("upper"), F.col("x") <= F.col("lower"), up_to_now(keys)))
+    limits = F.array(*[F.struct(F.lit(i).alias("limit"), F.lit(float(u)).alias("upper"), F.lit(float(low)).alias("lower"))
+                       for i, (u, low) in enumerate(grid(settings, strict))])
+    # Spread the x series first: the fan-out and all windows per (pair, limit) then need no further shuffle.
+    pairs = len(settings["smooth"]) * len(settings["cost"])
+    rows = grid_series(series, settings).repartition(pairs, "pair").select(
+        "pair", "d", "ret", "smooth", "cost", "x", F.inline(limits))
+    window = up_to_now(["pair", "limit"])
+    return rows.withColumn("state", latch(F.col("x") >= F.col("upper"), F.col("x") <= F.col("lower"), window))
 
 
-def evaluate(states: DataFrame, keys: list[str], min_transitions: int = 4) -> DataFrame:
+def evaluate(states: DataFrame, keys: list[str], min_transitions: int = 4, series: list[str] | None = None) -> DataFrame:
     """Timing quality per combination from rows (d, ret, state); weak combinations are left out.
 
+    ``series`` may name integer columns that identify the combination, for cheaper sorting.
+
     Products of growth factors are sums of logarithms; growth factors are positive.
     """
-    w = by_date(keys)
-    grown = F.log1p("ret")
-    df = states.where("ret is not null").withColumns({
-        "_flip": F.coalesce((F.col("state") != F.lag("state").over(w)).cast("int"), F.lit(0)),
-        "_log": F.when(F.col("state") == 1, grown).otherwise(0.0)})
-    df = df.withColumn("_equity", F.sum("_log").over(up_to_now(keys)))
-    df = df.withColumn("_peak", F.max("_equity").over(up_to_now(keys)))
+    part = series or keys
+    grown = F.col("_grown")
+    df = states.where("ret is not null").withColumn("_grown", F.log1p("ret"))
+    df = df.withColumn("_log", F.when(F.col("state") == 1, grown).otherwise(0.0))
+    df = df.withColumns({
+        "_flip": F.coalesce((F.col("state") != F.lag("state").over(by_date(part))).cast("int"), F.lit(0)),
+        "_equity": F.sum("_log").over(up_to_now(part))})
+    df = df.withColumn("_peak", F.max("_equity").over(up_to_now(part)))
     bull, bear = F.col("state") == 1, F.col("state") == 0
-    out = df.groupBy(*keys).agg(
+    out = df.groupBy(*part, *[k for k in keys if k not in part]).agg(
         F.count(F.lit(1)).alias("total_days"), F.count_if(bull).alias("bull_days"), F.count_if(bear).alias("bear_days"),
         F.sum("_flip").alias("transitions"), F.sum("_log").alias("log_bull"),
         F.sum(F.when(bear, grown).otherwise(0.0)).alias("log_bear"), F.sum(grown).alias("log_all"),
