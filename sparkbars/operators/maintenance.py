@@ -28,9 +28,8 @@ def rename_columns(df: DataFrame, aliases: dict[str, list[str]] | None = None) -
     return df.withColumnsRenamed(mapping)
 
 
-def complete(df: DataFrame) -> DataFrame:
-    """Same rows if all bar columns are there, otherwise no rows at all."""
-    return df if all(c in df.columns for c in (*OHLC, "volume")) else df.limit(0)
+def is_complete(df: DataFrame) -> bool:
+    return all(c in df.columns for c in (*OHLC, "volume"))
 
 
 def drop_bad(df: DataFrame) -> DataFrame:
@@ -54,8 +53,9 @@ def fill_forward(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    df = complete(rename_columns(df))
-    return fill_forward(drop_jumps(drop_bad(df))) if "volume" in df.columns else df
+    """All cleaning steps; a frame that lacks a bar column gives no rows instead of an error."""
+    df = rename_columns(df)
+    return fill_forward(drop_jumps(drop_bad(df))) if is_complete(df) else df.limit(0)
 
 
 def min_history(df: DataFrame, rows: int) -> DataFrame:

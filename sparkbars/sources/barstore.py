@@ -45,7 +45,7 @@ class BarStore:
             kept = kept.unionByName(rows)
         staged = f"{self.path}-staged-{uuid.uuid4().hex}"
         self._write(kept, staged, "overwrite")
-        fresh = self.spark.read.parquet(staged)
+        fresh = self.spark.read.schema(table.schema).parquet(staged)
         # Buckets left empty have no staged partition and would survive a dynamic overwrite.
         remaining = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
         self._write(fresh.drop("bucket"), self.path, "overwrite")
