@@ -22,7 +22,8 @@ class BarStore:
         return F.pmod(F.xxhash64("sym"), F.lit(self.buckets)).cast("int")
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
-        (df.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", "sym", "d").write.mode(mode)
+        # Rebalancing splits a bucket that is too large for one task, so few buckets do not limit parallelism.
+        (df.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "sym", "d").write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
     def create(self, bars: DataFrame) -> "BarStore":
@@ -57,7 +58,7 @@ class BarStore:
 def write_csv(df: DataFrame, path: str, buckets: int = 64) -> None:
     """CSV files partitioned into symbol buckets."""
     bucket = F.pmod(F.xxhash64("sym"), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
+    df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
