@@ -36,9 +36,8 @@ def momentum(bars: DataFrame, universe: DataFrame, n: int, least: int = MEMBERS)
 
 def densify(df: DataFrame) -> DataFrame:
     """Add the missing (industry, date) cells: every industry gets one row per known date."""
-    calendar = df.agg(F.collect_set("d").alias("dates")).withColumn("one", F.lit(1))
-    names = df.select("industry").distinct().withColumn("one", F.lit(1))
-    cells = names.join(F.broadcast(calendar), "one").select("industry", F.explode("dates").alias("d"))
+    axes = df.agg(F.collect_set("industry").alias("names"), F.collect_set("d").alias("dates"))  # two bounded dimensions
+    cells = axes.select(F.explode("names").alias("industry"), "dates").select("industry", F.explode("dates").alias("d"))
     return cells.join(df, ["industry", "d"], "left")
 
 

@@ -157,9 +157,7 @@ def retention(df: DataFrame, days: int) -> DataFrame:
     """Last ``days`` days counted from the newest date; 0 keeps everything."""
     if days == 0:
         return df
-    newest = df.agg(F.max("d").alias("newest")).withColumn("one", F.lit(1))
-    return df.withColumn("one", F.lit(1)).join(F.broadcast(newest), "one").where(
-        F.col("d") >= F.date_sub("newest", days)).drop("one", "newest")
+    return df.where(F.col("d") >= F.date_sub(df.agg(F.max("d")).scalar(), days))
 
 
 def calendar(span: DataFrame, overrides: DataFrame) -> DataFrame:

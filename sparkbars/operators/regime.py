@@ -135,8 +135,8 @@ def summary(daily: DataFrame, weeks: DataFrame, upper: float, lower: float) -> D
         F.round(F.count_if(F.col("state") == 1) / F.count(F.lit(1)) * 100, 4).alias("bull_pct"),
         F.round(F.count_if((x > lower) & (x < upper)) / F.count("x") * 100, 4).alias("buffer_pct"),
         F.sum("_flip").alias("transitions"), F.round(F.min("x"), 6).alias("min_x"), F.round(F.max("x"), 6).alias("max_x"))
-    week = weeks.agg(F.count(F.lit(1)).alias("weeks"), F.count_if(F.col("state") == 1).alias("weeks_bull"))
-    return day.withColumn("one", F.lit(1)).join(week.withColumn("one", F.lit(1)), "one").drop("one")
+    return day.withColumns({"weeks": weeks.agg(F.count(F.lit(1))).scalar(),
+                            "weeks_bull": weeks.agg(F.count_if(F.col("state") == 1)).scalar()})
 
 
 def status(permitted: DataFrame) -> DataFrame:

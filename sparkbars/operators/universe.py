@@ -47,6 +47,4 @@ def sample(df: DataFrame, n: int, seed: str) -> DataFrame:
 
 def strong_industries(changes: DataFrame) -> DataFrame:
     """Industries whose change is at least the median; one row per industry comes in."""
-    middle = changes.agg(F.median("change").alias("middle")).withColumn("one", F.lit(1))
-    rows = changes.withColumn("one", F.lit(1)).join(F.broadcast(middle), "one")
-    return rows.where("change >= middle").select("industry")
+    return changes.where(F.col("change") >= changes.agg(F.median("change")).scalar()).select("industry")

@@ -215,8 +215,7 @@ def benchmark_excess(spark, root):
     """Strategy total against the index over the same span, both also per year."""
     total = best(spark, root).agg(F.sum("profit_pct").alias("strategy"), F.min("buy_date").alias("d0"), F.max("sell_date").alias("d1"))
     index = views.index_daily(spark, root)
-    span = index.agg(F.min_by("close", "d").alias("first"), F.max_by("close", "d").alias("last"))
-    one = total.withColumn("one", F.lit(1)).join(span.withColumn("one", F.lit(1)), "one")
+    one = total.withColumns({"first": index.agg(F.min_by("close", "d")).scalar(), "last": index.agg(F.max_by("close", "d")).scalar()})
     years = F.datediff("d1", "d0") / 365.25
     index_pct = (F.col("last") / F.col("first") - 1) * 100
     return one.select(F.round("strategy", 4).alias("strategy_pct"), F.round(index_pct, 4).alias("index_pct"),

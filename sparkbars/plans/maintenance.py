@@ -190,10 +190,10 @@ def trading_calendar(spark, root):
 
 def freshness_gate(spark, root):
     """Is the newest bar as new as the calendar expects, after hours and intraday?"""
-    latest = views.bars(spark, root).agg(F.max("d").alias("latest")).withColumn("one", F.lit(1))
+    latest = views.bars(spark, root).agg(F.max("d")).scalar()
     open_days = trading_calendar(spark, root).where("is_open")
-    expected = open_days.agg(F.max("d").alias("last_open"), F.sort_array(F.collect_set("d"), False)[1].alias("open_before")).withColumn("one", F.lit(1))
-    return latest.join(expected, "one").select(
+    expected = open_days.agg(F.max("d").alias("last_open"), F.sort_array(F.collect_set("d"), False)[1].alias("open_before"))
+    return expected.withColumn("latest", latest).select(
         "latest", "last_open", "open_before", (F.col("latest") >= F.col("last_open")).alias("fresh_after_hours"),
         (F.col("latest") >= F.col("open_before")).alias("fresh_intraday"))
 
