@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +21,7 @@ from .common import Scratch, blocks, lists
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 400_000  # words that a worker remembers the ids of
+REMEMBERED = 800_000  # words that a worker remembers the ids of
 
 SPACES = re.compile(r"\s ")
 WORD_STARTS = re.compile(r"(?<=\S)(?= )")
@@ -38,28 +40,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of parts without the space before them
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _parts(self, text: str) -> list[str]:
+        """The parts after the first one, which has no space before it, and that one at the end."""
         if any(s in text for s in self.special):
             return [text]
         if SPACES.search(text):
-            return WORD_STARTS.split(text)
-        first, *rest = text.split(" ")
-        parts = [" " + x for x in rest]
-        return [first, *parts] if first else parts
+            first, *rest = WORD_STARTS.split(text)
+            return [*(x[1:] for x in rest), first]
+        parts = text.split(" ")
+        parts.append(parts[0])
+        del parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        firsts = self._plain([p.pop() for p in parts])
+        words = set().union(*parts)
+        if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-            new = list(set().union(*parts))
-        for start in range(0, len(new), 20_000):
-            some = new[start:start + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        new = list(words.difference(self.known))
+        self.known.update(zip(new, self._plain([" " + x for x in new]), strict=True))
+        known = self.known.__getitem__
+        return [first + b"".join(map(known, p)) for first, p in zip(firsts, parts, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker, which keeps what it remembers from task to task."""
+    return Encoder(path)
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -70,11 +84,11 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, keep_ids: bool) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = Encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         for block in blocks(batches):
             rows, piece, start, length, crc, place, kept = [], [], [], [], [], [], []
-            for row, ids in enumerate(encoder.encode([t or "" for t in block.column("text").to_pylist()])):
+            for row, ids in enumerate(encoder(path).encode([t or "" for t in block.column("text").to_pylist()])):
                 ids += end
                 for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     own = ids[4 * s:4 * (s + n)]

@@ -10,12 +10,22 @@ from .common import table
 from .decontam import contamination
 from .lang_id import identify
 from .near_dup import near_duplicates
+from .packing import pack
+from .pii import digest, find_spans
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_spans(table(spark, sf_dir, "documents")))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,5 +35,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op5_language_id, op8_minhash_near_dedup, op10_benchmark_decontamination)
+    found = (op5_language_id, op6_personal_data, op7_best_fit_packing, op8_minhash_near_dedup, op10_benchmark_decontamination)
     return {f.__name__: f for f in found}
