@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import shared_passages
 from .common import table
 from .decontam import contamination
 from .lang_id import identify
+from .licences import licences
 from .near_dup import near_duplicates
+from .neighbours import nearest_of_every
 from .packing import pack
 from .pii import digest, find_spans
+from .quality import quality
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +46,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_of_every(table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op5_language_id, op6_personal_data, op7_best_fit_packing, op8_minhash_near_dedup, op10_benchmark_decontamination)
+    found = (op1_licence_scan, op3_substring_dedup, op4_quality_classifier, op5_language_id, op6_personal_data, op7_best_fit_packing,
+             op8_minhash_near_dedup, op9_nearest_neighbours, op10_benchmark_decontamination)
     return {f.__name__: f for f in found}
