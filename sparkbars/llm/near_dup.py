@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, lists, utf8
@@ -16,21 +16,22 @@ from .words import PLACES, mix, shingle_sets
 WIDTH = 5            # words of a shingle
 PERCENT = 75         # least Jaccard similarity of a link, in hundredths
 BANDS, ROWS = 32, 4  # a pair at the least similarity shares no band with probability (1 - .75**4)**32 = 5e-6
-SKETCH_WORDS = 4     # the odd sketch has 256 bits
-SKETCH_SLACK = 0.25  # a candidate stays unless its estimate is this far below the least similarity, over five deviations
+SAMPLES = 1024       # MinHash samples in a sketch; the first BANDS * ROWS of them make the bands
+SKETCH_WORDS = 32    # the odd sketch has 2048 bits: at the least similarity its estimate has a deviation of 0.02
+SKETCH_SLACK = 0.09  # a candidate stays unless its estimate is this far below the least similarity, 4.5 deviations
 
-SAMPLES = BANDS * ROWS
 _random = np.random.default_rng(8)
 MULTIPLIERS = _random.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, SAMPLES, np.uint32)
-SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
     low = np.full(SAMPLES, 2**32 - 1, np.uint32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for start in range(0, len(short), 1024):
-        np.minimum(low, (short[start:start + 1024, None] * MULTIPLIERS + SHIFTS).min(axis=0), out=low)
+    for start in range(0, len(short), 256):
+        np.minimum(low, (short[start:start + 256, None] * MULTIPLIERS + SHIFTS).min(axis=0), out=low)
     return low
 
 
@@ -54,14 +55,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(hashes):
                 digests[row] = hashes.sum(dtype=np.uint64), mix(hashes ^ PLACES[9]).sum(dtype=np.uint64)
                 samples[row] = min_hashes(hashes)
-        grouped = samples.reshape(len(block), BANDS, ROWS).astype(np.uint64) * PLACES[:ROWS]
+        grouped = samples[:, :BANDS * ROWS].reshape(len(block), BANDS, ROWS).astype(np.uint64) * PLACES[:ROWS]
         bands = mix(grouped.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * PLACES[8])
         sketch = odd_sketches(samples)
         yield pa.RecordBatch.from_arrays(
             [block.column("doc_id"), pa.array(sizes), *(pa.array(digests[:, k].view(np.int64)) for k in range(2)),
              lists(bands.ravel().view(np.int64), np.arange(len(block) + 1) * BANDS, pa.int64()),
              *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS))],
-            ["doc_id", "n_shingles", "digest_a", "digest_b", "bands", "s0", "s1", "s2", "s3"])
+            ["doc_id", "n_shingles", "digest_a", "digest_b", "bands", *SKETCH])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,24 +88,29 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("doc"), pa.array(links)], ["head", "doc", "linked"])
 
 
-def _links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of candidate pairs (head, doc), those whose full shingle sets are similar enough.
+def _likely(one: str, two: str) -> Column:
+    """Whether sizes and odd sketches leave it open that texts are similar enough; their columns have these prefixes."""
+    unlike = sum(F.bit_count(F.col(f"{one}_{s}").bitwiseXOR(F.col(f"{two}_{s}"))) for s in SKETCH)
+    bits = 64 * SKETCH_WORDS
+    estimate = 1 + bits / (4 * SAMPLES) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * unlike / bits))
+    sizes = F.col(f"{one}_n_shingles"), F.col(f"{two}_n_shingles")
+    return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & (estimate >= PERCENT / 100 - SKETCH_SLACK)
+
+
+def _prefixed(frame: DataFrame, prefix: str) -> DataFrame:
+    return frame.select(*(F.col(c).alias(f"{prefix}_{c}") for c in frame.columns))
 
-    Sizes and odd sketches reject what is far off before any text is read again.
+
+def _links(docs: DataFrame, likely: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of likely pairs (head, doc), those whose full shingle sets are similar enough, as (a, b).
+
+    Texts are shuffled by merge joins at every size, so that the cost follows the input.
     """
-    ends = [texts.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"),
-                         *(F.col(f"s{k}").alias(f"{name}_s{k}") for k in range(SKETCH_WORDS))) for name in ("head", "doc")]
-    unlike = sum(F.bit_count(F.col(f"head_s{k}").bitwiseXOR(F.col(f"doc_s{k}"))) for k in range(SKETCH_WORDS))
-    bits = 64 * SKETCH_WORDS
-    share = F.greatest(F.lit(1e-9), 1 - 2 * unlike / bits)
-    estimate = 1 + bits / (4 * SAMPLES) * F.log(share)
-    likely = pairs.join(ends[0], "head").join(ends[1], "doc").where(
-        (100 * F.least("head_n", "doc_n") >= PERCENT * F.greatest("head_n", "doc_n")) & (estimate >= PERCENT / 100 - SKETCH_SLACK))
-    likely = scratch.save(likely.select("head", "doc"))
+    likely = scratch.save(likely)
     wanted = likely.select(F.explode(F.array("head", "doc")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, hashes binary")
-    full = likely.join(sets.withColumnRenamed("doc_id", "doc"), "doc").join(
-        sets.select(F.col("doc_id").alias("head"), F.col("hashes").alias("head_hashes")), "head")
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, hashes binary")
+    full = likely.join(sets.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").join(
+        sets.select(F.col("doc_id").alias("head"), F.col("hashes").alias("head_hashes")).hint("merge"), "head")
     links = full.select("head", "doc", "head_hashes", "hashes").mapInArrow(_confirmed, "head long, doc long, linked boolean")
     links = scratch.save(links.where("linked").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
     return links
@@ -132,19 +138,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = texts.select("doc_id", F.explode("bands").alias("band"))
     shared = scratch.save(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
     member = scratch.save(bands.join(shared, "band"))
-    known = texts.select("doc_id", "n_shingles", "s0", "s1", "s2", "s3")
-    tried = member.where("head <> doc_id").select("head", F.col("doc_id").alias("doc")).distinct()
-    links = _links(docs, known, tried, scratch)
+    known = texts.select("doc_id", "n_shingles", *SKETCH)
+    tried = member.where("head <> doc_id").select(F.col("head").alias("head_doc_id"), F.col("doc_id").alias("own_doc_id")).distinct()
+    tried = tried.join(_prefixed(known, "head"), "head_doc_id").join(_prefixed(known, "own"), "own_doc_id").where(_likely("head", "own"))
+    links = _links(docs, tried.select(F.col("head_doc_id").alias("head"), F.col("own_doc_id").alias("doc")), scratch)
 
     found = scratch.save(components(links, scratch))
     placed = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "band", "doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    placed = scratch.save(placed.join(mixed, "band", "left_semi"))
-    one, two = (placed.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "head", "component"))) for k in "ab")
-    across = one.join(two, "band").where("component_a < component_b and doc_id_a <> head_a and doc_id_b <> head_b")
-    across = across.select(F.least("doc_id_a", "doc_id_b").alias("head"), F.greatest("doc_id_a", "doc_id_b").alias("doc")).distinct()
-    more = _links(docs, known, across, scratch)
+    placed = scratch.save(placed.join(mixed, "band", "left_semi").where("doc_id <> head").drop("head").join(known, "doc_id"))
+    across = _prefixed(placed, "one").join(
+        _prefixed(placed, "two"), F.expr("one_band = two_band and one_component < two_component") & _likely("one", "two"))
+    across = across.select(F.least("one_doc_id", "two_doc_id").alias("head"), F.greatest("one_doc_id", "two_doc_id").alias("doc")).distinct()
+    more = _links(docs, across, scratch)
     if more.limit(1).count():
         found = scratch.save(components(links.unionByName(more), scratch))
     classed = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
