@@ -48,7 +48,12 @@ def oracle_sql() -> dict[str, str]:
     o["bars_min_history"] = b(f"SELECT {cols} FROM bars WHERE sym IN (SELECT sym FROM bars GROUP BY 1 HAVING count(*) >= 290)")
     o["scan_csv_bars"] = b(f"SELECT {cols} FROM bars")
     o["sink_csv_bars"] = query("SELECT sym, count(*) AS rows, round(sum(volume), 2) AS volume FROM bars_raw GROUP BY 1", BARS_RAW)
-    o["replace_partition"] = b(f"SELECT {cols} FROM (SELECT * REPLACE (CASE WHEN sym % 10 = 3 THEN close + 1 ELSE close END AS close) FROM bars)")
+    o["replace_partition"] = b(f"""SELECT {cols} FROM (SELECT * REPLACE (CASE WHEN sym % 10 = 4 THEN sym + 1000000 ELSE sym END AS sym,
+      CASE WHEN sym % 10 IN (3, 4) THEN close + 1 ELSE close END AS close) FROM bars)""")
+    o["scan_one_symbol"] = b(f"SELECT {cols} FROM bars WHERE sym = (SELECT max(sym) FROM bars) AND (SELECT count(*) FROM bars WHERE sym = (SELECT max(sym) FROM bars)) >= 10")
+    raw = """raw AS (SELECT * EXCLUDE (rn) REPLACE (CASE WHEN sym % 11 = 5 THEN 0 ELSE volume END AS volume) FROM
+      (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS rn FROM bars) WHERE sym % 7 <> 0 OR rn <= 5)"""
+    o["migrate_table"] = b(f"SELECT {cols} FROM kept WHERE sym IN (SELECT sym FROM raw GROUP BY 1 HAVING count(*) >= 10)", raw, jumps("raw", "kept"))
     o["delete_symbol"] = b(f"SELECT {cols} FROM bars WHERE sym % 10 <> 3")
     o["migrate_report"] = b("""SELECT status, count(*) AS symbols, coalesce(sum(kept), 0)::BIGINT AS rows_kept FROM
       (SELECT f.sym, CASE WHEN f.n < 10 THEN 'skipped' WHEN coalesce(k.n, 0) = 0 THEN 'failed' ELSE 'migrated' END AS status, k.n AS kept
@@ -70,16 +75,16 @@ def oracle_sql() -> dict[str, str]:
       round(volume, 2) AS volume FROM (SELECT o.*, coalesce(l.c / nullif(pre_close, 0), 1) AS r, l.c AS adj FROM oneday o LEFT JOIN
         (SELECT sym, arg_max(close, d) AS c, max(d) AS latest FROM old WHERE sym % 8 <> 2 GROUP BY 1) l USING (sym) WHERE latest IS NULL OR latest < d)
       WHERE adj IS NULL OR pre_close > 0""", OLD, NEW, LAST_NEW, DAY)
-    o["forward_adjust"] = b("""SELECT sym, d, round(open * f / lf, 4) AS open, round(high * f / lf, 4) AS high, round(low * f / lf, 4) AS low,
-      round(close * f / lf, 4) AS close, round(volume, 2) AS volume FROM
-      (SELECT *, last_value(f) OVER (PARTITION BY sym ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lf FROM
-        (SELECT *, (year(d) - 1990 + sym % 3)::DOUBLE AS f FROM bars))""")
+    o["forward_adjust"] = b("""SELECT sym, d, round(open * r, 4) AS open, round(high * r, 4) AS high, round(low * r, 4) AS low,
+      round(close * r, 4) AS close, round(volume, 2) AS volume FROM
+      (SELECT b.*, coalesce((SELECT arg_max(f, fd) FROM fac WHERE fs = b.sym AND fd <= b.d) / (SELECT arg_max(f, fd) FROM fac WHERE fs = b.sym), 1) AS r FROM bars b)""",
+                            "fac AS (SELECT sym AS fs, d + 2 AS fd, (year(d) - 1990 + sym % 3)::DOUBLE AS f FROM bars WHERE sym % 5 <> 4 AND day(d) % 4 = 1)")
     o["splice_realtime_bar"] = b(f"""SELECT {cols} FROM (SELECT * FROM live UNION ALL SELECT * FROM bars WHERE (sym, d) NOT IN (SELECT sym, d FROM live))""",
                                  NEW, LAST_NEW, DAY, """
       ends AS (SELECT sym, max(d) AS ld FROM bars GROUP BY 1),
-      quo AS (SELECT o.* REPLACE (CASE WHEN sym % 2 = 0 THEN ld ELSE o.d END AS d) FROM oneday o JOIN ends USING (sym)),
-      refs AS (SELECT q.sym, arg_max(b.close, b.d) AS ref FROM quo q JOIN bars b ON b.sym = q.sym AND b.d < q.d GROUP BY 1),
-      rat AS (SELECT q.*, CASE WHEN pre_close > 0 AND ref > 0 THEN ref / pre_close ELSE 1 END AS r FROM quo q LEFT JOIN refs USING (sym)),
+      quo AS (SELECT o.* REPLACE (unnest([CASE WHEN sym % 2 = 0 THEN ld ELSE o.d END, DATE '2001-12-24']) AS d) FROM oneday o JOIN ends USING (sym)),
+      refs AS (SELECT q.sym, q.d AS qd, arg_max(b.close, b.d) AS ref FROM quo q JOIN bars b ON b.sym = q.sym AND b.d < q.d GROUP BY 1, 2),
+      rat AS (SELECT q.*, CASE WHEN pre_close > 0 AND ref > 0 THEN ref / pre_close ELSE 1 END AS r FROM quo q LEFT JOIN refs ON refs.sym = q.sym AND qd = q.d),
       live AS (SELECT sym, d, open * r AS open, high * r AS high, low * r AS low, close * r AS close, volume FROM rat)""")
     o["missing_trade_dates"] = query("SELECT d FROM calendar WHERE is_open AND d NOT IN (SELECT d FROM market_daily WHERE day(d) <> 15)", CAL, MARKET)
     o["amv_coalesce"] = query("SELECT d, CASE WHEN day(d) % 2 = 0 THEN amv ELSE amv * 2 END AS amv FROM market_daily WHERE day(d) % 2 = 0 OR day(d) % 3 = 0", MARKET)

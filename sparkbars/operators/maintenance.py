@@ -130,20 +130,29 @@ def merge_day(table: DataFrame, day: DataFrame) -> DataFrame:
 
 
 def forward_adjust(raw: DataFrame, factors: DataFrame) -> DataFrame:
-    """Prices scaled by factor(d) / latest factor, joined by date."""
-    latest = factors.groupBy("sym").agg(F.max_by("adj_factor", "d").alias("latest_factor"))
-    rows = raw.join(factors, ["sym", "d"]).join(latest, "sym")
-    ratio = F.col("adj_factor") / F.col("latest_factor")
-    return rows.select("sym", "d", *[(F.col(c) * ratio).alias(c) for c in OHLC], "volume")
+    """Prices scaled by the last known factor / the latest factor; raw prices where no factor is known yet, or ever.
+
+    Factors are merged into the bars and carried forward, so their dates need not be those of bars.
+    """
+    rows = raw.select(*COLUMNS, F.lit(1).alias("_bar")).unionByName(
+        factors.select("sym", "d", "adj_factor", F.lit(0).alias("_bar")), allowMissingColumns=True)
+    so_far = Window.partitionBy("sym").orderBy("d", "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    all_rows = Window.partitionBy("sym").orderBy("d", "_bar").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ratio = F.coalesce(F.last("adj_factor", True).over(so_far) / F.last("adj_factor", True).over(all_rows), F.lit(1.0))
+    return rows.withColumn("_ratio", ratio).where("_bar = 1").select("sym", "d", *[(F.col(c) * F.col("_ratio")).alias(c) for c in OHLC], "volume")
 
 
 def quote_ratio(quotes: DataFrame, history: DataFrame) -> DataFrame:
-    """Quotes with the ratio from raw to adjusted prices, taken before the quote's own date."""
-    before = history.select("sym", F.col("d").alias("hd"), F.col("close").alias("hc")).join(
-        quotes.select("sym", F.col("d").alias("qd")), "sym").where("hd < qd")
-    reference = before.groupBy("sym").agg(F.max_by("hc", "hd").alias("reference"))
+    """Quotes with the ratio from raw to adjusted prices, taken from the last close before the quote's own date.
+
+    One pass over history and quotes together; within a date quotes come first, so they never see that date's bar.
+    """
+    rows = quotes.withColumn("_bar", F.lit(0)).unionByName(
+        history.select("sym", "d", F.col("close").alias("_close"), F.lit(1).alias("_bar")), allowMissingColumns=True)
+    before = Window.partitionBy("sym").orderBy("d", "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("reference", F.last("_close", True).over(before)).where("_bar = 0").drop("_bar", "_close")
     ratio = F.when((F.col("pre_close") > 0) & (F.col("reference") > 0), F.col("reference") / F.col("pre_close"))
-    return quotes.join(reference, "sym", "left").withColumn("ratio", F.coalesce(ratio, F.lit(1.0)))
+    return rows.withColumn("ratio", F.coalesce(ratio, F.lit(1.0)))
 
 
 def splice_quotes(history: DataFrame, quotes: DataFrame) -> DataFrame:

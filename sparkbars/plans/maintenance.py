@@ -71,31 +71,57 @@ def sink_csv_bars(spark, root):
 
 
 def _store(spark, root, name):
-    return barstore.BarStore(spark, scratch(spark, name), buckets=16).create(views.bars(spark, root))
+    return barstore.BarStore(spark, scratch(spark, name)).create(views.bars(spark, root))
 
 
 def replace_partition(spark, root):
+    """Every tenth symbol gets new rows, every tenth moves to a new symbol, all others stay."""
     store = _store(spark, root, "replace")
-    rows = views.bars(spark, root).where("sym % 10 = 3").withColumn("close", F.col("close") + 1)
-    store.replace(rows.select("sym"), rows)
+    rows = store.read().where("sym % 10 in (3, 4)").withColumn("close", F.col("close") + 1)
+    moved = rows.withColumn("sym", F.when(F.col("sym") % 10 == 4, F.col("sym") + 1_000_000).otherwise(F.col("sym")))
+    store.replace(rows.select("sym"), moved)
     return _money(store.read())
 
 
+def scan_one_symbol(spark, root):
+    """The bars of one symbol, the largest; the key reaches the scan of the sorted table."""
+    store = _store(spark, root, "symbol")
+    return _money(m.scan_symbol(store.read(), store.read().agg(F.max("sym")).scalar()))
+
+
 def delete_symbol(spark, root):
     store = _store(spark, root, "delete")
     store.replace(views.universe(spark, root).where("sym % 10 = 3").select("sym"))
     return _money(store.read())
 
 
-def migrate_report(spark, root):
-    """Outcome per symbol of moving raw files into the table, counted."""
+def _raw_files(spark, root):
+    """Raw bars of one folder of CSV files per symbol: some with few rows, some with stopped days only."""
     short = F.row_number().over(m.by_day()) <= 5
     raw = views.bars(spark, root).withColumn("short", short).where("sym % 7 != 0 or short").drop("short")
-    raw = raw.withColumn("volume", F.when(F.col("sym") % 11 == 5, 0.0).otherwise(F.col("volume")))
-    files = raw.groupBy("sym").agg(F.count(F.lit(1)).alias("rows"))
+    path = scratch(spark, "csv-raw")
+    barstore.write_csv(raw.withColumn("volume", F.when(F.col("sym") % 11 == 5, 0.0).otherwise(F.col("volume"))), path)
+    return barstore.read_csv(spark, path)
+
+
+def _enough(raw, rows=10):
+    return raw.groupBy("sym").agg(F.count(F.lit(1)).alias("rows")).withColumn("enough", F.col("rows") >= rows)
+
+
+def migrate_table(spark, root):
+    """Raw files read, cleaned and written into the bar table; symbols with too few rows are left out."""
+    raw = _raw_files(spark, root)
+    store = barstore.BarStore(spark, scratch(spark, "migrated"))
+    store.create(m.clean(raw).join(_enough(raw).where("enough"), "sym", "left_semi"))
+    return _money(store.read())
+
+
+def migrate_report(spark, root):
+    """Outcome per symbol of moving raw files into the table, counted."""
+    raw = _raw_files(spark, root)
     kept = m.clean(raw).groupBy("sym").agg(F.count(F.lit(1)).alias("kept"))
-    status = F.when(F.col("rows") < 10, "skipped").when(F.coalesce("kept", F.lit(0)) == 0, "failed").otherwise("migrated")
-    return files.join(kept, "sym", "left").groupBy(status.alias("status")).agg(
+    status = F.when(~F.col("enough"), "skipped").when(F.coalesce("kept", F.lit(0)) == 0, "failed").otherwise("migrated")
+    return _enough(raw).join(kept, "sym", "left").groupBy(status.alias("status")).agg(
         F.count(F.lit(1)).alias("symbols"), F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_kept"))
 
 
@@ -150,16 +176,20 @@ def merge_day_adjusted(spark, root):
 
 
 def forward_adjust(spark, root):
+    """Factors known on some dates only, also between bars; every fifth symbol has none."""
     bars = views.bars(spark, root)
-    factors = bars.select("sym", "d", (F.year("d") - 1990 + F.col("sym") % 3).cast("double").alias("adj_factor"))
+    factor = (F.year("d") - 1990 + F.col("sym") % 3).cast("double").alias("adj_factor")
+    factors = bars.where("sym % 5 != 4 and day(d) % 4 = 1").select("sym", F.date_add("d", 2).alias("d"), factor)
     return _money(m.forward_adjust(bars, factors))
 
 
 def splice_realtime_bar(spark, root):
-    """Quotes for all symbols: half of them on their own latest date, half on a new one."""
+    """Two quotes for every symbol: one on its latest date or a new one, and one three weeks later."""
     last = m.latest_rows(views.bars(spark, root))
     quotes = _day(spark, root).drop("d").join(last.select("sym", F.col("d").alias("last")), "sym")
-    quotes = quotes.withColumn("d", F.when(F.col("sym") % 2 == 0, F.col("last")).otherwise(day("2001-12-03"))).drop("last")
+    first = F.when(F.col("sym") % 2 == 0, F.col("last")).otherwise(day("2001-12-03"))
+    later = F.date_add(day("2001-12-03"), 21)
+    quotes = quotes.withColumn("d", F.explode(F.array(first, later))).drop("last")
     return _money(m.splice_quotes(views.bars(spark, root), quotes))
 
 
@@ -339,7 +369,8 @@ def scan_counters(spark, root):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        scan_symbol_bars, bars_min_history, scan_csv_bars, sink_csv_bars, replace_partition, delete_symbol, migrate_report, cache_stats,
+        scan_symbol_bars, bars_min_history, scan_csv_bars, sink_csv_bars, scan_one_symbol, replace_partition, delete_symbol, migrate_table,
+        migrate_report, cache_stats,
         latest_date_per_symbol, latest_close_per_symbol, stale_symbols, backfill_dates, incremental_merge, append_newer_only,
         exrights_check, history_gaps, merge_day_adjusted, forward_adjust, splice_realtime_bar, missing_trade_dates, amv_coalesce,
         retention_window, trading_calendar, freshness_gate, snapshot_sufficiency, report_json, grid_csv, clean_bars, clean_jump_rows,

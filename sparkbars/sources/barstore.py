@@ -1,71 +1,90 @@
-"""A bar table on disk: Parquet in a fixed number of symbol buckets, and the CSV layout.
+"""A bar table on disk that changes by adding versions, and the CSV layouts.
 
-Replacing or deleting symbols rewrites only the buckets they live in. The new content is
-staged first, so the table is never read and overwritten by the same job.
+``create`` writes a whole table, ``append`` adds rows, ``replace`` adds rows that take the place of whole symbols. Every
+change is one Parquet folder below ``path``, complete once Spark has put its success mark there, so a failed write leaves the
+table as it was and no job overwrites what another reads. Reading starts at the newest whole table and drops rows of a symbol
+that are older than its last replacement; ``compact`` writes the result as a whole table. The cost of a change follows the
+rows changed, not the table.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "sym bigint, d date, open double, high double, low double, close double, volume double"
+CSV_SCHEMA = "d date, open double, high double, low double, close double, volume double"
 
 
 class BarStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("sym"), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, path: str, mode: str) -> None:
-        # Rebalancing splits a bucket that is too large for one task, so few buckets do not limit parallelism.
-        (df.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "sym", "d").write.mode(mode)
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folders(self) -> list[tuple[int, str, bool]]:
+        """(number, kind, complete) of each version, oldest first."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return []
+        found = []
+        for status in fs.listStatus(top):
+            number, _, kind = status.getPath().getName().partition("-")
+            mark = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+            found.append((int(number), kind, fs.exists(mark)))
+        return sorted(found)
+
+    def _write(self, df: DataFrame, kind: str) -> None:
+        # Rebalancing sizes the files by the data; sorting lets a reader of one symbol skip all other row groups.
+        number = max([n for n, _, _ in self._folders()], default=0) + 1
+        df.hint("rebalance", F.col("sym")).sortWithinPartitions("sym", "d").write.parquet(f"{self.path}/{number:08d}-{kind}")
 
     def create(self, bars: DataFrame) -> "BarStore":
-        self._write(bars, self.path, "overwrite")
+        """Make ``bars`` the whole table, whatever was there before."""
+        self._write(bars.withColumn("gone", F.lit(False)), "table")
         return self
 
     def append(self, bars: DataFrame) -> None:
-        self._write(bars, self.path, "append")
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("bucket")
+        self._write(bars.withColumn("gone", F.lit(False)), "rows")
 
     def replace(self, symbols: DataFrame, rows: DataFrame | None = None) -> None:
-        """Remove the given symbols and put ``rows``, if any, in their place."""
-        hit = symbols.select("sym").distinct().withColumn("bucket", self._bucket())
-        touched = [r["bucket"] for r in hit.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        table = self.spark.read.parquet(self.path).where(F.col("bucket").isin(touched))
-        kept = table.join(hit.select("sym"), "sym", "left_anti").drop("bucket")
+        """Remove the given symbols, and those of ``rows``, and put ``rows``, if any, in their place."""
+        gone = symbols.select("sym")
         if rows is not None:
-            kept = kept.unionByName(rows)
-        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
-        self._write(kept, staged, "overwrite")
-        fresh = self.spark.read.schema(table.schema).parquet(staged)
-        # Buckets left empty have no staged partition and would survive a dynamic overwrite.
-        remaining = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
-        self._write(fresh.drop("bucket"), self.path, "overwrite")
-        for bucket in set(touched) - remaining:
-            self.spark.createDataFrame([], SCHEMA).coalesce(1).write.mode(
-                "overwrite").parquet(f"{self.path}/bucket={bucket}")
+            gone = gone.unionByName(rows.select("sym"))
+        put = rows if rows is not None else self.spark.createDataFrame([], SCHEMA)
+        change = put.withColumn("gone", F.lit(False)).unionByName(gone.distinct().withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        self._write(change, "symbols")
+
+    def read(self) -> DataFrame:
+        versions = [(n, kind) for n, kind, complete in self._folders() if complete]
+        start = max((n for n, kind in versions if kind == "table"), default=None)
+        if start is None:
+            return self.spark.createDataFrame([], SCHEMA)
+        parts = {n: self.spark.read.schema(f"{SCHEMA}, gone boolean").parquet(f"{self.path}/{n:08d}-{kind}")
+                 for n, kind in versions if n >= start}
+        rows = reduce(DataFrame.unionByName, [p.where("not gone").drop("gone").withColumn("_version", F.lit(n)) for n, p in parts.items()])
+        cuts = [parts[n].where("gone").select("sym", F.lit(n).alias("_cut")) for n, kind in versions if n >= start and kind == "symbols"]
+        if cuts:
+            last = reduce(DataFrame.unionByName, cuts).groupBy("sym").agg(F.max("_cut").alias("_cut"))
+            rows = rows.join(last, "sym", "left").where("_cut is null or _version >= _cut").drop("_cut")
+        return rows.drop("_version")
+
+    def compact(self) -> None:
+        self.create(self.read())
 
 
-def write_csv(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """CSV files partitioned into symbol buckets."""
-    bucket = F.pmod(F.xxhash64("sym"), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).write.mode("overwrite").option("header", True).partitionBy("bucket").csv(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    """One folder of CSV files per symbol; a symbol of very many rows is split over several files."""
+    df.hint("rebalance", F.col("sym")).write.mode("overwrite").option("header", True).partitionBy("sym").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA + ", bucket int").option("header", True).csv(path).drop("bucket")
+    return spark.read.schema(CSV_SCHEMA + ", sym bigint").option("header", True).csv(path).select("sym", "d", "open", "high", "low", "close", "volume")
 
 
 def read_csv_per_symbol(spark: SparkSession, path: str) -> DataFrame:
     """A directory of <symbol>.csv files; the symbol is the file name."""
-    df = spark.read.schema("d date, open double, high double, low double, close double, volume double").option("header", True).csv(path)
+    df = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
     return df.withColumn("sym", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.csv$", 1))
