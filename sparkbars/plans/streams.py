@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkbars.sources import views
+from sparkbars.sources.tables import scratch, table
 from sparkbars.streaming import streams as s
 
-BARS = "sym string, start timestamp, open double, high double, low double, close double, volume double"
-
-
 def _naive(df):
     """Window starts as zone-free timestamps, like the event table's own column."""
     return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _hours(spark, root, name):
+    return s.run_log(s.ohlcv(s.ticks(spark, root)), name)
+
+
 def stream_ohlcv_bars(spark, root):
-    return _naive(s.run(s.ohlcv(s.ticks(spark, root)), "ohlcv"))
+    return _naive(s.newest(_hours(spark, root, "ohlcv"), ["sym", "start"]))
 
 
 def stream_sliding_volume(spark, root):
-    return _naive(s.run(s.sliding_volume(s.ticks(spark, root)), "sliding"))
+    return _naive(s.newest(s.run_log(s.sliding_volume(s.ticks(spark, root)), "sliding"), ["sym", "start"]))
 
 
 def stream_sessions(spark, root):
-    return _naive(s.run(s.sessions(s.ticks(spark, root)), "sessions"))
+    return _naive(s.sessions(s.run_log(s.ticks(spark, root), "sessions", each=s.session_parts)))
 
 
 def stream_quote_splice(spark, root):
@@ -36,11 +38,16 @@ def stream_quote_splice(spark, root):
 
 
 def stream_upsert_bars(spark, root):
-    return _naive(s.run_batches(s.ohlcv(s.ticks(spark, root)), "upsert", s.upsert, BARS))
+    """An existing table with a stale bar in each symbol's first hour, and an old one the stream does not touch."""
+    hour = F.date_trunc("hour", F.min("ts").cast("timestamp"))
+    first = table(spark, root, "events").groupBy(F.col("event_type").alias("sym")).agg(hour.alias("hour"))
+    stale = first.withColumn("start", F.explode(F.array("hour", F.lit("1990-01-01").cast("timestamp")))).drop("hour")
+    stale = stale.withColumns({c: F.lit(0.5) for c in ("open", "high", "low", "close", "volume")})
+    return _naive(s.upsert(stale, _hours(spark, root, "upsert")))
 
 
 def stream_regime_latch(spark, root):
-    return _naive(s.run_batches(s.ohlcv(s.ticks(spark, root)), "latch", s.latch_update(20.0, 5.0), "sym string, start timestamp, state int"))
+    return _naive(s.latch_states(s.newest(_hours(spark, root, "latch"), ["sym", "start"]), 20.0, 5.0))
 
 
 def stream_dedup(spark, root):
@@ -48,12 +55,23 @@ def stream_dedup(spark, root):
     return s.run(s.dedup(twice), "dedup").select("event_id", "sym", "price")
 
 
+def stream_late_rows(spark, root):
+    """The newer half of the events comes first; a second run resumes the stream, and the older half is behind its watermark."""
+    base = scratch(spark, "late")
+    events = table(spark, root, "events")
+    middle = events.agg(F.percentile("event_id", 0.5)).scalar()
+    for part in (F.col("event_id") > middle, F.col("event_id") <= middle):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        result = s.counted(s.dedup(spark.readStream.schema(s.EVENTS).parquet(f"{base}/events")), "late", f"{base}/run")
+    return result
+
+
 def stream_publish(spark, root):
     ok = s.ticks(spark, root).where("sym != 'error'").select(
         F.to_date("ts").alias("push_date"), F.when(F.col("sym").isin("click", "view"), "intraday").otherwise("after_hours").alias("mode"), "ts", "event_id")
-    return s.run_batches(ok, "publish", s.publish, "push_date date, mode string, event_id bigint")
+    return s.first_pushes(s.run_log(ok, "publish", each=s.first_pushes)).drop("ts")
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (stream_ohlcv_bars, stream_sliding_volume, stream_sessions, stream_quote_splice, stream_upsert_bars,
-                                    stream_regime_latch, stream_dedup, stream_publish)}
+                                    stream_regime_latch, stream_dedup, stream_late_rows, stream_publish)}

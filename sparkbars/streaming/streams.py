@@ -1,13 +1,16 @@
 """Structured Streaming operators over a tick stream (sym, ts, price, volume).
 
-Every stream runs to the end of its input with ``availableNow`` and writes Parquet to a
-shared folder. State is bounded by watermarks; each operator aggregates before it keeps state.
+Every stream runs to the end of its input with ``availableNow``. Changing results are written in update mode to a log, one
+folder per micro-batch, so that windows still open at the end are there too; a reader takes the newest row of each key. No
+batch reads or rewrites what an earlier one wrote, and a retried batch overwrites its own folder. State is bounded by
+watermarks. With the same ``base`` a later run resumes where the last one stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkbars.operators.maintenance import OHLC
 from sparkbars.sources.tables import scratch
@@ -24,36 +27,38 @@ def ticks(spark: SparkSession, root: str) -> DataFrame:
                       F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
 
-def run(df: DataFrame, name: str) -> DataFrame:
+def run(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """Run an append-mode stream to completion and return what it wrote."""
-    spark, base = df.sparkSession, scratch(df.sparkSession, name)
+    spark, base = df.sparkSession, base or scratch(df.sparkSession, name)
     query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def run_batches(df: DataFrame, name: str, merge, schema: str) -> DataFrame:
-    """Run a stream whose batches are merged into a versioned table.
+def run_log(df: DataFrame, name: str, base: str | None = None, each=None) -> DataFrame:
+    """Run an update-mode stream to completion; return the log of its batches with the number of each in ``batch``.
 
-    Batch n reads version n-1 and overwrites version n, so a batch that is retried after a
-    failure gives the same version again.
+    ``each`` is a static aggregation of one batch, where that suffices and the stream needs no state.
     """
-    spark, base = df.sparkSession, scratch(df.sparkSession, name)
-    newest = []
+    spark, base = df.sparkSession, base or scratch(df.sparkSession, name)
+    each = each or (lambda batch: batch)
+    schema = each(spark.createDataFrame([], df.schema)).schema
+    spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{base}/log/batch=-1")
 
     def apply(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(schema).parquet(f"{base}/v{number - 1}") if number else session.createDataFrame([], schema)
-        merge(before, batch).write.mode("overwrite").parquet(f"{base}/v{number}")
-        newest.append(number)
+        each(batch).write.mode("overwrite").parquet(f"{base}/log/batch={number}")
 
-    query = (df.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", f"{base}/checkpoint")
+    query = (df.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    if not newest:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/v{max(newest)}")
+    return spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(f"{base}/log")
+
+
+def newest(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written row of each key, combined before the shuffle."""
+    values = [c for c in log.columns if c not in (*keys, "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
 def ohlcv(stream: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -71,9 +76,20 @@ def sliding_volume(stream: DataFrame) -> DataFrame:
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks")).select("sym", F.col("w.start").alias("start"), "volume", "ticks")
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    return stream.withWatermark("ts", DELAY).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume")).select("user_id", F.col("w.start").alias("start"), "events", "volume")
+def session_parts(batch: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions within one batch; parts of a session that spans batches are joined by ``sessions``."""
+    return batch.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume")).drop("w")
+
+
+def sessions(parts: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Parts of sessions joined where they are no further apart than the gap."""
+    w = Window.partitionBy("user_id").orderBy("start", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") > before + F.expr(f"interval {gap}"), F.lit(True))
+    numbered = parts.withColumn("fresh", fresh.cast("int")).withColumn("n", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "n").agg(
+        F.min("start").alias("start"), F.sum("events").alias("events"), F.sum("volume").alias("volume")).drop("n")
 
 
 def splice(stream: DataFrame, history: DataFrame) -> DataFrame:
@@ -87,24 +103,16 @@ def splice(stream: DataFrame, history: DataFrame) -> DataFrame:
     return joined.select("event_id", "key", (F.col("price") * ratio).alias("price"))
 
 
-def upsert(before: DataFrame, batch: DataFrame) -> DataFrame:
-    """Bars of a batch written over, or added to, the table; (sym, start) is the key."""
-    rows = before.withColumn("src", F.lit(0)).unionByName(batch.withColumn("src", F.lit(1)))
-    return rows.groupBy("sym", "start").agg(*[F.max_by(c, "src").alias(c) for c in (*OHLC, "volume")])
+def upsert(existing: DataFrame, log: DataFrame) -> DataFrame:
+    """Bars of a stream written over, or added to, an existing table; (sym, start) is the key."""
+    return newest(existing.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(log), ["sym", "start"])
 
 
-def latch_update(upper: float, lower: float):
-    """Merge for finished bars: carry each symbol's on/off state over the batch boundary."""
-    def merge(before: DataFrame, batch: DataFrame) -> DataFrame:
-        event = F.when(F.col("close") >= upper, 1).when(F.col("close") <= lower, 0)
-        last = before.groupBy("sym").agg(F.max_by("state", "start").alias("event"), F.max("start").alias("start"))
-        rows = batch.select("sym", "start", event.alias("event"), F.lit(True).alias("fresh")).unionByName(
-            last.select("sym", "start", "event", F.lit(False).alias("fresh")))
-        w = Window.partitionBy("sym").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-        state = F.coalesce(F.last("event", ignorenulls=True).over(w), F.lit(0))
-        fresh = rows.withColumn("state", state).where("fresh").select("sym", "start", "state")
-        return before.unionByName(fresh)
-    return merge
+def latch_states(bars: DataFrame, upper: float, lower: float) -> DataFrame:
+    """On/off state of each symbol after each of its bars: the last event wins."""
+    event = F.when(F.col("close") >= upper, 1).when(F.col("close") <= lower, 0)
+    w = Window.partitionBy("sym").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return bars.select("sym", "start", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(0)).alias("state"))
 
 
 def dedup(stream: DataFrame) -> DataFrame:
@@ -112,8 +120,16 @@ def dedup(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def publish(before: DataFrame, batch: DataFrame) -> DataFrame:
-    """First successful row of each (date, mode), once over all batches."""
-    first = batch.groupBy("push_date", "mode").agg(F.min(F.struct("ts", "event_id")).alias("p")).select(
-        "push_date", "mode", F.col("p.event_id").alias("event_id"))
-    return before.unionByName(first.join(before.select("push_date", "mode"), ["push_date", "mode"], "left_anti"))
+def counted(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Run an append-mode stream to completion; count all rows it has kept and those that came too late in this run."""
+    spark, base = df.sparkSession, base or scratch(df.sparkSession, name)
+    query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(df.schema).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(late).cast("bigint"))
+
+
+def first_pushes(batch: DataFrame) -> DataFrame:
+    """First successful row of each (date, mode) in a batch, or, over the log of all batches, of all."""
+    return batch.groupBy("push_date", "mode").agg(F.min(F.struct("ts", "event_id")).alias("p")).select("push_date", "mode", "p.*")
