@@ -124,9 +124,14 @@ def oracle_sql() -> dict[str, str]:
          FROM market_daily)))""", MARKET)
     o["amv_smooth_sma"] = query(f"SELECT d, round({mean('amv', 15)}, 4) AS smoothed FROM market_daily", MARKET)
     o["amv_smooth_hybrid"] = query(f"SELECT d, round(0.6 * ({mean('amv', 5)}) + 0.4 * ({mean('amv', 20)}), 4) AS smoothed FROM market_daily", MARKET)
-    o["amv_smooth_ema"] = query("SELECT d, round(e, 6) AS smoothed FROM n JOIN e USING (k)", MARKET, """
-      n AS (SELECT d, amv, row_number() OVER (ORDER BY d) AS k FROM market_daily),
-      e AS (SELECT k, amv AS e FROM n WHERE k = 1 UNION ALL SELECT n.k, (2 * n.amv + 14 * e.e) / 16 FROM e JOIN n ON n.k = e.k + 1)""")
+    numbered = "n AS (SELECT d, amv, row_number() OVER (ORDER BY d) AS k FROM market_daily)"
+    ema = lambda name, source, column, n: (
+        f"{name} AS (SELECT k, d, {column} AS e FROM {source} WHERE k = 1 UNION ALL SELECT s.k, s.d, (2 * s.{column} + {n - 1} * e.e) / {n + 1} "
+        f"FROM {name} e JOIN {source} s ON s.k = e.k + 1)")
+    for name, n in (("amv_smooth_ema", 15), ("amv_smooth_ema_slow", 42), ("amv_smooth_ema_one", 1)):
+        o[name] = query(f"SELECT d, round(e, {3 if n == 42 else 6}) AS smoothed FROM e1", MARKET, numbered, ema("e1", "n", "amv", n))
+    o["regime_x_ema"] = query("SELECT d, round(a.e, 2) AS smoothed, round(b.e, 2) AS cost_ma, round((a.e - b.e) / b.e * 100, 5) AS x FROM e1 a JOIN e2 b USING (k, d)",
+                              MARKET, numbered, ema("e1", "n", "amv", 15), ema("e2", "e1", "e", 42))
     o["regime_x"] = query("SELECT d, round(smoothed, 4) AS smoothed, round(cost_ma, 4) AS cost_ma, round(x, 6) AS x FROM xs", MARKET, REGIME_CTE)
     o["amv_source_variants"] = query("""SELECT d, round(sum(coalesce(amount, volume * close)), 2) AS by_amount,
       round(sum(total_mv * turnover_rate_f / 100), 2) AS by_total_value, round(sum(circ_mv * turnover_rate_f / 100), 2) AS by_circulating

@@ -101,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
       OR (industry_ok AND NOT momentum_ok AND score_before >= {R.revive_momentum_score} AND eq_j >= {R.revive_j_score})""", *full)
     o["dynamic_score_filter"] = query(f"SELECT sym, d, bull, score FROM gated WHERE {FINAL}", *full)
     shown = f"sym, name, industry, d, round(close, 4) AS price, score, momentum_tag, {PRIORITY} AS priority, {STARS} AS stars, {LABELS} AS wyckoff"
-    o["daily_scan"] = query(f"SELECT {shown} FROM gated WHERE {FINAL} AND (sym, d) IN (SELECT sym, max(d) FROM bars GROUP BY 1) "
+    o["daily_scan"] = query(f"SELECT {shown} FROM gated WHERE {FINAL} AND (sym, d) IN (SELECT sym, max(d) FROM bars WHERE d <= DATE '1996-08-05' GROUP BY 1) "
                             "AND sym IN (SELECT sym FROM tradable)", *full, LISTING)
     o["scan_all_dates"] = query(f"SELECT {shown} FROM gated WHERE {FINAL}", *full)
     return o

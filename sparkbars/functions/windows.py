@@ -39,7 +39,7 @@ def sequence(bars: DataFrame) -> DataFrame:
     dates; trade skew is absorbed earlier by the pre-aggregation that builds the bars.
     """
     w = Window.partitionBy("sym").orderBy("d")
-    fixed = F.rint(F.col("close") * FIXED).cast("bigint")
+    fixed = F.rint(F.col("close") * FIXED).cast("decimal(25,0)")  # its sums have 35 digits, so no series overflows them
     running = F.sum(fixed).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return bars.withColumns({"rn": F.row_number().over(w), "close_sum": running}).withColumn(
         "blk", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
@@ -51,7 +51,7 @@ def close_mean(n: int) -> Column:
     The cost per row does not depend on n, and fixed-point sums lose nothing over time.
     """
     before = F.coalesce(F.lag("close_sum", n).over(by_symbol()), F.lit(0))
-    return (F.col("close_sum") - before) / F.least("rn", F.lit(n)) / FIXED
+    return (F.col("close_sum") - before).cast("double") / F.least("rn", F.lit(n)) / FIXED
 
 
 def prior(column, n: int = 1) -> Column:

@@ -29,8 +29,11 @@ def full_mean(column: str, n: int, keys: list[str] | None = None) -> Column:
     return F.when(F.count(column).over(frame) >= n, F.avg(column).over(frame))
 
 
-def numbered(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str] | None = None, column: str | None = None) -> DataFrame:
+    """Rows numbered by date; with a column, from its first value on, 0 before and where it is null."""
     rn = F.row_number().over(by_date(keys))
+    if column:
+        rn = F.when(F.col(column).isNotNull(), F.count(column).over(up_to_now(keys))).otherwise(0)
     return df.withColumn("rn", rn).withColumn("blk", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
 
 
@@ -42,14 +45,14 @@ def smooth(df: DataFrame, column: str, out: str, method: str, n: int = 8, keys:
     if method == "none":
         return df.withColumn(out, F.col(column))
     if method == "ema":
-        return ewm(numbered(df, keys), keys or [], {out: (column, span(n))}).drop("rn", "blk")
+        return ewm(numbered(df, keys, column), keys or [], {out: (column, span(n))}).drop("rn", "blk")
     raise ValueError(f"unknown smoothing method: {method}")
 
 
-def with_x(df: DataFrame, n: int, cost: int, method: str = "sma", column: str = "amv") -> DataFrame:
+def with_x(df: DataFrame, n: int, cost: int, method: str = "sma", column: str = "amv", cost_method: str = "sma") -> DataFrame:
     """Distance of smoothed activity from its own cost average, in percent."""
     df = smooth(df, column, "smoothed", method, n)
-    df = df.withColumn("cost_ma", full_mean("smoothed", cost))
+    df = smooth(df, "smoothed", "cost_ma", cost_method, cost)
     return df.withColumn("x", (F.col("smoothed") - F.col("cost_ma")) / F.col("cost_ma") * 100.0)
 
 

@@ -53,6 +53,12 @@ def regime_x(spark, root):
     return df.select("d", F.round("smoothed", 4).alias("smoothed"), F.round("cost_ma", 4).alias("cost_ma"), F.round("x", 6).alias("x"))
 
 
+def regime_x_ema(spark, root):
+    """Distance from an exponential cost average of the exponentially smoothed activity."""
+    df = regime.with_x(views.market_daily(spark, root), 15, 42, "ema", cost_method="ema")
+    return df.select("d", F.round("smoothed", 2).alias("smoothed"), F.round("cost_ma", 2).alias("cost_ma"), F.round("x", 5).alias("x"))
+
+
 def amv_source_variants(spark, root):
     """Activity by the three source preferences: traded amount, total value, circulating value."""
     bars = views.bars(spark, root)
@@ -276,9 +282,10 @@ def crash_guard(spark, root):
 
 def queries() -> dict:
     out = {f.__name__: f for f in (
-        market_amv, market_amv_turnover, amv_unit_repair, regime_x, amv_source_variants, amv_universe, amv_from_fundamentals,
+        market_amv, market_amv_turnover, amv_unit_repair, regime_x, regime_x_ema, amv_source_variants, amv_universe, amv_from_fundamentals,
         regime_state_daily, weekly_resample, regime_state_weekly, asof_weekly_state, regime_allowed, regime_transitions,
         regime_summary, regime_status, regime_roc_latch, regime_eval, regime_grid, regime_grid_fine, regime_grid_topn,
         regime_grid_pivot, join_industry, industry_momentum, industry_allow_abs, industry_rs_rank, industry_allow_rs,
         industry_stats, industry_topn, industry_ma_lines, asof_nearest_momentum, crash_guard)}
-    return out | {"amv_smooth_sma": _smoothed("sma", 15), "amv_smooth_hybrid": _smoothed("hybrid", 0), "amv_smooth_ema": _smoothed("ema", 15, 6)}
+    return out | {"amv_smooth_sma": _smoothed("sma", 15), "amv_smooth_hybrid": _smoothed("hybrid", 0), "amv_smooth_ema": _smoothed("ema", 15, 6),
+                  "amv_smooth_ema_slow": _smoothed("ema", 42, 3), "amv_smooth_ema_one": _smoothed("ema", 1, 6)}

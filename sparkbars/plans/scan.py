@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkbars.functions.windows import half_even
@@ -106,18 +107,26 @@ def dynamic_score_filter(spark, root):
     return _final(gated(spark, root, _signals(spark, root))).select("sym", "d", "bull", "score")
 
 
-def daily_scan(spark, root):
-    """The whole scan for each symbol's newest bar: eligible universe, signal, gates, labels, tier."""
+def scan_of_day(spark, root, day=None):
+    """The whole scan as of a date (or the end of the data): eligible universe, signal on each symbol's newest bar, gates, labels, tier."""
     eligible = u.tradable(_listing(spark, root)).select("sym")
-    bars = views.bars(spark, root)
-    df = records.with_context(feature_frame(spark, root, BEST), BEST)
-    newest = bars.groupBy("sym").agg(F.max("d").alias("d"))
-    df = df.where("signal_v64").join(newest, ["sym", "d"], "left_semi").join(eligible, "sym", "left_semi")
+    df = _context(spark, root)
+    if day:
+        df = df.where(c("d") <= F.lit(day).cast("date"))
+    newest = F.max("d").over(Window.partitionBy("sym"))
+    df = df.withColumn("newest", newest).where("signal_v64 and d = newest").drop("newest").join(eligible, "sym", "left_semi")
     df = records.tier(records.detail(_final(gated(spark, root, df)), BEST))
     return df.select("sym", "name", "industry", "d", F.round("close", 4).alias("price"), "score", "momentum_tag", "priority", "stars",
                      F.array_join("wyckoff", ";").alias("wyckoff"))
 
 
+SCAN_DAY = "1996-08-05"
+
+
+def daily_scan(spark, root):
+    return scan_of_day(spark, root, SCAN_DAY)
+
+
 def scan_all_dates(spark, root):
     """The scan's gates and labels applied to every signal of the history."""
     df = records.tier(records.detail(_final(gated(spark, root, _signals(spark, root))), BEST))

@@ -23,13 +23,15 @@ def _ratio(numerator: str, denominator: str) -> F.Column:
 def _weekly(spark: SparkSession, root: str) -> DataFrame:
     """One aggregation with primitive buffers only, so it hashes and combines map-side.
 
-    The order of trades in a week is packed into one number: weekday, order, line.
+    The order of trades in a week is packed into one number: weekday, order (54 bits), line (3 bits); others are an error.
     """
     day = F.to_date("l_shipdate")
     trades = table(spark, root, "lineitem").where("l_quantity > 0 and l_extendedprice > 0").select(
         F.col("l_suppkey").alias("sym"),
         F.date_sub(day, F.weekday(day)).alias("d"),
-        ((F.weekday(day) * F.lit(1 << 54) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")).alias("place"),
+        F.when(F.col("l_orderkey").between(0, (1 << 54) - 1) & F.col("l_linenumber").between(0, 7),
+               (F.weekday(day) * F.lit(1 << 54) + F.col("l_orderkey")) * 8 + F.col("l_linenumber"))
+        .otherwise(F.raise_error(F.lit("order or line number out of range")).cast("bigint")).alias("place"),
         F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.col("l_quantity").cast("bigint").alias("qty"),
     ).withColumn("tick", _ratio("cents", "100 * qty"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbars.functions.recurrences import center_of_mass, ewm, span
-from sparkbars.functions.windows import BLOCK, sequence
+from sparkbars.functions.windows import BLOCK, close_mean, sequence
 from sparkbars.operators import maintenance as m
 from sparkbars.operators import records
 from sparkbars.operators.indicators import indicators
@@ -70,8 +70,22 @@ def test_recurrence_over_block_borders(spark):
             fast = close if fast is None else fast + (close - fast) / 3
             assert got[s, d].slow == pytest.approx(slow, rel=1e-12)
             assert got[s, d].fast == pytest.approx(fast, rel=1e-12)
-    with pytest.raises(ValueError):
-        ewm(df, ["sym"], {"x": ("close", span(200))})
+
+
+@pytest.mark.parametrize("n", [1, 1.2, 2, 30, 200, 5000])
+def test_recurrence_of_any_span(spark, n):
+    rows = walk(2 * BLOCK + 5, 7)
+    df = ewm(sequence(spark.createDataFrame(rows, SCHEMA)), ["sym"], {"x": ("close", span(n))})
+    e = None
+    for r, row in zip(df.orderBy("d").collect(), rows):
+        e = row[5] if e is None else e + span(n) * (row[5] - e)
+        assert r.x == pytest.approx(e, rel=1e-10)
+
+
+def test_average_of_prices_beyond_long(spark):
+    rows = [(1, START + dt.timedelta(days=k), *[3e9 + k] * 4, 1.0) for k in range(30)]
+    got = sequence(spark.createDataFrame(rows, SCHEMA)).withColumn("mean", close_mean(5)).orderBy("d").collect()
+    assert got[-1]["mean"] == pytest.approx(3e9 + 27) and got[0]["mean"] == 3e9
 
 
 def test_scores_are_bounded_and_add_up(spark):
