@@ -7,10 +7,12 @@ Sums are kept in integers, which makes every price exact.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkbars.sources.tables import table
+from sparkbars.sources.tables import scratch, table
 
 SMOOTH_BARS = 10
 
@@ -51,7 +53,34 @@ def bars_raw(spark: SparkSession, root: str) -> DataFrame:
     return _as_bars(_weekly(spark, root))
 
 
+_stored: dict[tuple, str] = {}
+_lock = threading.Lock()
+
+
+def stored(spark: SparkSession, root: str, name: str, derive) -> DataFrame:
+    """A view derived from the trades once and kept as a table in the shared folder, so that no query reads the trades again for it.
+
+    It is derived anew in each application, and whenever the trades' folder has changed.
+    """
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lineitem.parquet")
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(source)
+    key = (spark.sparkContext.applicationId, root, name, status.getModificationTime(), status.getLen())
+    with _lock:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{_stored[key]}/_SUCCESS") if key in _stored else None
+        if mark is None or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            path = scratch(spark, name)
+            derive(spark, root).write.parquet(path)
+            _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def bars(spark: SparkSession, root: str) -> DataFrame:
+    """The bar table; see ``derived_bars``."""
+    return stored(spark, root, "bars", derived_bars)
+
+
+def derived_bars(spark: SparkSession, root: str) -> DataFrame:
     """Weekly bars whose prices are pulled towards the volume-weighted mean of ten weeks."""
     trail = Window.partitionBy("sym").orderBy("d").rowsBetween(-(SMOOTH_BARS - 1), 0)
     weekly = _weekly(spark, root).withColumn("s", F.sum("cents").over(trail)).withColumn("q", F.sum("qty").over(trail))
@@ -71,6 +100,11 @@ def universe(spark: SparkSession, root: str) -> DataFrame:
 
 
 def market_daily(spark: SparkSession, root: str) -> DataFrame:
+    """The market series; see ``derived_market``."""
+    return stored(spark, root, "market", derived_market)
+
+
+def derived_market(spark: SparkSession, root: str) -> DataFrame:
     """Market activity per date, in currency units (summed exactly in cents)."""
     return table(spark, root, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(
         (F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("amv"),

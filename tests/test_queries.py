@@ -48,7 +48,7 @@ def test_hot_symbol_is_combined_before_the_shuffle(spark):
     """Trades meet a partial aggregation before the exchange, so a hot symbol does not travel row by row."""
     from sparkbars.sources import views
 
-    plan = views.bars(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    plan = views.derived_bars(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "SortAggregate" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -56,5 +56,12 @@ def test_hot_symbol_is_combined_before_the_shuffle(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     from sparkbars.sources import views
 
-    plan = views.bars(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    plan = views.derived_bars(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_tax" not in plan
+
+
+def test_a_query_reads_the_trades_once_at_most(spark):
+    """Bars and the market series are tables: whatever a plan does with them, it does not scan the trades again."""
+    for name in ("daily_scan", "scan_all_dates", "industry_allow_rs", "regime_allowed", "ledger_v62", "crash_guard"):
+        plan = entry.queries()[name](spark, ROOT)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_extendedprice" not in plan, name
