@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracle.prelude import query
+from oracle.prelude import BARS, UNIVERSE, query
 
 NOW = "DATE '2024-01-31'"
 USERS = f"""
@@ -53,4 +53,9 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT 'mode', mode, count(*) FROM logs WHERE mode NOT IN ('intraday') GROUP BY 2""", LOGS)
     o["dq_fk_orphans"] = query("SELECT user_id, count(*) AS events FROM events WHERE user_id NOT IN (SELECT user_id FROM users WHERE user_id % 10 <> 7) GROUP BY 1", USERS)
     o["ops_log_append"] = """SELECT event_id, '{"type":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS payload, 2 AS items FROM events"""
+    o["events_by_local_day"] = "SELECT (ts + INTERVAL 8 HOUR)::DATE AS day, count(*) AS events FROM events GROUP BY 1"
+    o["update_run_counters"] = query('''SELECT status, count(*) AS symbols, coalesce(sum(rows), 0)::BIGINT AS rows FROM
+      (SELECT u.sym, rows, CASE WHEN usable IS NULL THEN 'failed' WHEN usable = 0 THEN 'error' WHEN rows > 0 THEN 'updated' ELSE 'skipped' END AS status FROM universe u LEFT JOIN
+        (SELECT b.sym, count(*) FILTER (sym % 9 <> 4) AS usable, count(*) FILTER (sym % 9 <> 4 AND sym % 5 <> 0 AND (d > latest OR latest IS NULL)) AS rows FROM bars b LEFT JOIN
+          (SELECT sym AS s, max(d) AS latest FROM bars WHERE d < DATE '2000-06-01' GROUP BY 1) l ON l.s = b.sym WHERE sym % 7 <> 0 GROUP BY 1) p USING (sym)) GROUP BY 1''', UNIVERSE, BARS)
     return o

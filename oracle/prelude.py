@@ -129,8 +129,13 @@ def tags(r: Rules = BEST) -> str:
     gate_sql = f"score >= {r.min_score} AND (score < {r.rising_from_score} OR rising) AND NOT (score = 3 AND eq_volume = 1 AND eq_j = 0)"
     if r.drop_weak_score4:
         gate_sql += " AND NOT (score = 4 AND eq_j = 1 AND eq_volume = 0 AND eq_candle = 1 AND eq_ma = 2)"
-    structure = "anchor_recent AND support_ok AND micro_ok" + (" AND flow_ok" if r.smart_money else "")
+    structure = "anchor_recent AND support_ok" + (" AND micro_ok" if r.structure_micro else "") + (" AND flow_ok" if r.smart_money else "")
     v64 = ("signal_structure" if r.structure else "signal_v63") + (f" AND {gate_sql}" if r.quality else "")
+    if r.support_gate:
+        v64 += f" AND support_score >= {r.support_min}" + "".join(f" AND factor_{x}" for x in r.support_needs)
+    weighted = " + ".join(f"factor_{x}::INT * {w}" for x, w in zip("abcde", r.support_weights))
+    quality_code = "'J' || eq_j || 'V' || eq_volume || 'C' || eq_candle || 'M' || eq_ma"
+    support_code = "'A' || factor_a::INT || 'B' || factor_b::INT || 'C' || factor_c::INT || 'D' || factor_d::INT"
     persist = " + eq_persist" if r.persist else ""
     return f""",
 t1 AS (SELECT *, {t('white_line > yellow_line AND close > yellow_line')} AS trend_ok,
@@ -181,7 +186,7 @@ t8 AS (SELECT *, {'signal_v60 AND rebound_ok' if r.rebound else 'signal_v60'} AS
         THEN {r.persist_points} ELSE 0 END AS eq_persist,
    {t('yellow_line > yellow_ago')} AS rising FROM t7),
 t9 AS (SELECT *, {'signal_v61 AND micro_ok' if r.micro else 'signal_v61'} AS signal_v63,
-   factor_a::INT + factor_b::INT + factor_c::INT + factor_d::INT + factor_e::INT AS support_score,
+   {weighted} AS support_score,
    {last('sum(f_up::INT)', n)} >= 1 AS sm_strong_up,
    {last('sum(is_down::INT)', n)} = 0 OR {t(f"{last('sum(f_dq::INT)', n)} / nullif({last('sum(is_down::INT)', n)}, 0) >= {r.flow_pullback_share}")} AS sm_pullback_shrink,
    {last('sum(f_gain)', n)} >= {last('sum(f_loss)', n)} * {r.flow_dominance} AS sm_dominance,
@@ -191,8 +196,7 @@ t10 AS (SELECT *, sm_strong_up::INT + sm_pullback_shrink::INT + sm_dominance::IN
 t11 AS (SELECT *, flow_score >= {r.flow_min_score} AS flow_ok,
    least(greatest(eq_j + eq_volume + eq_candle + eq_ma + eq_support{persist}, 0), 8) AS score FROM t10),
 t12 AS (SELECT *, {structure} AS signal_structure FROM t11),
-sig AS (SELECT *, {v64} AS signal_v64, 'J' || eq_j || 'V' || eq_volume || 'C' || eq_candle || 'M' || eq_ma AS factor_code,
-   'A' || factor_a::INT || 'B' || factor_b::INT || 'C' || factor_c::INT || 'D' || factor_d::INT AS support_code FROM t12)"""
+sig AS (SELECT *, {v64} AS signal_v64, {quality_code if r.quality else support_code} AS factor_code, {support_code} AS support_code FROM t12)"""
 
 
 def query(select: str, *parts: str) -> str:

@@ -116,6 +116,29 @@ def violations(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     return df.select(F.inline(F.array(*rows))).where("bad").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def append_log(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Append log entries to a table and return the whole of it."""
+    log_row(rows).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def local_day(ts: Column | str, zone: str) -> Column:
+    """The date of a UTC time where ``zone`` is the local time."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def update_counters(symbols: DataFrame, cached: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Outcome of an update run: symbols with newer rows, with none, without an answer, or with unusable rows, and rows added."""
+    last = cached.groupBy("sym").agg(F.max("d").alias("latest"))
+    usable = (F.col("close") > 0) & (F.col("volume") > 0)
+    newer = F.coalesce(F.col("d") > F.col("latest"), F.lit(True)) & usable
+    per = fetched.join(last, "sym", "left").groupBy("sym").agg(
+        F.count_if(newer).alias("rows"), F.count_if(usable).alias("usable"))
+    status = F.when(F.col("usable").isNull(), "failed").when(F.col("usable") == 0, "error").when(F.col("rows") > 0, "updated").otherwise("skipped")
+    return symbols.select("sym").join(per, "sym", "left").groupBy(status.alias("status")).agg(
+        F.count(F.lit(1)).alias("symbols"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def log_row(events: DataFrame) -> DataFrame:
     """Log entry with a JSON payload, as appended to an audit or metric table."""
     payload = F.to_json(F.struct(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("int").alias("k")))

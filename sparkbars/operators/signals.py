@@ -128,7 +128,7 @@ def quality_scores(df: DataFrame, r: Rules) -> DataFrame:
     near = prior("near_count") >= r.persist_conditions
     near2 = prior("near_count", 2) >= r.persist_conditions
     df = df.withColumns({
-        "support_score": as_points(*[c(f"factor_{x}") for x in "abcde"]),
+        "support_score": sum((c(f"factor_{x}").cast("int") * w for x, w in zip("abcde", r.support_weights, strict=True)), F.lit(0)),
         "flow_score": as_points(c("sm_strong_up"), c("sm_pullback_shrink"), c("sm_dominance"), c("sm_no_distribution")),
         "eq_persist": F.when(truth(near) | truth(near2), r.persist_points).otherwise(0),
     })
@@ -157,17 +157,28 @@ def quality_gate(r: Rules) -> Column:
     return keep
 
 
+def support_gate(r: Rules) -> Column:
+    keep = c("support_score") >= r.support_min
+    for factor in r.support_needs:
+        keep = keep & c(f"factor_{factor}")
+    return keep
+
+
 def final_signals(df: DataFrame, r: Rules) -> DataFrame:
-    structure = c("anchor_recent") & c("support_ok") & c("micro_ok")
+    structure = c("anchor_recent") & c("support_ok")
+    if r.structure_micro:
+        structure = structure & c("micro_ok")
     if r.smart_money:
         structure = structure & c("flow_ok")
     df = df.withColumn("signal_structure", structure)
-    base = c("signal_structure") if r.structure else c("signal_v63")
-    return df.withColumns({
-        "signal_v64": base & quality_gate(r) if r.quality else base,
-        "factor_code": F.format_string("J%dV%dC%dM%d", "eq_j", "eq_volume", "eq_candle", "eq_ma"),
-        "support_code": F.format_string("A%dB%dC%dD%d", *[c(f"factor_{x}").cast("int") for x in "abcd"]),
-    })
+    signal = c("signal_structure") if r.structure else c("signal_v63")
+    if r.quality:
+        signal = signal & quality_gate(r)
+    if r.support_gate:
+        signal = signal & support_gate(r)
+    quality_code = F.format_string("J%dV%dC%dM%d", "eq_j", "eq_volume", "eq_candle", "eq_ma")
+    support_code = F.format_string("A%dB%dC%dD%d", *[c(f"factor_{x}").cast("int") for x in "abcd"])
+    return df.withColumns({"signal_v64": signal, "support_code": support_code, "factor_code": quality_code if r.quality else support_code})
 
 
 def signals(df: DataFrame, r: Rules) -> DataFrame:

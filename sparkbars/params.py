@@ -57,6 +57,11 @@ class Rules:
     converge_band: float = 0.5
     support_one: int = 2
     support_two: int = 3
+    support_weights: tuple[int, ...] = (1, 1, 1, 1, 1)  # of the factors A to E
+    support_gate: bool = False
+    support_min: int = 1
+    support_needs: str = ""  # factors that must be set, of "ad"
+    structure_micro: bool = True
     persist: bool = False
     persist_conditions: int = 3
     persist_points: int = 1

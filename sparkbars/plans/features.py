@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ def feature_frame(spark: SparkSession, root: str, rules: Rules = BEST, raw: bool
 
 
 # name -> (rules, columns); "a=b" renames b to a, ":n" rounds a double to n digits.
+# V6.4 without quality scores, gated by weighted institutional support with factor A required.
+SUPPORT = replace(V64, quality=False, support_gate=True, support_min=3, support_needs="a", support_weights=(2, 1, 1, 2, 1))
+
 PROJECTIONS = {
     "ind_sma": (BEST, "ma14:8 ma28:8 ma57:8 ma114:8"),
     "ind_ema": (BEST, "ema10:6 ema12:6 ema26:6"),
@@ -70,6 +75,8 @@ PROJECTIONS = {
     "signal_structure": (V64, "signal_structure"),
     "signal_v64": (V64, "signal_v64"),
     "signal_v64_best": (BEST, "signal_v64"),
+    "signal_v64_support": (SUPPORT, "signal_v64 support_score factor_code"),
+    "signal_structure_plain": (replace(V64, structure_micro=False), "signal_structure"),
     "factor_code": (BEST, "factor_code support_code"),
 }
 

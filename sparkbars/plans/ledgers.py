@@ -231,6 +231,8 @@ def queries() -> dict:
         ledger_by_symbol, ledger_by_regime, ledger_filtered_out, ledger_ab_delta, compare_signals_full_outer, benchmark_excess)}
     out |= {
         "ledger_metrics": lambda s, r: metrics.ledger_metrics(best(s, r)),
+        "ledger_exit_counts": lambda s, r: metrics.exit_counts(best(s, r)).select(
+            F.array_join(F.transform(F.map_entries("exits"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "|").alias("exits")),
         "ledger_by_exit": lambda s, r: metrics.by_exit(best(s, r)),
         "ledger_by_score": lambda s, r: metrics.by_score(best(s, r)),
         "ledger_breakdown_rollup": lambda s, r: metrics.breakdown(best(s, r)),

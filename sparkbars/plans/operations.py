@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.operators import ops
 from sparkbars.sources import views
-from sparkbars.sources.tables import table
+from sparkbars.sources.tables import scratch, table
 
 
 def now():
@@ -88,10 +88,27 @@ def dq_fk_orphans(spark, root):
 
 
 def ops_log_append(spark, root):
-    return ops.log_row(table(spark, root, "events"))
+    """Two appends to one log table, the later half of the events second."""
+    path, events = scratch(spark, "log"), table(spark, root, "events")
+    ops.append_log(spark, path, events.where("event_id % 2 = 0"))
+    return ops.append_log(spark, path, events.where("event_id % 2 <> 0"))
+
+
+def events_by_local_day(spark, root):
+    day = ops.local_day(F.col("ts").cast("timestamp"), "Asia/Shanghai")
+    return table(spark, root, "events").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def update_run_counters(spark, root):
+    """Cached bars up to a date; the fetch misses every seventh symbol, brings nothing new for every fifth and stopped days for every ninth."""
+    bars = views.bars(spark, root)
+    cut = F.when(F.col("sym") % 5 == 0, F.lit("2099-01-01")).otherwise(F.lit("2000-06-01")).cast("date")
+    fetched = bars.where("sym % 7 <> 0").withColumn("volume", F.when(F.col("sym") % 9 == 4, 0.0).otherwise(F.col("volume")))
+    return ops.update_counters(views.universe(spark, root), bars.where(F.col("d") < cut), fetched)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         ops_report, metrics_recent, ops_last_push, subscription_stats, active_subscribers, subscription_state, subscription_expire,
-        subscription_expire_events, subscription_upgrade, user_upsert, push_idempotent, dq_enum_violations, dq_fk_orphans, ops_log_append)}
+        subscription_expire_events, subscription_upgrade, user_upsert, push_idempotent, dq_enum_violations, dq_fk_orphans, ops_log_append,
+        events_by_local_day, update_run_counters)}
