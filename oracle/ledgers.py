@@ -123,13 +123,12 @@ def fold_sql(r: Rules, version: int) -> str:
     """The position walked bar by bar; closed trades are the rows with a reason."""
     return f"""
 walk AS (
- SELECT sym, rn, is_sig AS pending, {r.cash}::DOUBLE AS cash, false AS held, NULL::DATE AS entry_d, NULL::DOUBLE AS p_price,
+ SELECT sym, rn, is_sig AS pending, false AS held, NULL::DATE AS entry_d, NULL::DOUBLE AS p_price,
    NULL::DOUBLE AS p_atr, NULL::BIGINT AS p_shares, NULL::DOUBLE AS p_stop, NULL::DOUBLE AS p_hang, NULL::INT AS p_score,
    NULL::VARCHAR AS p_code, 0 AS hold, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS top, 0.0::DOUBLE AS line, NULL::VARCHAR AS reason,
    NULL::DOUBLE AS pnl, NULL::DATE AS exit_d, NULL::DOUBLE AS exit_price FROM bar WHERE rn = 1
  UNION ALL
  SELECT sym, rn, (NOT waiting AND NOT was_held AND is_sig) AS pending,
-   CASE WHEN enters THEN cash - size * fill WHEN why IS NOT NULL THEN cash + p_shares * close ELSE cash END,
    enters OR (was_held AND why IS NULL),
    CASE WHEN enters THEN d ELSE entry_d END, CASE WHEN enters THEN fill ELSE p_price END,
    CASE WHEN enters THEN atr ELSE p_atr END, CASE WHEN enters THEN size ELSE p_shares END,
@@ -140,8 +139,8 @@ walk AS (
    CASE WHEN why IS NOT NULL THEN d END, CASE WHEN why IS NOT NULL THEN close END
  FROM (SELECT *, CASE WHEN was_held THEN {reason_sql(r, version)} END AS why FROM (
    SELECT *, greatest(line0, top - p_hang * p_atr) AS line FROM (
-     SELECT b.*, w.cash, w.entry_d, w.p_price, w.p_atr, w.p_shares, w.p_stop, w.p_hang, w.p_score, w.p_code,
-       w.pending AS waiting, w.held AS was_held, w.pending AND b.can_enter AND b.size * b.fill <= w.cash AS enters,
+     SELECT b.*, w.entry_d, w.p_price, w.p_atr, w.p_shares, w.p_stop, w.p_hang, w.p_score, w.p_code,
+       w.pending AS waiting, w.held AS was_held, w.pending AND b.can_enter AS enters,
        CASE WHEN w.held THEN w.hold + 1 ELSE w.hold END AS hold,
        CASE WHEN w.held THEN greatest(w.peak, (b.high - w.p_price) / w.p_price) ELSE w.peak END AS peak,
        CASE WHEN w.held THEN greatest(w.top, b.high) ELSE w.top END AS top, w.line AS line0,

@@ -111,8 +111,8 @@ def exit_reason(r: Rules, version: int, p: Column, b: Column, pnl: Column) -> Co
 def _step(r: Rules, version: int):
     no_position = F.lit(None).cast(POSITION)
 
-    def state(pending, cash, position, trades):
-        return F.struct(pending.alias("pending"), cash.alias("cash"), position.alias("position"), trades.alias("trades"))
+    def state(pending, position, trades):
+        return F.struct(pending.alias("pending"), position.alias("position"), trades.alias("trades"))
 
     def step(acc: Column, b: Column) -> Column:
         price = b["fill"]
@@ -120,9 +120,9 @@ def _step(r: Rules, version: int):
         opened = F.struct(
             b["d"], price, b["atr"], b["size"], b["stop"], hang0, b["score"], b["code"], F.lit(0), F.lit(0.0), b["high"],
             F.greatest(F.lit(0.0), b["high"] - hang0 * b["atr"])).cast(POSITION)
-        entered = state(F.lit(False), acc["cash"] - b["size"] * price, opened, acc["trades"])
-        rejected = state(F.lit(False), acc["cash"], no_position, acc["trades"])
-        flat = state(b["sig"], acc["cash"], no_position, acc["trades"])
+        entered = state(F.lit(False), opened, acc["trades"])
+        rejected = state(F.lit(False), no_position, acc["trades"])
+        flat = state(b["sig"], no_position, acc["trades"])
 
         p0 = acc["position"]
         top = F.greatest(p0["top"], b["high"])
@@ -137,14 +137,14 @@ def _step(r: Rules, version: int):
             def decide(reason: Column) -> Column:
                 trade = F.struct(p["entry_d"], b["d"], p["price"], b["close"], p["shares"], p["hold"], pnl * 100,
                                  p["peak"] * 100, reason, p["code"]).cast(TRADE)
-                sold = state(F.lit(False), acc["cash"] + p["shares"] * b["close"], no_position,
+                sold = state(F.lit(False), no_position,
                              F.array_append(acc["trades"], trade))
-                return F.when(reason.isNull(), state(F.lit(False), acc["cash"], p, acc["trades"])).otherwise(sold)
+                return F.when(reason.isNull(), state(F.lit(False), p, acc["trades"])).otherwise(sold)
 
             return _let(exit_reason(r, version, p, b, pnl), decide)
 
         holding = _let(moved, close_or_hold)
-        return (F.when(acc["pending"], F.when(b["can_enter"] & (b["size"] * price <= acc["cash"]), entered)
+        return (F.when(acc["pending"], F.when(b["can_enter"], entered)
                        .otherwise(rejected))
                 .when(p0.isNull(), flat).otherwise(holding))
 
@@ -168,7 +168,6 @@ def trade_ledger(df: DataFrame, r: Rules, version: int, signal: str, allow: str
               F.col("is_signal").alias("sig"), F.col("climax"), F.col("cross_down"), F.col("prev_atr").alias("atr"),
               F.col("stop_multiple").alias("stop"), F.col("hang_multiple").alias("hang"),
               F.coalesce("entry_score", F.lit(0)).alias("score"), F.col("entry_code").alias("code")]
-    start = F.struct(F.lit(False).alias("pending"), F.lit(float(r.cash)).alias("cash"),
-                     F.lit(None).cast(POSITION).alias("position"), F.lit([]).cast(f"array<{TRADE}>").alias("trades"))
+    start = F.struct(F.lit(False).alias("pending"), F.lit(None).cast(POSITION).alias("position"), F.lit([]).cast(f"array<{TRADE}>").alias("trades"))
     folded = fold_by_symbol(df, fields, start, _step(r, version), lambda acc: acc["trades"])
     return folded.select("sym", F.inline("folded"))

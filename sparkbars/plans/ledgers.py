@@ -70,11 +70,11 @@ def regime_settings():
 
 
 LEDGERS = {
-    "ledger_v60": (V60, 60, "signal_structure", None),
-    "ledger_v61": (V61, 61, "signal_structure", None),
-    "ledger_v62": (V62, 62, "signal_structure", industry_gate),
+    "ledger_v60": (V60, 60, "signal_v60", None),
+    "ledger_v61": (V61, 61, "signal_v61", None),
+    "ledger_v62": (V62, 62, "signal_v61", industry_gate),
     "ledger_v63": (V63, 63, "signal_v63", strength_gate),
-    "ledger_v63_limit": (LIMIT63, 63, "signal_structure", None),
+    "ledger_v63_limit": (LIMIT63, 63, "signal_v63", None),
     "ledger_v64": (V64, 64, "signal_v64", None),
     "ledger_v64_limit": (LIMIT64, 64, "signal_v64", None),
     "ledger_v64_best": (BEST, 64, "signal_v64", market_gate),

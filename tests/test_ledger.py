@@ -44,12 +44,11 @@ def label(r, version, p, row, pnl):
 
 
 def brute(rows, r, version):
-    cash, pending, p, out = r.cash, False, None, []
+    pending, p, out = False, None, []
     for row in rows:
         if pending:
             pending = False
-            if row.can_enter and row.size * row.fill <= cash:
-                cash -= row.size * row.fill
+            if row.can_enter:
                 p = dict(d=row.d, price=row.fill, atr=row.prev_atr, size=row.size, stop=row.stop_multiple, hang=row.hang_multiple,
                          score=row.entry_score, hold=0, peak=0.0, top=row.high, line=max(0.0, row.high - row.hang_multiple * row.prev_atr))
             continue
@@ -63,7 +62,6 @@ def brute(rows, r, version):
         p["line"] = max(p["line"], p["top"] - p["hang"] * p["atr"])
         why = label(r, version, p, row, pnl)
         if why:
-            cash += p["size"] * row.close
             out.append((p["d"], row.d, p["hold"], why, round(pnl * 100, 8)))
             p = None
     return out
