@@ -18,6 +18,31 @@ SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY node) c ON c.node = n.doc_id
 """
 
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400),
+h AS (SELECT k, i, md5(b[i:i + 399]) AS h FROM w),
+r AS (SELECT k, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+p AS (SELECT k, b, unnest(range(1, octet_length(b) + 1)) AS p FROM d),
+m AS (SELECT p.k, p.p, p.b[p.p:p.p] AS byte, coalesce(max(r.i) OVER (PARTITION BY p.k ORDER BY p.p) >= p.p - 399, false) AS gone
+  FROM p LEFT JOIN r ON r.k = p.k AND r.i = p.p),
+f AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY k ORDER BY p) AS before FROM m),
+s AS (SELECT k, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+  coalesce(string_agg(hex(byte), '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM f GROUP BY k)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s USING (k)
+"""
+
+OP9 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8}
+    return {"op2_suffix_array_dedup": OP2, "op8_minhash_near_dedup": OP8, "op9_nearest_neighbours": OP9}
