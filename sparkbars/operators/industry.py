@@ -25,10 +25,11 @@ def _members(joined: DataFrame, least: int) -> DataFrame:
 def momentum(bars: DataFrame, universe: DataFrame, n: int, least: int = MEMBERS) -> DataFrame:
     """Rolling sum of the equal-weight mean return per industry, null while it is too short."""
     change = F.col("close") / F.lag("close").over(Window.partitionBy("sym").orderBy("d")) - 1
-    rows = bars.select("sym", "d", change.alias("change")).join(
-        universe.where("industry is not null and industry != ''").select("sym", "industry"), "sym")
+    classed = universe.where("industry is not null and industry != ''").select("sym", "industry")
+    rows = bars.select("sym", "d", change.alias("change")).join(classed, "sym")
+    listed = bars.select("sym").distinct().join(classed, "sym")  # needs no returns, so the window runs once
     per_day = rows.groupBy("industry", "d").agg(F.avg("change").alias("change"))
-    per_day = per_day.join(F.broadcast(_members(rows, least).select("industry")), "industry")
+    per_day = per_day.join(_members(listed, least).select("industry"), "industry")
     frame = by_industry().rowsBetween(-(n - 1), 0)
     enough = F.count("change").over(frame) >= max(n // 2, 5)
     return per_day.select("industry", "d", F.when(enough, F.sum("change").over(frame)).alias("momentum"))
@@ -95,7 +96,7 @@ def ma_lines(features: DataFrame, universe: DataFrame, least: int = MEMBERS) ->
     rows = features.select("sym", "d", "white_line", "yellow_line").join(
         universe.where("industry != ''").select("sym", "industry"), "sym")
     lines = rows.groupBy("industry", "d").agg(F.avg("white_line").alias("white"), F.avg("yellow_line").alias("yellow"))
-    return lines.join(F.broadcast(_members(rows, least).select("industry")), "industry")
+    return lines.join(_members(rows, least).select("industry"), "industry")
 
 
 def nearest(left: DataFrame, right: DataFrame, value: str, days: int = 1) -> DataFrame:

@@ -172,5 +172,5 @@ def retention(df: DataFrame, days: int) -> DataFrame:
 def calendar(span: DataFrame, overrides: DataFrame) -> DataFrame:
     """Trading flag per date of ``span(first, last)``; listed exceptions beat the weekend rule."""
     days = span.select(F.explode(F.sequence("first", "last")).alias("d"))
-    return days.join(F.broadcast(overrides), "d", "left").select(
+    return days.join(overrides, "d", "left").select(
         "d", F.coalesce("is_open", F.weekday("d") < 5).alias("is_open"))

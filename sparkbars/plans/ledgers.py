@@ -54,14 +54,14 @@ def strength_gate(spark, root, df, rules):
 
 def _join_industry(spark, root, df, allowed):
     members = views.universe(spark, root).select("sym", "industry")
-    df = df.join(members, "sym", "left").join(F.broadcast(allowed), ["industry", "d"], "left")
+    df = df.join(members, "sym", "left").join(allowed, ["industry", "d"], "left")
     return df.withColumn("allow", F.coalesce("allow", F.lit(True)))
 
 
 def market_gate(spark, root, df, rules):
     """Market regime gate by date: one row per calendar date, so it is safe to broadcast."""
     states = regime.daily_state(views.market_daily(spark, root), **regime_settings())
-    df = df.join(F.broadcast(states.select("d", (F.col("state") == 1).alias("allow"))), "d", "left")
+    df = df.join(states.select("d", (F.col("state") == 1).alias("allow")), "d", "left")
     return df.withColumn("allow", F.coalesce("allow", F.lit(True)))
 
 
@@ -174,7 +174,7 @@ def tag_buy_climax_v61(spark, root):
 
 def ledger_regime_filter(spark, root):
     states = regime.daily_state(views.market_daily(spark, root), **regime_settings())
-    gate = F.broadcast(states.select(F.col("d").alias("buy_date"), (F.col("state") == 1).alias("allow")))
+    gate = states.select(F.col("d").alias("buy_date"), (F.col("state") == 1).alias("allow"))
     trades = best(spark, root).join(gate, "buy_date", "left").where(F.coalesce("allow", F.lit(True)))
     return _round(trades)
 
@@ -189,7 +189,7 @@ def ledger_by_symbol(spark, root):
 
 def ledger_by_regime(spark, root):
     states = regime.daily_state(views.market_daily(spark, root), **regime_settings())
-    gate = F.broadcast(states.select(F.col("d").alias("buy_date"), F.col("state")))
+    gate = states.select(F.col("d").alias("buy_date"), F.col("state"))
     trades = best(spark, root).join(gate, "buy_date", "left").withColumn("state", F.coalesce("state", F.lit(-1)))
     return metrics.ledger_metrics(trades, ["state"])
 

@@ -309,13 +309,13 @@ def sample_symbols(spark, root):
 def prefilter_median_industry(spark, root):
     changes = views.universe(spark, root).groupBy("industry").agg(F.avg("balance").alias("change"))
     strong = u.strong_industries(changes)
-    return u.tradable(_listing(spark, root)).join(F.broadcast(strong), "industry", "left_semi").select("sym", "industry")
+    return u.tradable(_listing(spark, root)).join(strong, "industry", "left_semi").select("sym", "industry")
 
 
 def universe_literal_semi(spark, root):
     """A curated list of symbols as a literal table."""
     curated = spark.range(1).select(F.explode(F.expr("sequence(0L, 95L, 5L)")).alias("sym"))
-    bars = views.bars(spark, root).join(F.broadcast(curated), "sym", "left_semi")
+    bars = views.bars(spark, root).join(curated, "sym", "left_semi")
     return bars.groupBy("sym").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -337,7 +337,7 @@ def resume_anti(spark, root):
 
 def filter_allowed_dates(spark, root):
     states = regime.daily_state(views.market_daily(spark, root), **regime_settings())
-    days = F.broadcast(states.where("state = 1").select("d"))
+    days = states.where("state = 1").select("d")
     return feature_frame(spark, root).where("signal_v64").select("sym", "d").join(days, "d", "left_semi").select("sym", "d")
 
 

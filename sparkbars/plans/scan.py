@@ -35,11 +35,11 @@ def _permitted(spark, root):
 
 def gated(spark, root, df):
     """Signals with regime, industry permission and momentum verdict."""
-    df = df.join(F.broadcast(_permitted(spark, root)), "d", "left").withColumn("bull", F.coalesce("bull", F.lit(False)))
+    df = df.join(_permitted(spark, root), "d", "left").withColumn("bull", F.coalesce("bull", F.lit(False)))
     momentum = industry.momentum(views.bars(spark, root), views.universe(spark, root), BEST.industry_days)
     allowed = industry.allow_absolute(momentum, BEST.industry_threshold).withColumnRenamed("allow", "industry_ok")
     df = df.join(views.universe(spark, root).select("sym", "name", "industry"), "sym", "left")
-    df = df.join(F.broadcast(allowed), ["industry", "d"], "left").withColumn("industry_ok", F.coalesce("industry_ok", F.lit(True)))
+    df = df.join(allowed, ["industry", "d"], "left").withColumn("industry_ok", F.coalesce("industry_ok", F.lit(True)))
     return records.momentum_check(df, BEST)
 
 
