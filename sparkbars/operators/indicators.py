@@ -102,12 +102,21 @@ def third_level(df: DataFrame) -> DataFrame:
     })
 
 
+STEPS = (candles, rolling, derived, recurrences, second_level, third_level)
+
+
+def built(df: DataFrame, steps, needed: set[str] | None = None) -> DataFrame:
+    """Apply steps in order, up to the first that provides all needed columns; no step changes a column of an earlier one."""
+    for step in steps:
+        if needed is not None and needed <= set(df.columns):
+            break
+        df = step(df)
+    return df
+
+
 def indicators(bars: DataFrame) -> DataFrame:
     """Bars plus every indicator column; unused columns are pruned by the optimizer."""
-    df = sequence(bars)
-    for step in (candles, rolling, derived, recurrences, second_level, third_level):
-        df = df.transform(step)
-    return df
+    return built(sequence(bars), STEPS)
 
 
 def dynamic_stops(df: DataFrame, rules) -> DataFrame:

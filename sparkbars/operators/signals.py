@@ -181,8 +181,11 @@ def final_signals(df: DataFrame, r: Rules) -> DataFrame:
     return df.withColumns({"signal_v64": signal, "support_code": support_code, "factor_code": quality_code if r.quality else support_code})
 
 
+STEPS = (row_tags, tag_windows, anchors, quiet_signals, quality_scores, final_signals)
+
+
 def signals(df: DataFrame, r: Rules) -> DataFrame:
     """All tags, scores and signals of a rule set on top of ``indicators``."""
-    for step in (row_tags, tag_windows, anchors, quiet_signals, quality_scores, final_signals):
+    for step in STEPS:
         df = step(df, r)
     return df

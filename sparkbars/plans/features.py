@@ -7,15 +7,18 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbars.operators.indicators import dynamic_stops, indicators, n_bar_return, slope_label
-from sparkbars.operators.signals import signals
+from sparkbars.functions.windows import sequence
+from sparkbars.operators.indicators import STEPS, built, dynamic_stops, indicators, n_bar_return, slope_label
+from sparkbars.operators.signals import STEPS as SIGNAL_STEPS
 from sparkbars.params import BEST, V60, V61, V63, V64, Rules
 from sparkbars.sources import views
 
 
-def feature_frame(spark: SparkSession, root: str, rules: Rules = BEST, raw: bool = False) -> DataFrame:
+def feature_frame(spark: SparkSession, root: str, rules: Rules = BEST, raw: bool = False, needed: set[str] | None = None) -> DataFrame:
+    """Indicators, tags, scores and signals; with ``needed``, only the stages that provide these columns are planned."""
     bars = views.bars_raw(spark, root) if raw else views.bars(spark, root)
-    return signals(indicators(bars), rules)
+    steps = [*STEPS, *(lambda df, step=step: step(df, rules) for step in SIGNAL_STEPS)]
+    return built(sequence(bars), steps, needed)
 
 
 # name -> (rules, columns); "a=b" renames b to a, ":n" rounds a double to n digits.
@@ -99,7 +102,8 @@ def project(df: DataFrame, columns: str) -> DataFrame:
 
 
 def _projection(rules: Rules, columns: str):
-    return lambda spark, root: project(feature_frame(spark, root, rules), columns)
+    needed = {source for _, source, _ in parse(columns)}
+    return lambda spark, root: project(feature_frame(spark, root, rules, needed=needed), columns)
 
 
 def dynamic_stop_params(spark, root):
