@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sparkbars.plans import registry  # noqa: E402
+from sparkbars.sources import views  # noqa: E402
 
 HEADLINE = [
     "cache_stats",              # table statistics over all bars
@@ -41,8 +42,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
-    queries["cache_stats"](spark, root).collect()  # start the JVM's code paths once
-    times = {}
+    queries["ops_report"](spark, root).collect()  # start the JVM's code paths once
+    start = time.time()
+    views.bars(spark, root), views.market_daily(spark, root)  # derived from the trades once, then read by all queries
+    times = {"bar_table": round(time.time() - start, 3)}
     for name in HEADLINE:
         start = time.time()
         queries[name](spark, root).write.format("noop").mode("overwrite").save()
