@@ -159,6 +159,10 @@ def oracle_sql() -> dict[str, str]:
       (SELECT CASE WHEN arg_max(state, d) = 1 THEN '允许' ELSE '禁止' END FROM f WHERE state <> p) AS last_state,
       CASE WHEN state = 1 THEN '活跃上升' ELSE '萎缩下降' END AS trend_label FROM permitted ORDER BY d DESC LIMIT 1""",
                                *wks, ASOF, "f AS (SELECT *, lag(state, 1, 0) OVER (ORDER BY d) AS p FROM daily)")
+    o["regime_changes"] = query("""SELECT (SELECT arg_max(state, d) = 1 FROM daily) AS can_open_position, coalesce(string_agg(
+      strftime(d, '%m-%d') || ':' || CASE WHEN state = 1 THEN '牛市' ELSE '熊市' END, '|' ORDER BY d), '') AS changes
+      FROM (SELECT d, state FROM (SELECT *, lag(state) OVER (ORDER BY d) AS p FROM daily) WHERE state <> p ORDER BY d DESC LIMIT 3)""", funds,
+                                "market_daily AS (SELECT d, round(sum(circ_mv * turnover_rate_f / 100), 2) AS amv FROM funds GROUP BY 1)", REGIME_CTE)
     o["regime_roc_latch"] = query(f"SELECT d, {latch('r >= 0.0425', 'r <= -0.0125')} = 1 AS allowed FROM "
                                   "(SELECT *, amv / lag(amv) OVER (ORDER BY d) - 1 AS r FROM market_daily)", MARKET)
     o["regime_eval"] = query("SELECT * FROM scored", MARKET, INDEX, REGIME_CTE, RETURNS,

@@ -85,6 +85,11 @@ def oracle_sql() -> dict[str, str]:
     o["sos_dates_list"] = query("SELECT sym, d, sos_dates FROM cx", *sig)
     o["signal_detail_labels"] = query(f"""SELECT sym, d, {LABELS} AS wyckoff, array_to_string({VPA}, ';') AS vpa, {CANDLE} AS candle,
       round(yellow_line - 0.5 * atr14, 8) AS support, round(yellow_line + 1.5 * atr14, 8) AS resistance FROM hits""", *sig)
+    more_vpa = f"list_concat({VPA}, CASE WHEN upper_shadow > body * 1.5 THEN ['上影线压力(供应出现)'] ELSE [] END)"
+    more_candle = CANDLE.replace("WHEN close > open AND close_position", "WHEN body < amplitude * 0.3 AND close > open THEN '小阳线(温和看多)' "
+                                 "WHEN body < amplitude * 0.3 THEN '小阴线(温和看空)' WHEN close > open AND close_position")
+    o["signal_detail_extended"] = query(f"""SELECT sym, d, {LABELS} AS wyckoff, array_to_string({more_vpa}, ';') AS vpa, {more_candle} AS candle,
+      round(yellow_line - 0.5 * atr14, 8) AS support, round(yellow_line + 1.5 * atr14, 8) AS resistance FROM hits""", *sig)
     o["t_trading_advice"] = query(f"SELECT sym, d, {ADVICE} FROM hits", *sig)
     o["signal_priority_tier"] = query(f"SELECT sym, d, score, {PRIORITY} AS priority, {STARS} AS stars FROM hits", *sig)
     o["seasonal_flag"] = query("SELECT d, CASE WHEN month(d) IN (3, 5) THEN 'danger' WHEN month(d) IN (8, 10) THEN 'golden' ELSE 'neutral' END AS season FROM market_daily", MARKET)

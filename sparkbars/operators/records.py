@@ -36,8 +36,8 @@ def with_context(df: DataFrame, r: Rules) -> DataFrame:
     })
 
 
-def detail(df: DataFrame, r: Rules) -> DataFrame:
-    """Reading of a bar in three vocabularies, with support and resistance.
+def detail(df: DataFrame, r: Rules, extended: bool = False) -> DataFrame:
+    """Reading of a bar in three vocabularies, with support and resistance; ``extended`` also names upper shadows and small bodies.
 
     Fixed values: the label texts.
     """
@@ -50,8 +50,11 @@ def detail(df: DataFrame, r: Rules) -> DataFrame:
         (F.lit(True), F.when(c("vol_ratio") < r.quiet_volume, text("缩量(%.1f%%均量=供应枯竭)", c("vol_ratio") * 100))
          .otherwise(text("量比%.2f", c("vol_ratio")))),
         (c("body") / (c("close") + GUARD) < r.quiet_body, F.lit("小实体(多空平衡/拒绝下跌)")),
-        (c("lower_shadow") > c("body") * 1.5, F.lit("下影线支撑(需求托底)")))
+        (c("lower_shadow") > c("body") * 1.5, F.lit("下影线支撑(需求托底)")),
+        (F.lit(extended) & (c("upper_shadow") > c("body") * 1.5), F.lit("上影线压力(供应出现)")))
+    small = F.lit(extended) & (c("body") < c("amplitude") * 0.3)
     candle = (F.when(c("body") < c("amplitude") * 0.1, "十字星(方向选择)")
+              .when(small & (c("close") > c("open")), "小阳线(温和看多)").when(small, "小阴线(温和看空)")
               .when((c("close") > c("open")) & (c("close_position") > 0.7), "阳线收高(强势)")
               .when((c("close") < c("open")) & (c("lower_shadow") > c("body") * 2), "锤子线(潜在反转)")
               .when(c("close") >= c("open"), "阳线").otherwise("阴线"))

@@ -163,6 +163,15 @@ def status(permitted: DataFrame) -> DataFrame:
         F.when(F.col("last.state") == 1, "活跃上升").otherwise("萎缩下降").alias("trend_label"))
 
 
+def changes(daily: DataFrame, n: int = 3) -> DataFrame:
+    """One record: may positions be opened, and the last n changes of state, oldest first."""
+    flips = daily.withColumn("before", F.lag("state").over(by_date())).where("state <> before").orderBy(F.desc("d")).limit(n)
+    # State labels.
+    label = F.when(F.col("state") == 1, "牛市").otherwise("熊市")
+    last = flips.agg(F.sort_array(F.collect_list(F.struct("d", label.alias("to")))).alias("changes"))
+    return last.withColumn("can_open_position", daily.agg(F.max_by("state", "d") == 1).scalar())
+
+
 def grid(settings: dict, strict: bool = True) -> list[tuple[float, float]]:
     """Admissible (upper, lower) pairs."""
     share = 1.0 if strict else 0.5

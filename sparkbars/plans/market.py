@@ -121,6 +121,13 @@ def regime_status(spark, root):
         F.col("last_transition.date").alias("last_date"), F.col("last_transition.to_state").alias("last_state"), "trend_label")
 
 
+def regime_changes(spark, root):
+    """The status record from turnover instead of activity."""
+    turnover = market_amv_turnover(spark, root).select("d", "amv")
+    text = F.transform("changes", lambda s: F.concat_ws(":", F.date_format(s["d"], "MM-dd"), s["to"]))
+    return regime.changes(regime.daily_state(turnover, **regime_settings())).select("can_open_position", F.array_join(text, "|").alias("changes"))
+
+
 def regime_roc_latch(spark, root):
     return regime.roc_latch(views.market_daily(spark, root)).select("d", "allowed")
 
@@ -284,7 +291,7 @@ def queries() -> dict:
     out = {f.__name__: f for f in (
         market_amv, market_amv_turnover, amv_unit_repair, regime_x, regime_x_ema, amv_source_variants, amv_universe, amv_from_fundamentals,
         regime_state_daily, weekly_resample, regime_state_weekly, asof_weekly_state, regime_allowed, regime_transitions,
-        regime_summary, regime_status, regime_roc_latch, regime_eval, regime_grid, regime_grid_fine, regime_grid_topn,
+        regime_summary, regime_status, regime_changes, regime_roc_latch, regime_eval, regime_grid, regime_grid_fine, regime_grid_topn,
         regime_grid_pivot, join_industry, industry_momentum, industry_allow_abs, industry_rs_rank, industry_allow_rs,
         industry_stats, industry_topn, industry_ma_lines, asof_nearest_momentum, crash_guard)}
     return out | {"amv_smooth_sma": _smoothed("sma", 15), "amv_smooth_hybrid": _smoothed("hybrid", 0), "amv_smooth_ema": _smoothed("ema", 15, 6),

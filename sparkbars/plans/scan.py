@@ -52,12 +52,19 @@ def sos_dates_list(spark, root):
     return _context(spark, root).select("sym", "d", F.array_join("sos_dates", ",").alias("sos_dates"))
 
 
-def signal_detail_labels(spark, root):
-    df = records.detail(_signals(spark, root), BEST)
+def _labels(df):
     return df.select("sym", "d", *[F.array_join(n, ";").alias(n) for n in ("wyckoff", "vpa", "candle")],
                      F.round("support", 8).alias("support"), F.round("resistance", 8).alias("resistance"))
 
 
+def signal_detail_labels(spark, root):
+    return _labels(records.detail(_signals(spark, root), BEST))
+
+
+def signal_detail_extended(spark, root):
+    return _labels(records.detail(_signals(spark, root), BEST, extended=True))
+
+
 def t_trading_advice(spark, root):
     df = records.intraday_advice(_signals(spark, root))
     return df.select("sym", "d", "t_mode", "t_slope", "t_buy", "t_sell", "t_risk", F.round("t_amplitude", 6).alias("t_amplitude"))
@@ -136,7 +143,7 @@ def scan_all_dates(spark, root):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        signal_change_volratio, sos_dates_list, signal_detail_labels, t_trading_advice, signal_priority_tier, seasonal_flag,
+        signal_change_volratio, sos_dates_list, signal_detail_labels, signal_detail_extended, t_trading_advice, signal_priority_tier, seasonal_flag,
         signal_record, momentum_boost, momentum_hard_filter, signal_revival, dynamic_score_filter, daily_scan, scan_all_dates)}
 
 
