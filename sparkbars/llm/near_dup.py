@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, lists, utf8
+from .common import BLOCK_BYTES, Scratch, blocks, lists, utf8
 from .graph import components
 from .words import PLACES, mix, shingle_sets
 
@@ -45,7 +45,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
+    for block in blocks(batches, limit=BLOCK_BYTES // 4):  # the samples of a text take four KB, however short it is
         data, offsets = utf8(block.column("text"))
         sizes = np.zeros(len(block), np.int64)
         digests = np.zeros((len(block), 2), np.uint64)
@@ -113,6 +113,7 @@ def _links(docs: DataFrame, likely: DataFrame, scratch: Scratch) -> DataFrame:
         sets.select(F.col("doc_id").alias("head"), F.col("hashes").alias("head_hashes")).hint("merge"), "head")
     links = full.select("head", "doc", "head_hashes", "hashes").mapInArrow(_confirmed, "head long, doc long, linked boolean")
     links = scratch.save(links.where("linked").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
+    scratch.drop(likely)
     return links
 
 
@@ -135,25 +136,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.save(filled.groupBy(keys).agg(F.min("doc_id").alias("class_id")))
     texts = scratch.save(filled.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    bands = texts.select("doc_id", F.explode("bands").alias("band"))
+    bands = texts.select("doc_id", F.posexplode("bands").alias("place", "band"))
     shared = scratch.save(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
     member = scratch.save(bands.join(shared, "band"))
-    known = texts.select("doc_id", "n_shingles", *SKETCH)
+    parts = [F.shiftright(F.col("bands")[k], 32).cast("int").alias(f"b{k}") for k in range(BANDS)]
+    known = texts.select("doc_id", "n_shingles", *SKETCH, *parts)
     tried = member.where("head <> doc_id").select(F.col("head").alias("head_doc_id"), F.col("doc_id").alias("own_doc_id")).distinct()
     tried = tried.join(_prefixed(known, "head"), "head_doc_id").join(_prefixed(known, "own"), "own_doc_id").where(_likely("head", "own"))
     links = _links(docs, tried.select(F.col("head_doc_id").alias("head"), F.col("own_doc_id").alias("doc")), scratch)
 
     found = scratch.save(components(links, scratch))
     placed = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
+        "band", "place", "doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     placed = scratch.save(placed.join(mixed, "band", "left_semi").where("doc_id <> head").drop("head").join(known, "doc_id"))
+    met_before = F.expr(" or ".join(f"(one_place > {k} and one_b{k} = two_b{k})" for k in range(BANDS - 1)))  # a pair is made in one band only
     across = _prefixed(placed, "one").join(
-        _prefixed(placed, "two"), F.expr("one_band = two_band and one_component < two_component") & _likely("one", "two"))
+        _prefixed(placed, "two"), F.expr("one_band = two_band and one_component < two_component") & _likely("one", "two") & ~met_before)
     across = across.select(F.least("one_doc_id", "two_doc_id").alias("head"), F.greatest("one_doc_id", "two_doc_id").alias("doc")).distinct()
     more = _links(docs, across, scratch)
     if more.limit(1).count():
         found = scratch.save(components(links.unionByName(more), scratch))
+    scratch.drop(texts, shared, member, placed, links, more)
     classed = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     classed = classed.select(*keys, F.coalesce("component", "class_id").alias("component_id"))
     out = signed.select("doc_id", *keys).join(classed, keys, "left")
