@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, utf8
 from .words import SEPARATOR, prefix_hash, word_bounds, BYTE_VALUES, LOWER, mix
 
-SAMPLE = 20_000      # positives and unlabelled texts that the classifier is fitted on, at most; taken by hash of doc_id
+SAMPLE = 20_000      # positives and unlabelled texts, each, that the classifier is fitted on, about; taken by hash of doc_id
 HELD_OUT = (4, 2)    # labels of rows whose crc32(doc_id) has this remainder are never read
 THRESHOLD = 0.7
 STEPS = 400
@@ -119,15 +119,18 @@ def held_out() -> Column:
 
 
 def _sampled(frame: DataFrame) -> np.ndarray:
-    rows = frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(*NAMES).toArrow()
+    """About SAMPLE rows, or all if there are fewer: those whose hash of doc_id lies below the share that gives so many."""
+    frame = frame.where("doc_id is not null")
+    below = min(1.0, SAMPLE / max(1, frame.count())) * 2**32
+    rows = frame.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.lit(below)).select(*NAMES).toArrow()
     return np.stack([rows[n].to_numpy() for n in NAMES], axis=1)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality, ...) -> (doc_id, held_out, score, predicted).
 
-    Positives are the labelled texts of quality 1 that are not held out, unlabelled texts all of docs without their labels; at
-    most SAMPLE of each are fitted on. Features are scaled by their mean and deviation over all texts. Null and empty texts have
+    Positives are the labelled texts of quality 1 that are not held out, unlabelled texts all of docs without their labels;
+    about SAMPLE of each are fitted on. Features are scaled by their mean and deviation over all texts. Null and empty texts have
     all features 0 and get a score like any other. Without a positive every score is 0.5. Rows without doc_id count as not held
     out; repeated rows are scored one by one; repeated or contradicting labels count as positive once. Other columns are ignored.
     """
