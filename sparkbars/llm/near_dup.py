@@ -107,7 +107,7 @@ def _links(docs: DataFrame, likely: DataFrame, scratch: Scratch) -> DataFrame:
     Texts are shuffled by merge joins at every size, so that the cost follows the input.
     """
     likely = scratch.save(likely)
-    wanted = likely.select(F.explode(F.array("head", "doc")).alias("doc_id")).distinct()
+    wanted = likely.select(F.col("head").alias("doc_id")).distinct().union(likely.select("doc").distinct()).distinct()
     sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, hashes binary")
     full = likely.join(sets.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").join(
         sets.select(F.col("doc_id").alias("head"), F.col("hashes").alias("head_hashes")).hint("merge"), "head")
