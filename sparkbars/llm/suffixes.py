@@ -16,8 +16,8 @@ from .words import BYTE_VALUES, mix, prefix_hash
 
 WIDTH = 400               # bytes of a string that must not repeat
 KMER = 32                 # bytes whose least hash within a string is the key that brings equal strings together
-SHARD_BYTES = 4 << 20     # text that is sorted at once; a shard ends with its last key
-HOT = 2048                # distinct slices of one key that are sorted together; more are dealt out string by string
+SHARD_BYTES = 2 << 20     # text that is sorted at once; a shard ends with its last key
+HOT = SHARD_BYTES // WIDTH  # distinct slices of one key that are sorted together, about a shard; more are dealt out string by string
 QUEUE_ENTRIES = 8 << 20   # suffixes that the queues of a sort keep in memory before they go to disk
 PLACE_BITS = np.uint64(31)
 
@@ -299,9 +299,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     long_enough = docs.where(F.octet_length("text") >= WIDTH)
     slices = long_enough.select("text", "text_id").mapInArrow(_slices, "key long, digest long, text_id long, first long, count int")
     slices = scratch.save(slices)
-    shared = slices.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     one = F.min(F.struct("text_id", "first", "count")).alias("one")
-    classes = scratch.save(slices.join(shared.hint("merge"), "key", "left_semi").groupBy("key", "digest").agg(F.count("*").alias("n"), one))
+    classes = scratch.save(slices.groupBy("key", "digest").agg(F.count("*").alias("n"), one))
     whole = slices.join(classes.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"], "left_semi")
     spans = whole.select("text_id", F.col("first").alias("start"), (F.col("first") + F.col("count") + WIDTH - 1).alias("stop"))
 
@@ -317,5 +316,6 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     hot_spans = strings.join(again.hint("merge"), ["digest", "check"], "left_semi").select("text_id", "start", (F.col("start") + WIDTH).alias("stop"))
     spans = scratch.save(spans.unionByName(sorted_spans).unionByName(hot_spans).groupBy("text_id").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")))
+    scratch.drop(slices, classes, cut)
     return docs.join(spans.hint("merge"), "text_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
