@@ -1,4 +1,4 @@
-"""Benchmark decontamination: hash-joined windows of templates whose numbers, names and units are typed placeholders."""
+"""Benchmark decontamination: hash-joined windows, literal and of templates whose numbers, names and units are typed placeholders."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from .common import Scratch, blocks, lists, utf8
 from .words import BYTE_VALUES, LOWER, PLACES, mix, prefix_hash, word_bounds
 
 WIDTH = 8         # tokens of a window; an item of fewer tokens is one window of its own length
-LITERALS = 4      # tokens of a window that must not be placeholders; an item with fewer can match nothing
+LITERALS = 4      # tokens of a window with placeholders that must not be placeholders; literal windows need none
 LEAST_SHARE = .5  # part of an item's windows that make a document contaminated
 FILTER_BITS = 24  # a bitmap of 2 MB, whatever the size of the benchmark, tells which windows are worth joining
 
@@ -47,22 +48,33 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inside(data: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a token; no-break spaces, Latin-1 and general punctuation (U+00A0 to U+00BF, U+2000 to U+207F) are not."""
+    digit, inside = DIGIT[data], LETTER[data] | DIGIT[data]
+    if len(data) > 2:
+        inside[1:-1] |= JOIN[data[1:-1]] & digit[:-2] & digit[2:]
+    for sign in (np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA0) & ~np.isin(data[1:], [0xAA, 0xB5, 0xBA])),
+                 np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))):
+        inside[sign] = inside[sign + 1] = False
+        if len(sign) and data[sign[0]] == 0xE2:
+            inside[sign + 2] = False
+    return inside
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: the hashes of their tokens, the same with placeholders, and the numbers of their texts.
 
-    Tokens are runs of letters and digits, case folded (A-Z and the Latin-1 capitals); points and commas between digits
-    belong to a number. A name is a capitalised token within a sentence, a unit one of UNITS right after a number.
+    Tokens are runs of letters and digits in lower case, ß as ss; points and commas between digits belong to a number. A name is a capitalised token within a sentence, a unit one of UNITS right after a number.
     """
+    data, offsets = utf8(texts)
     n = len(data)
-    digit, letter = DIGIT[data], LETTER[data]
-    inside = digit | letter
-    if n > 2:
-        inside[1:-1] |= JOIN[data[1:-1]] & digit[:-2] & digit[2:]
-    starts, ends, owner = word_bounds(data, offsets, inside)
+    digit = DIGIT[data]
+    starts, ends, owner = word_bounds(data, offsets, _inside(data))
+    lower, lower_offsets = utf8(pc.replace_substring(pc.utf8_lower(texts), "ß", "ss"))
+    plain = _hashed(lower, *word_bounds(lower, lower_offsets, _inside(lower))[:2])
     accented = np.zeros(n, bool)
     accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     folded = LOWER[data] + (accented * np.uint8(32))
-    plain = _hashed(folded, starts, ends)
     if not len(starts):
         return plain, plain, owner
     capital = folded != data
@@ -79,63 +91,67 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return plain, np.select([number, unit, name], [NUMBER, UNIT, NAME], plain), owner
 
 
-def windows(plain: np.ndarray, typed: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start tokens and hashes of the windows within one text that have enough literal tokens."""
+def windows(plain: np.ndarray, typed: np.ndarray, owner: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows within one text, first all as literal tokens, then those with both placeholders and enough literal tokens: start tokens,
+    hashes, whether enough tokens are literal."""
     count = max(0, len(typed) - width + 1)
     at = np.arange(count)
-    sums = np.full(count, width, np.uint64)
-    for place in range(width):
-        sums += typed[place:place + count] * PLACES[place + 20]
     literal = np.concatenate([[0], np.cumsum(plain == typed)])
-    good = (owner[:count] == owner[width - 1:]) if count else np.zeros(0, bool)
-    good &= literal[at + width] - literal[at] >= LITERALS
-    return at[good], mix(sums[good])
+    literal = literal[at + width] - literal[at]
+    within = (owner[:count] == owner[width - 1:]) if count else np.zeros(0, bool)
+    for values, good in ((plain, within), (typed, within & (literal >= LITERALS) & (literal < width))):
+        sums = np.full(count, width, np.uint64)
+        for place in range(width):
+            sums += values[place:place + count] * PLACES[place + 20]
+        yield at[good], mix(sums[good]), literal[good] >= LITERALS
 
 
 def _rows(key: str, ids: pa.Array, found: list[tuple], owner: np.ndarray, plain: np.ndarray, typed: np.ndarray) -> pa.RecordBatch:
-    at, hashes, widths = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
-    at = at.astype(np.int64)
+    """found: start tokens, hashes, whether enough tokens are literal, width, whether placeholders stand for tokens."""
+    at, hashes, enough = (np.concatenate([np.empty(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, np.uint64, bool)))
     first = np.searchsorted(owner, np.arange(len(ids) + 1))
-    slots, sizes = [np.empty(0, np.int64)], np.zeros(len(at) + 1, np.int64)
-    for row, (start, width) in enumerate(zip(at.tolist(), widths.tolist(), strict=True)):
-        values = plain[start:start + width][typed[start:start + width] != plain[start:start + width]].view(np.int64)
-        slots.append(values)
-        sizes[row + 1] = len(values)
+    slots, sizes = [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+    for start, _, _, width, has_slots in found:
+        cells = start[:, None] + np.arange(width)
+        is_slot = (plain[cells] != typed[cells]) & has_slots
+        slots.append(plain[cells][is_slot].view(np.int64))
+        sizes.append(is_slot.sum(axis=1))
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(owner[at] if len(at) else at)), pa.array(hashes.astype(np.uint64).view(np.int64)),
-         pa.array((at - first[owner[at]]) if len(at) else at), lists(np.concatenate(slots), np.cumsum(sizes), pa.int64()),
-         pa.array(widths.astype(np.int64))],
-        [key, "window", "place", "slots", "width"])
+        [ids.take(pa.array(owner[at] if len(at) else at)), pa.array(hashes.view(np.int64)), pa.array((at - first[owner[at]]) if len(at) else at),
+         lists(np.concatenate(slots), np.cumsum(np.concatenate(sizes)), pa.int64()),
+         pa.array(np.concatenate([np.empty(0, np.int64), *(np.full(len(f[0]), f[3]) for f in found)])), pa.array(enough)],
+        [key, "window", "place", "slots", "width", "enough"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
-        plain, typed, owner = tokens(*utf8(block.column("text")))
+        plain, typed, owner = tokens(block.column("text"))
         lengths = np.bincount(owner, minlength=len(block))
         found = []
-        for width in range(LITERALS, WIDTH + 1):
-            at, hashes = windows(plain, typed, owner, width)
-            if width < WIDTH:
-                at, hashes = at[own := lengths[owner[at]] == width], hashes[own]
-            found.append((at, hashes, np.full(len(at), width)))
+        for width in range(1, WIDTH + 1):
+            for has_slots, (at, hashes, enough) in enumerate(windows(plain, typed, owner, width)):
+                own = (lengths[owner[at]] == width) | (width == WIDTH)
+                found.append((at[own], hashes[own], enough[own], width, has_slots == 1))
         yield _rows("item_id", block.column("item_id"), found, owner, plain, typed)
 
 
 def _document_windows(widths: list[int], bitmap: np.ndarray) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            plain, typed, owner = tokens(*utf8(block.column("text")))
+            plain, typed, owner = tokens(block.column("text"))
             found = []
             for width in widths:
-                at, hashes = windows(plain, typed, owner, width)
-                cell = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                found.append((at[hit], hashes[hit], np.full(int(hit.sum()), width)))
+                for has_slots, (at, hashes, enough) in enumerate(windows(plain, typed, owner, width)):
+                    cell = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    hit = np.flatnonzero((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                    if width < WIDTH and not has_slots:  # a whole item: its first place in each text will do
+                        hit = hit[np.unique(np.stack([owner[at[hit]].astype(np.uint64), hashes[hit]]), axis=1, return_index=True)[1]]
+                    found.append((at[hit], hashes[hit], enough[hit], width, has_slots == 1))
             yield _rows("doc_id", block.column("doc_id"), found, owner, plain, typed)
     return scan
 
 
-SCHEMA = "{} long, window long, place long, slots array<long>, width long"
+SCHEMA = "{} long, window long, place long, slots array<long>, width long, enough boolean"
 
 
 def _distinct_pairs(column: Column) -> Column:
@@ -146,33 +162,44 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), items(item_id, text, ...) -> (doc_id, item_id, n_windows, n_matched, share, reparameterised),
     one row for each document and each item it contains.
 
-    Windows of eight canonical tokens are joined by hash. Matches on one diagonal (document place minus item place) are one
-    occurrence; it counts if each value in the item's slots stands for one value in the document's. A document is contaminated
-    where consistent occurrences cover half of an item's windows; `reparameterised` tells whether some slot value differs.
-    Null and empty texts, and items of fewer than four literal tokens, match nothing; rows without doc_id or item_id are left out. Repeated rows
-    give one result row. Other columns are ignored. To the driver come window widths and at most 2**24 filter cells.
+    Windows of eight tokens are joined by hash, once as they are in lower case and once with placeholders; an item of fewer tokens is
+    one literal window. Matches on one diagonal (document place minus item place) are one occurrence; its windows with placeholders
+    count if each value in the item's slots stands for one value in the document's. A place of an item is matched by either kind.
+    A document is contaminated where half of an item's windows are matched, or half of those with enough literal tokens; the
+    counts and the share are those of the larger share. `reparameterised` tells whether some slot value differs.
+    Null and empty texts match nothing; rows without doc_id or item_id are left out. Repeated rows give one result row. Other
+    columns are ignored. To the driver come window widths and at most 2**24 filter cells.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     wanted = scratch.save(items.distinct().mapInArrow(_item_windows, SCHEMA.format("item_id")))
-    total = wanted.groupBy("item_id").agg(F.count_distinct("place").alias("n_windows"))
+    total = wanted.groupBy("item_id").agg(
+        F.count_distinct("place").alias("n_all"), F.count_distinct(F.when(F.col("enough"), F.col("place"))).alias("n_enough"))
     widths = sorted(r.width for r in wanted.select("width").distinct().collect())
     cells = wanted.select(F.shiftrightunsigned("window", 64 - FILTER_BITS).alias("cell")).distinct().toArrow()["cell"].to_numpy()
     bitmap = np.zeros(1 << FILTER_BITS, np.uint8)
     bitmap[cells] = 1
-    seen = docs.mapInArrow(_document_windows(widths, np.packbits(bitmap, bitorder="little")), SCHEMA.format("doc_id"))
-    met = seen.join(wanted.select("window", "width", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
-                    ["window", "width"])
+    seen = docs.mapInArrow(_document_windows(widths, np.packbits(bitmap, bitorder="little")), SCHEMA.format("doc_id")).drop("enough")
+    met = seen.join(wanted.select("window", "width", "item_id", "enough", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
+                    ["window", "width"]).where(F.size("slots") == F.size("item_slots"))
+    place = F.struct(F.col("item_place").alias("place"), "enough")
+    literal = F.size("slots") == 0
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
     runs = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
-        F.collect_set("item_place").alias("places"), _distinct_pairs(pairs).alias("pairs"), _distinct_pairs(F.col("item_slots")).alias("values"))
-    runs = runs.where(F.size("pairs") == F.size("values"))
-    found = runs.groupBy("doc_id", "item_id").agg(
-        F.size(_distinct_pairs(F.col("places"))).cast("long").alias("n_matched"),
-        F.bool_or(F.exists("pairs", lambda p: p["item"] != p["own"])).alias("reparameterised"))
+        F.collect_set(F.when(literal, place)).alias("literal"), F.collect_set(F.when(~literal, place)).alias("typed"),
+        _distinct_pairs(pairs).alias("pairs"), _distinct_pairs(F.col("item_slots")).alias("values"))
+    consistent = F.size("pairs") == F.size("values")
+    runs = runs.select("doc_id", "item_id", F.when(consistent, F.concat("literal", "typed")).otherwise(F.col("literal")).alias("places"),
+                       (consistent & F.exists("pairs", lambda p: p["item"] != p["own"])).alias("differs"))
+    found = runs.groupBy("doc_id", "item_id").agg(_distinct_pairs(F.col("places")).alias("places"), F.bool_or("differs").alias("reparameterised"))
+    found = found.join(total, "item_id").withColumns({
+        "m_all": F.size("places").cast("long"), "m_enough": F.size(F.filter("places", lambda p: p["enough"])).cast("long")})
+    by_all = F.col("m_all") * F.col("n_enough") >= F.col("m_enough") * F.col("n_all")
+    found = found.withColumns({"n_windows": F.when(by_all, F.col("n_all")).otherwise(F.col("n_enough")),
+                               "n_matched": F.when(by_all, F.col("m_all")).otherwise(F.col("m_enough"))})
     share = F.col("n_matched") / F.col("n_windows")
-    return found.join(total, "item_id").withColumn("share", share).where(F.col("share") >= LEAST_SHARE).select(
+    return found.withColumn("share", share).where(F.col("share") >= LEAST_SHARE).select(
         "doc_id", "item_id", "n_windows", "n_matched", "share", "reparameterised")
 
 

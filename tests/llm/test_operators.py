@@ -310,3 +310,16 @@ def test_reparameterised_items(spark):
     found = {r.doc_id: r.reparameterised for r in contamination(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, "x"), (9, None)], "item_id long, text string")).collect()}
     assert found[1] is True and 3 not in found
+
+
+def test_copies_in_other_case_or_without_punctuation_or_of_numbers_are_contaminated(spark):
+    prose = "Tom has 9 apples and gives 2 kg to Bob while 8 birds sing loudly today in the park."
+    names = "Über Köln flog Anna. Then Bob, Carl and Dora met Emil, Fritz and Gerd near Halle before Ida left Weißensee for Kiel."
+    numbers = "1 22 333 44 5 66 777 88 9 10 11 12 13"
+    items = [(1, prose), (2, names), (3, numbers), (4, "12 + 34 = 46"), (5, "Never 7.")]
+    docs = [(10 * i + k, f"Before it, {copy} after it") for i, x in items for k, copy in enumerate(
+        (x, x.upper(), x.lower(), re.sub(r"[^\w\s]", "", x), re.sub(r"[^\w\s]", "", x).upper(), x.replace(" ", " \u201c").replace(".", "\u2026")))]
+    docs.append((99, "1 22 333 Tom has no apples, and Anna met Bob near Kiel, 12 and 34."))
+    found = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 10) for d, _ in docs[:-1]}
+    assert all(r.share == 1 for r in found if r.item_id <= 3 and r.doc_id % 10 < 5)
