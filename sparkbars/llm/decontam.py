@@ -16,6 +16,7 @@ from .words import BYTE_VALUES, LOWER, PLACES, mix, prefix_hash, word_bounds
 WIDTH = 8         # tokens of a window; an item of fewer tokens is one window of its own length
 LITERALS = 4      # tokens of a window with placeholders that must not be placeholders; literal windows need none
 LEAST_SHARE = .5  # part of an item's windows that make a document contaminated
+RUN = 13          # tokens in a row that make a document contaminated as they are, the whole item if it is shorter
 FILTER_BITS = 24  # a bitmap of 2 MB, whatever the size of the benchmark, tells which windows are worth joining
 
 NUMBER, NAME, UNIT = (mix(np.array([k], np.uint64))[0] for k in (11, 12, 13))
@@ -158,15 +159,40 @@ def _distinct_pairs(column: Column) -> Column:
     return F.array_distinct(F.flatten(F.collect_set(column)))
 
 
+def _in_a_row(places: Column, count: Column) -> Column:
+    """Whether distinct places have `count` consecutive ones among them."""
+    at = F.array_sort(places)
+    return F.exists(F.transform(at, lambda p, k: F.coalesce(F.get(at, k + count - 1) - p, F.lit(-1))), lambda gap: gap == count - 1)
+
+
+def _consistent(typed: Column) -> Column:
+    """The windows of a diagonal's maximal runs within which each item value stands for one value, in place order; a run of fewer
+    than RUN tokens is left out."""
+    least = RUN - WIDTH + 1
+    end = lambda state: F.when(F.size(state["run"]) >= least, F.concat(state["done"], state["run"])).otherwise(state["done"])
+
+    def step(state: Column, window: Column) -> Column:
+        clash = F.exists(window["pairs"], lambda p: F.exists(state["pairs"], lambda s: (s["item"] == p["item"]) & (s["own"] != p["own"])))
+        return F.struct(F.when(clash, window["pairs"]).otherwise(F.array_union(state["pairs"], window["pairs"])).alias("pairs"),
+                        F.when(clash, F.array(window)).otherwise(F.concat(state["run"], F.array(window))).alias("run"),
+                        F.when(clash, end(state)).otherwise(state["done"]).alias("done"))
+
+    whole = F.filter(F.array_sort(typed), lambda w: F.size(F.array_distinct(w["pairs"])) == F.size(F.array_distinct(w["pairs"]["item"])))
+    none = F.slice(whole, 1, 0)
+    return F.aggregate(whole, F.struct(F.flatten(none["pairs"]).alias("pairs"), none.alias("run"), none.alias("done")), step, end)
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), items(item_id, text, ...) -> (doc_id, item_id, n_windows, n_matched, share, reparameterised),
     one row for each document and each item it contains.
 
     Windows of eight tokens are joined by hash, once as they are in lower case and once with placeholders; an item of fewer tokens is
     one literal window. Matches on one diagonal (document place minus item place) are one occurrence; its windows with placeholders
-    count if each value in the item's slots stands for one value in the document's. A place of an item is matched by either kind.
-    A document is contaminated where half of an item's windows are matched, or half of those with enough literal tokens; the
-    counts and the share are those of the larger share. `reparameterised` tells whether some slot value differs.
+    count if each value in the item's slots stands for one value in the document's. Where that fails, the occurrence is parted into
+    maximal runs in which it holds, and those of 13 tokens or more count. A place of an item is matched by either kind.
+    A document is contaminated where half of an item's windows are matched, or half of those with enough literal tokens, or 13
+    tokens in a row as they are (the whole item if it is shorter); the counts and the share are those of the larger share.
+    `reparameterised` tells whether some slot value differs.
     Null and empty texts match nothing; rows without doc_id or item_id are left out. Repeated rows give one result row. Other
     columns are ignored. To the driver come window widths and at most 2**24 filter cells.
     """
@@ -181,25 +207,31 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     bitmap = np.zeros(1 << FILTER_BITS, np.uint8)
     bitmap[cells] = 1
     seen = docs.mapInArrow(_document_windows(widths, np.packbits(bitmap, bitorder="little")), SCHEMA.format("doc_id")).drop("enough")
-    met = seen.join(wanted.select("window", "width", "item_id", "enough", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")),
-                    ["window", "width"]).where(F.size("slots") == F.size("item_slots"))
+    wanted = wanted.join(total, "item_id").withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
+    met = seen.join(wanted, ["window", "width"]).where(F.size("slots") == F.size("item_slots"))
     place = F.struct(F.col("item_place").alias("place"), "enough")
     literal = F.size("slots") == 0
+    totals = [F.first(c).alias(c) for c in ("n_all", "n_enough")]
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
     runs = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
-        F.collect_set(F.when(literal, place)).alias("literal"), F.collect_set(F.when(~literal, place)).alias("typed"),
-        _distinct_pairs(pairs).alias("pairs"), _distinct_pairs(F.col("item_slots")).alias("values"))
-    consistent = F.size("pairs") == F.size("values")
-    runs = runs.select("doc_id", "item_id", F.when(consistent, F.concat("literal", "typed")).otherwise(F.col("literal")).alias("places"),
-                       (consistent & F.exists("pairs", lambda p: p["item"] != p["own"])).alias("differs"))
-    found = runs.groupBy("doc_id", "item_id").agg(_distinct_pairs(F.col("places")).alias("places"), F.bool_or("differs").alias("reparameterised"))
-    found = found.join(total, "item_id").withColumns({
+        F.collect_set(F.when(literal, place)).alias("literal"),
+        F.collect_set(F.when(~literal, F.struct(F.col("item_place").alias("place"), "enough", pairs.alias("pairs")))).alias("typed"),
+        _distinct_pairs(pairs).alias("pairs"), _distinct_pairs(F.col("item_slots")).alias("values"), *totals)
+    runs = runs.withColumn("typed", F.when(F.size("pairs") == F.size("values"), F.col("typed")).otherwise(_consistent(F.col("typed"))))
+    runs = runs.select(
+        "doc_id", "item_id", "n_all", "n_enough",
+        F.concat("literal", F.transform("typed", lambda w: F.struct(w["place"].alias("place"), w["enough"].alias("enough")))).alias("places"),
+        F.exists("typed", lambda w: F.exists(w["pairs"], lambda p: p["item"] != p["own"])).alias("differs"),
+        _in_a_row(F.col("literal")["place"], F.least(F.col("n_all"), F.lit(RUN - WIDTH + 1)).cast("int")).alias("in_a_row"))
+    found = runs.groupBy("doc_id", "item_id").agg(
+        _distinct_pairs(F.col("places")).alias("places"), F.bool_or("differs").alias("reparameterised"), F.bool_or("in_a_row").alias("in_a_row"), *totals)
+    found = found.withColumns({
         "m_all": F.size("places").cast("long"), "m_enough": F.size(F.filter("places", lambda p: p["enough"])).cast("long")})
     by_all = F.col("m_all") * F.col("n_enough") >= F.col("m_enough") * F.col("n_all")
     found = found.withColumns({"n_windows": F.when(by_all, F.col("n_all")).otherwise(F.col("n_enough")),
                                "n_matched": F.when(by_all, F.col("m_all")).otherwise(F.col("m_enough"))})
     share = F.col("n_matched") / F.col("n_windows")
-    return found.withColumn("share", share).where(F.col("share") >= LEAST_SHARE).select(
+    return found.withColumn("share", share).where((F.col("share") >= LEAST_SHARE) | F.col("in_a_row")).select(
         "doc_id", "item_id", "n_windows", "n_matched", "share", "reparameterised")
 
 

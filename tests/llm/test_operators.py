@@ -323,3 +323,19 @@ def test_copies_in_other_case_or_without_punctuation_or_of_numbers_are_contamina
     found = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 10) for d, _ in docs[:-1]}
     assert all(r.share == 1 for r in found if r.item_id <= 3 and r.doc_id % 10 < 5)
+
+
+def test_long_passages_and_copies_with_one_changed_value_are_contaminated(spark):
+    rng = np.random.default_rng(5)
+    w = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(59)]
+    problem = [*w[:3], "41", *w[4:24], "17", *w[25:40], "17", *w[41:]]
+    items = [(1, " ".join(w)), (2, " ".join(problem)), (3, " ".join(w[:12])), (4, "A b, c d."), (5, " ".join(w[20:30][::-1]))]
+    other = " ".join("".join(rng.choice(list("klmnop"), 6)) for _ in range(20))
+    changed = [*problem[:3], "52", *problem[4:24], "18", *problem[25:40], "19", *problem[41:]]
+    docs = [(1, " ".join([other, *w[42:55], other])), (2, " ".join([other, *w[42:54], other])), (3, " ".join([other, *changed])),
+            (4, f"{other} {' '.join(w[:12])} {other}"), (5, f"{other} a B c, D {other}"), (6, " ".join([other, *w[20:50], other]))]
+    found = {(r.doc_id, r.item_id): r for r in contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (1, 1) in found and (6, 1) in found and not [d for d, _ in found if d == 2] and (4, 3) in found and (5, 4) in found
+    assert found[3, 2].share == 1 and found[3, 2].reparameterised and 23 <= found[6, 1].n_matched < 26
+    assert not [i for _, i in found if i == 5]
