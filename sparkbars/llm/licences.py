@@ -1,7 +1,8 @@
-"""License scans: normalised passages compared to licence templates by the Dice coefficient of word bigrams."""
+"""License scans: normalised passages and windows of words compared to licence templates by the Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,34 +74,80 @@ BREAKS = np.zeros(256, bool)
 BREAKS[[10, 13]] = True
 
 
-def bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words (runs of letters and digits, A-Z lower-cased) and the places of their first words' starts."""
+def bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words (runs of letters and digits, A-Z lower-cased), where the first starts and where the second ends."""
     starts, ends, owner = word_bounds(data, offsets, WORD[data])
     sums, down = prefix_hash(BYTE_VALUES[LOWER[data]])
     words = mix((sums[ends] - sums[starts]) * down[starts])
     same = owner[1:] == owner[:-1]
-    return mix(words[:-1] * PLACES[0] + words[1:] * PLACES[1])[same], starts[:-1][same]
+    return mix(words[:-1] * PLACES[0] + words[1:] * PLACES[1])[same], starts[:-1][same], ends[1:][same]
 
 
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         raw = [texts[n].encode() for n in self.names]
-        self.sets = [np.unique(bigrams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0]) for r in raw]
+        found = [bigrams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in raw]
+        self.lengths = [len(f) for f in found]
+        self.sets = [np.unique(f) for f in found]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.all = np.unique(np.concatenate([*self.sets, np.empty(0, np.uint64)]))
+        self.member = np.array([np.isin(self.all, x) for x in self.sets])
 
-    def best(self, found: np.ndarray) -> tuple[float, str] | None:
+    def best(self, found: np.ndarray) -> tuple[float, str, int] | None:
         """The most similar template of a set of bigrams; only sizes that can reach LEAST are compared. Ties: first name."""
         ratio = LEAST / (2 - LEAST)
         fit = np.flatnonzero((self.sizes > 0) & (self.sizes >= ratio * len(found)) & (self.sizes * ratio <= len(found)))
         best = None
         for k in fit.tolist():
-            dice = 2 * len(np.intersect1d(self.sets[k], found, assume_unique=True)) / (len(found) + int(self.sizes[k]))
+            common = len(np.intersect1d(self.sets[k], found, assume_unique=True))
+            dice = 2 * common / (len(found) + int(self.sizes[k]))
             if dice >= LEAST and (best is None or dice > best[0]):
-                best = (dice, self.names[k])
+                best = (dice, self.names[k], common)
         return best
 
+    def windows(self, hashes: np.ndarray, number: np.ndarray, owner: np.ndarray) -> Iterator[tuple[float, int, int, int, int]]:
+        """Dice, common bigrams, template, first and last bigram of the windows of whole texts that are most like a template.
+
+        number: of each bigram its place in `all`, or -1. A window of LEAST holds at least ratio of the template's bigrams, and at most
+        1 / ratio times as many bigrams; the best one starts and ends with a bigram of the template. So each of these that has enough
+        others close behind is tried as a start, with every end; windows of one template that overlap give way to the best.
+        """
+        ratio = LEAST / (2 - LEAST)
+        known = np.flatnonzero(number >= 0)
+        before, last = np.full(len(hashes), -1, np.int64), np.argsort(hashes, kind="stable") if len(known) else known
+        same = hashes[last][1:] == hashes[last][:-1]
+        before[last[1:][same]] = last[:-1][same]
+        for k, size in enumerate(self.sizes.tolist()):
+            if not size:
+                continue
+            at = known[self.member[k][number[known]]]
+            need, reach = int(np.ceil(ratio * size - 1e-9)), int(self.lengths[k] / ratio) + 1
+            dense = at[:max(0, len(at) - need + 1)][(at[need - 1:] - at[:max(0, len(at) - need + 1)] < reach)]
+            tried = []
+            for start in dense.tolist():
+                end = start + int(np.searchsorted(owner[start:start + reach], owner[start], "right"))
+                new = before[start:end] < start
+                ours = (number[start:end] >= 0) & self.member[k][number[start:end]]
+                common = np.cumsum(ours & new)
+                if common[-1] >= need:
+                    dices = 2 * common / (size + np.cumsum(new))
+                    best = int(np.flatnonzero(ours & (dices == dices.max()))[-1])
+                    if dices[best] >= LEAST:
+                        tried.append((float(dices[best]), int(common[best]), k, start, start + best))
+            yield from _apart(sorted(tried, key=lambda t: (-t[0], t[3])), 3)
+
+
+def _apart(spans: list[tuple], at: int, always: Callable = lambda span: False) -> list[tuple]:
+    """The spans (start and end in the fields from `at` on) that overlap none taken before, and those to take always."""
+    starts, ends, kept = [], [], []
+    for span in spans:
+        if always(span) or bisect_left(starts, span[at + 1]) == bisect_right(ends, span[at]):
+            insort(starts, span[at])
+            insort(ends, span[at + 1])
+            kept.append(span)
+    return kept
+
 
 def _scanner(templates: Templates) -> Callable:
     least_hits = LEAST / (2 - LEAST) * (templates.sizes[templates.sizes > 0].min() if (templates.sizes > 0).any() else 1)
@@ -112,17 +159,32 @@ def _scanner(templates: Templates) -> Callable:
             starts_text = np.zeros(len(data) + 1, bool)
             starts_text[offsets] = True
             line = BREAKS[data]
+            crlf = np.zeros(len(data), bool)
+            crlf[1:] = (data[1:] == 10) & (data[:-1] == 13)
+            line[:-1] &= ~crlf[1:]
             blank = np.zeros(len(data), bool)
             blank[1:] = line[1:] & line[:-1]
-            seen = set()
+            blank[2:] |= crlf[2:] & line[:-2]
+            seen, passages = set(), []
+
+            def add(dice: float, name: str, begin: int, end: int) -> None:
+                seen.add((begin, end))
+                row = int(np.searchsorted(offsets, begin, "right")) - 1
+                rows.append(row)
+                dices.append(dice)
+                names.append(name)
+                begins.append(begin - int(offsets[row]))
+                ends.append(end - int(offsets[row]))
+
             for marks in (line, blank, np.zeros(len(data), bool)):  # lines, paragraphs, whole texts
                 edge = starts_text.copy()
                 edge[1:] |= marks
                 bounds = np.append(np.flatnonzero(edge[:len(data)]), len(data))
-                hashes, at = bigrams(data, bounds)
+                hashes, at, to = bigrams(data, bounds)
                 if not len(templates.all) or not len(hashes):
                     continue
-                known = templates.all[np.minimum(np.searchsorted(templates.all, hashes), len(templates.all) - 1)] == hashes
+                number = np.minimum(np.searchsorted(templates.all, hashes), len(templates.all) - 1)
+                known = templates.all[number] == hashes
                 passage = np.searchsorted(bounds, at, "right") - 1
                 hits = np.bincount(passage[known], minlength=len(bounds))
                 first = np.searchsorted(passage, np.arange(len(bounds)))
@@ -130,13 +192,14 @@ def _scanner(templates: Templates) -> Callable:
                     best = templates.best(np.unique(hashes[first[p]:first[p + 1]]))
                     span = int(bounds[p]), int(bounds[p + 1])
                     if best and span not in seen:
-                        seen.add(span)
-                        row = int(np.searchsorted(offsets, span[0], "right")) - 1
-                        rows.append(row)
-                        dices.append(best[0])
-                        names.append(best[1])
-                        begins.append(span[0] - int(offsets[row]))
-                        ends.append(span[1] - int(offsets[row]))
+                        passages.append((best[2], 0, *best[:2], *span))
+                        add(*best[:2], *span)
+            if len(templates.all) and len(hashes):  # the bigrams of whole texts, from the last round
+                found = [(common, 1, dice, templates.names[k], int(at[first]), int(to[last])) for dice, common, k, first, last in templates.windows(
+                    hashes, np.where(known, number, -1), passage)]
+                for _, is_window, *row in _apart(sorted(passages + found, key=lambda w: (-w[0], w[1], -w[2], *w[3:])), 4, lambda w: w[1] == 0):
+                    if is_window:
+                        add(*row)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(dices, pa.float64()),
                  pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "licence", "dice", "start", "end"])
@@ -146,8 +209,10 @@ def _scanner(templates: Templates) -> Callable:
 def licence_passages(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, licence, dice, start, end): passages (bytes start to end) that are a licence.
 
-    Each line, each paragraph (between empty lines) and the whole text is compared as one passage with the templates whose
-    number of distinct bigrams allows a Dice coefficient of LEAST; the most similar one is given, the first by name of equals.
+    Each line, each paragraph (between empty lines; CR LF is one line end) and the whole text is compared as one passage with the
+    templates whose number of distinct bigrams allows a Dice coefficient of LEAST; the most similar one is given, the first by name
+    of equals. Besides, windows of words anywhere in the text are, whatever its layout: of those that overlap each other or such a
+    passage, the one with the most bigrams of its template is given, passages first.
     Null and empty texts and passages of fewer than two words match nothing. Each row is scanned by itself, repeated or without
     doc_id or not. Other columns are ignored. The templates, a few dozen texts, travel with the task.
     """

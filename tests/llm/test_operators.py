@@ -46,6 +46,23 @@ def test_a_changed_licence_is_still_found_and_prose_is_not(spark):
     assert [(r.doc_id, r.licence) for r in found] == [(1, "MIT")] and 0.9 < found[0].dice < 1
 
 
+def test_licences_in_any_layout_are_found_inside_longer_texts(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(rng.choice("the of software licence river stone and to in any permission use rights copies".split(), n))
+    mit, apache = (licences.TEMPLATES[n].replace("\n", " ") for n in ("MIT", "Apache-2.0"))
+    three = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    header = apache.replace("License. You", "License.\n\nYou").replace("2.0 Unless", "2.0\n\nUnless").replace("You may", "You may\n\n")
+    wrap = lambda text: re.sub(r"(.{60,70}) ", r"\1\r\n", text)
+    declared = "This software is good. Released under the MIT License. And so on"
+    docs = [(1, f"{prose(300)}\n\n{three}\n\n{prose(300)}"), (2, f"{prose(40)}\n\n{header}\n\n{prose(400)}"), (3, f"{prose(90)}\r\n\r\n{wrap(mit)}\r\n\r\n{prose(90)}"),
+            (4, f"{prose(50)} {declared} {prose(50)}"), (5, prose(3000)), (6, f"{prose(90)} {mit} {prose(9)} {mit} {prose(90)}")]
+    found = [(r.doc_id, r.licence, r.dice, r.n_passages) for r in licences.licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted((d, n, k) for d, n, _, k in found) == [(1, "MIT", 1), (2, "Apache-2.0", 1), (3, "MIT", 1), (4, "MIT (declared)", 1), (6, "MIT", 2)]
+    assert all(x > 0.98 for *_, x, _ in found)
+    spans = {r.doc_id: docs[r.doc_id - 1][1][r.start:r.end] for r in licences.licence_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert spans[4] == "Released under the MIT License" and spans[1] == three.strip(".")
+
+
 def brute_strings(texts, width):
     raw = {d: (t or "").encode() for d, t in texts.items()}
     seen = Counter(r[k:k + width] for r in raw.values() for k in range(len(r) - width + 1))
