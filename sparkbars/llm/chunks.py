@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, utf8
 from .words import BYTE_VALUES, mix, prefix_hash
 
-MEAN = 40       # bytes between cuts on average
+MEAN = 20       # bytes between cuts on average
 LONGEST = 1024  # bytes after which a chunk is cut anyhow
 SHORTEST = 100  # bytes of consecutive repeated chunks that are worth removing
 
 GEAR = np.random.default_rng(3).integers(0, 2**32, 256, np.uint32)
-REACH = 32      # bytes that a 32-bit gear hash depends on
+REACH = 16      # bytes that a hash depends on
 
 
 def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each byte the hash (h << 1) + GEAR of it and the bytes before it, started anew in each text.
 
-    A byte leaves a 32-bit hash after 32 shifts, so the hash is a sum over 32 bytes, built by doubling.
+    The hash is a sum over REACH bytes, built by doubling.
     """
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.arange(len(data)) + REACH * (owner + 1)
     h = np.zeros(len(data) + REACH * len(offsets), np.uint32)
     h[at] = GEAR[data]
-    for shift in (1, 2, 4, 8, 16):
+    for shift in (1, 2, 4, 8):
         h[shift:] += h[:-shift] << np.uint32(shift)
     return h[at]
 
@@ -106,7 +106,7 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     document that shares a passage: consecutive chunks of at least 100 bytes that occur elsewhere, in it or in another.
 
     The first occurrence of a chunk (smallest doc_id, then place) stays, the later ones go where they make up 100 bytes or more
-    in a row; `kept` are the remaining bytes. Cuts depend on the 32 bytes before them only, so an insertion moves no cut beyond
+    in a row; `kept` are the remaining bytes. Cuts depend on the 16 bytes before them only, so an insertion moves no cut beyond
     its own chunk. Null and empty texts have no chunk; rows without doc_id are left out. Rows that repeat a doc_id stand for one
     document; where their texts differ, marks only apply to chunks of the same digest. Other columns are ignored.
 

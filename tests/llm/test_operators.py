@@ -113,6 +113,19 @@ def test_shared_passages_survive_insertions(spark):
     assert len(found[2].kept) == found[2].n_bytes - found[2].n_removed and docs[1][1].encode().startswith(bytes(found[2].kept)[:400])
 
 
+def test_passages_of_fifty_words_are_found_almost_always(spark):
+    from sparkbars.llm.chunks import shared_passages
+
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    docs = []
+    for k in range(1000):
+        passage = prose(50)
+        docs += [(2 * k, f"{prose(5)} {passage} {prose(7)}"), (2 * k + 1, f"{prose(9)} {passage} {prose(3)}")]
+    found = {r.doc_id: r.n_removed for r in shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(found.get(2 * k + 1, 0) >= 100 for k in range(1000)) >= 999
+
+
 def test_exact_copies_share_all_chunks(spark, texts):
     found = {r.doc_id: r for r in rows(spark, "op3_substring_dedup")}
     first = {}
