@@ -24,8 +24,11 @@ def _weeks(spark, root):
     return regime.weekly_state(_daily(spark, root), UP, LOW, REGIME["weekly_span"])
 
 
-def market_amv(spark, root):
-    bars = views.bars(spark, root).where("volume > 0 and close is not null and d between '1995-01-01' and '2001-12-31'")
+def market_amv(spark, root, first=None, last=None):
+    """Activity of each date from `first` to `last`; by default of all dates of the table."""
+    bars = views.bars(spark, root).where("volume > 0 and close is not null")
+    for bound, within in ((first, F.col("d") >= F.lit(first)), (last, F.col("d") <= F.lit(last))):
+        bars = bars if bound is None else bars.where(within)
     return bars.groupBy("d").agg(F.round(F.sum(F.col("close") * F.col("volume")), 2).alias("amv"))
 
 

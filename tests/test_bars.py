@@ -230,3 +230,15 @@ def test_csv_per_symbol(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("d,open,high,low,close,volume\n2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1,2,0.5,1.6,100\n")
     got = barstore.read_csv_per_symbol(spark, str(tmp_path)).collect()
     assert {r.sym for r in got} == {"600519.SH", "000001.SZ"} and len(got) == 4
+
+
+def test_market_activity_covers_all_dates_of_the_table(spark, monkeypatch):
+    from datetime import date
+
+    from sparkbars.plans import market
+
+    days = [date(1990, 1, 2), date(1998, 1, 5), date(2015, 6, 1)]
+    bars = spark.createDataFrame([(1, d, 2.0, 3.0) for d in days], "sym long, d date, close double, volume double")
+    monkeypatch.setattr(market.views, "bars", lambda spark, root: bars)
+    assert sorted(r.d for r in market.market_amv(spark, "").collect()) == days
+    assert [r.d for r in market.market_amv(spark, "", date(1995, 1, 1), date(2001, 12, 31)).collect()] == days[1:2]
