@@ -11,10 +11,13 @@ from .common import table
 from .decontam import contamination
 from .lang_id import identify
 from .licences import licences
+from .mixing import mix, taken
 from .near_dup import near_duplicates
+from .negatives import hard_negatives, relabelled
 from .neighbours import nearest_of_every
 from .packing import pack
 from .pii import digest, find_spans
+from .prefix_trie import prefix_trie
 from .quality import quality
 from .suffixes import repeated_strings
 
@@ -59,7 +62,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_licence_scan, op2_suffix_array_dedup, op3_substring_dedup, op4_quality_classifier, op5_language_id, op6_personal_data, op7_best_fit_packing,
-             op8_minhash_near_dedup, op9_nearest_neighbours, op10_benchmark_decontamination)
+             op8_minhash_near_dedup, op9_nearest_neighbours, op10_benchmark_decontamination, op11_conversation_prefix_trie, op12_hard_negatives,
+             op13_source_mixing)
     return {f.__name__: f for f in found}
