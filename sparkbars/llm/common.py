@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20  # text bytes that a task works on at once
 
@@ -82,3 +83,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def tiles(queries: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
+    """Each block of queries (its columns prefixed by query_) beside each block of rows of the same `dim`.
+
+    Blocks of rows are dealt in turn to `groups` keys and blocks of queries copied to all, so that the work, not the bytes, decides
+    on the number of tasks; four times as many partitions keep most keys apart.
+    """
+    named = [F.col(c).alias(f"query_{c}") for c in queries.columns if c != "dim"]
+    left = queries.select("dim", *named, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("tile_group"))
+    dealt = F.pmod(F.monotonically_increasing_id() + 7 * F.spark_partition_id(), F.lit(groups)).cast("int")
+    left, right = (x.repartition(4 * groups, "dim", "tile_group") for x in (left, rows.withColumn("tile_group", dealt)))
+    return left.join(right.hint("merge"), ["dim", "tile_group"]).drop("tile_group")

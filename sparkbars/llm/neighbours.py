@@ -10,9 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tiles
+
 TILE_BYTES = 2 << 20  # vectors of a block, as doubles
 QUERY_STEP = 20       # rows whose vec_id is divisible by this are queries
 NEAREST = 20
+SLICE = 1024           # components; so many products of two int8 values stay below 2**24
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +57,13 @@ class Quantised:
 
 
 def tile(one: Quantised, two: Quantised) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds below and above the inner products of unit-scaled vectors; int8 products are exact in single precision."""
-    product = one.values.astype(np.float32) @ two.values.astype(np.float32).T
-    near = product.astype(np.float64) / 127**2
+    """Bounds below and above the inner products of unit-scaled vectors. int8 products are exact in single precision over SLICE
+    components, and so are the sums of slices in doubles."""
+    product = np.zeros((len(one.values), len(two.values)))
+    for start in range(0, one.values.shape[1], SLICE):
+        part = slice(start, start + SLICE)
+        product += one.values[:, part].astype(np.float32) @ two.values[:, part].astype(np.float32).T
+    near = product / 127**2
     error = one.error[:, None] * two.whole_norm + one.norm[:, None] * two.error + 1e-9
     return near - error, near + error
 
@@ -110,11 +117,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, groups: in
     groups = groups or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = [f.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(
         _blocks, "dim int, ids binary, vectors binary") for f in (queries, vectors)]
-    left = packed[0].select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
-                            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("tile_group"))
-    right = packed[1].withColumn("tile_group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    tiles = left.join(right, ["dim", "tile_group"]).select("dim", "query_ids", "query_vectors", "ids", "vectors")
-    found = tiles.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
+    found = tiles(*packed, groups).mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

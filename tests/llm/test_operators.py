@@ -369,3 +369,17 @@ def test_long_passages_and_copies_with_one_changed_value_are_contaminated(spark)
     assert (1, 1) in found and (6, 1) in found and not [d for d, _ in found if d == 2] and (4, 3) in found and (5, 4) in found
     assert found[3, 2].share == 1 and found[3, 2].reparameterised and 23 <= found[6, 1].n_matched < 26
     assert not [i for _, i in found if i == 5]
+
+
+@pytest.mark.parametrize("dim", [1500, 4096])
+def test_neighbours_in_many_dimensions(spark, dim):
+    from sparkbars.llm.neighbours import nearest_of_every
+
+    vectors = np.random.default_rng(dim).choice([-1.0, 1.0], size=(84, dim))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in nearest_of_every(frame).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 84, 20):
+        score = vectors @ vectors[q]
+        assert found[q] == [(i, score[i]) for i in np.lexsort((np.arange(84), -score)) if i != q][:20]
