@@ -62,7 +62,8 @@ def test_empty_and_alone(spark):
 def test_scores_beyond_doubles_and_longs_are_exact_or_cut():
     vectors = np.array([[2.0**40, 1.0], [2.0**40, 0.0], [2.0**60, 2.0**60], [-(2.0**60), 5.0]])
     lists = Lists(np.arange(4), np.zeros(4, np.int64), vectors)
-    (at, score), = lists.search(np.array([2.0**20, 1.0]), np.ones(4, bool), [-LONG], [LONG], 4)
+    limits = np.array([[-LONG]]), np.array([[LONG]])
+    *_, at, score = lists.search(np.array([[2.0**20, 1.0]]), np.ones((1, 4), bool), *limits, 4)
     assert at.tolist() == [2, 0, 1, 3] and score.tolist() == [LONG, 2**60 + 1, 2**60, -LONG]
 
 
@@ -70,8 +71,11 @@ def test_the_search_stops_early_and_bounds_are_whole():
     rng = np.random.default_rng(4)
     vectors = np.floor(256 * rng.normal(size=(5000, 3)))
     lists, read = Lists(np.arange(5000), np.zeros(5000, np.int64), vectors), []
-    scores = lists._scores
-    lists._scores = lambda rows, *more: read.append(len(rows)) or scores(rows, *more)
-    lists.search(np.array([200.0, -300.0, 100.0]), np.ones(5000, bool), [-LONG], [LONG], 5)
-    assert sum(read) < 2500
-    assert [bounds(p) for p in (0, 1, 2, 3, 41, -2)] == [(0, 0), (1, 0), (1, 1), (2, 2), (21, 38), (-1, -2)]
+    products = lists.products
+    lists.products = lambda anchors, rows: read.append(len(rows)) or products(anchors, rows)
+    limits = np.array([[-LONG]]), np.array([[LONG]])
+    *_, at, score = lists.search(np.array([[200.0, -300.0, 100.0]]), np.ones((1, 5000), bool), *limits, 5)
+    want = vectors @ [200.0, -300.0, 100.0]
+    assert at.tolist() == np.argsort(-want)[:5].tolist() and score.tolist() == want[at].tolist() and sum(read) < 2500
+    low, high = bounds(np.array([0, 1, 2, 3, 41, -2, LONG]))
+    assert low.tolist() == [0, 1, 1, 2, 21, -1, -(-LONG // 2)] and high.tolist() == [0, 0, 1, 2, 38, -2, 95 * LONG // 100]
