@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracle.prelude import BARS, query
+from oracle.prelude import query
 
 TICKS = """
 ticks AS (SELECT event_id, ts, user_id, event_type AS sym, value AS price, json_extract_string(props, '$.k')::DOUBLE AS volume FROM events)"""
@@ -14,15 +14,19 @@ def oracle_sql() -> dict[str, str]:
     o["stream_ohlcv_bars"] = query("SELECT * FROM hours", TICKS, HOURS)
     o["stream_upsert_bars"] = query("SELECT * FROM hours UNION ALL SELECT DISTINCT sym, TIMESTAMP '1990-01-01', 0.5, 0.5, 0.5, 0.5, 0.5 FROM ticks", TICKS, HOURS)
     o["stream_late_rows"] = query("""SELECT count(*) FILTER (newer OR ts >= mark) AS kept, count(*) FILTER (NOT newer AND ts < mark) AS late FROM
-      (SELECT ts, event_id > m AS newer, max(ts) FILTER (event_id > m) OVER () - INTERVAL 10 MINUTE AS mark FROM ticks, (SELECT quantile_cont(event_id, 0.5) AS m FROM ticks))""", TICKS)
+      (SELECT ts, event_id > m AS newer, max(ts) FILTER (event_id > m) OVER () - INTERVAL 10 MINUTE AS mark
+       FROM ticks, (SELECT (min(event_id) + max(event_id)) / 2.0 AS m FROM ticks))""", TICKS)
     o["stream_sliding_volume"] = query("""SELECT sym, start, sum(volume) AS volume, count(*) AS ticks FROM
       (SELECT *, date_trunc('hour', ts) - INTERVAL 1 HOUR * unnest(range(0, 6)) AS start FROM ticks) GROUP BY 1, 2""", TICKS)
     o["stream_sessions"] = query("""SELECT user_id, min(ts) AS start, count(*) AS events, sum(volume) AS volume FROM
       (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM
         (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM ticks))
       GROUP BY user_id, n""", TICKS)
-    o["stream_quote_splice"] = query("""SELECT event_id, user_id AS key, round(price * coalesce(CASE WHEN user_id % 7 > 0 AND c > 0 THEN c / (user_id % 7)::DOUBLE END, 1), 6) AS price
-      FROM ticks LEFT JOIN (SELECT sym AS k, arg_max(close, d) AS c FROM bars GROUP BY 1) ON k = user_id""", TICKS, BARS)
+    o["stream_quote_splice"] = query("""SELECT event_id, sym AS key, round(price * coalesce(CASE WHEN raw > 0 AND adjusted > 0 THEN adjusted / raw END, 1), 6) AS price FROM
+      (SELECT event_id, sym, price, arg_max(close, known) AS adjusted, arg_max(raw, known) AS raw FROM
+        (SELECT t.event_id, t.sym, t.price, c.close, c.known, (hour(c.start) % 7)::DOUBLE AS raw FROM ticks t LEFT JOIN
+          (SELECT *, start + INTERVAL 1 HOUR AS known FROM hours) c ON c.sym = t.sym AND c.known <= t.ts AND c.known > t.ts - INTERVAL 6 HOUR)
+       GROUP BY 1, 2, 3)""", TICKS, HOURS)
     o["stream_regime_latch"] = query("""SELECT sym, start, coalesce(last_value(CASE WHEN close >= 20 THEN 1 WHEN close <= 5 THEN 0 END IGNORE NULLS)
       OVER (PARTITION BY sym ORDER BY start ROWS UNBOUNDED PRECEDING), 0) AS state FROM hours""", TICKS, HOURS)
     o["stream_dedup"] = query("SELECT event_id, sym, price FROM ticks", TICKS)

@@ -1,16 +1,24 @@
 """Structured Streaming operators over a tick stream (sym, ts, price, volume).
 
-Every stream runs to the end of its input with ``availableNow``. Changing results are written in update mode to a log, one
-folder per micro-batch, so that windows still open at the end are there too; a reader takes the newest row of each key. No
-batch reads or rewrites what an earlier one wrote, and a retried batch overwrites its own folder. State is bounded by
-watermarks. With the same ``base`` a later run resumes where the last one stopped.
+Every stream runs to the end of its input with ``availableNow``; with the same ``base`` a later run resumes where the last one
+stopped. Sessions, latches and quotes with their references are held in the state store and written once, when the watermark
+has passed them; a closing mark (``close``) moves the watermark on when no more ticks come. Bars that may still change are
+written in update mode to a log, one folder per micro-batch, of which a reader takes the newest row of each key; a retried
+batch overwrites its own folder. State is bounded by watermarks, or by the number of symbols.
 """
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkbars.operators.maintenance import OHLC
 from sparkbars.sources.tables import scratch
@@ -19,10 +27,32 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 DELAY = "10 minutes"
 
 
-def ticks(spark: SparkSession, root: str) -> DataFrame:
-    """Event stream as ticks: the type is the symbol, the value the price."""
+def events(spark: SparkSession, path: str) -> DataFrame:
     # A pattern, because the file source takes a plain path for a partition root; it matches a file or a folder.
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1000).parquet(f"{root}/event[s].parquet")
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1000).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def with_marks(stream: DataFrame, base: str) -> DataFrame:
+    """The event stream and its closing marks, rows with nothing but a time: they move the watermark and belong to no symbol."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], EVENTS).write.mode("ignore").parquet(f"{base}/marks")
+    return stream.unionByName(events(spark, f"{base}/marks"))
+
+
+def close(spark: SparkSession, base: str, ts) -> None:
+    """Say that no tick before ``ts`` is to come; the next run closes what the watermark then passes."""
+    spark.createDataFrame([(ts,)], "ts timestamp").selectExpr("null as event_id", "ts", *(f"null as {c}" for c in ("user_id", "event_type", "value", "props"))).select(
+        *(F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], EVENTS).schema)).write.mode("append").parquet(f"{base}/marks")
+
+
+def ticks(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
+    """Event stream as ticks, with closing marks if there is a ``base``."""
+    raw = events(spark, f"{root}/events.parquet")
+    return as_ticks(with_marks(raw, base) if base else raw)
+
+
+def as_ticks(raw: DataFrame) -> DataFrame:
+    """The type is the symbol, the value the price."""
     return raw.select("event_id", "ts", "user_id", F.col("event_type").alias("sym"), F.col("value").alias("price"),
                       F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
@@ -76,31 +106,27 @@ def sliding_volume(stream: DataFrame) -> DataFrame:
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks")).select("sym", F.col("w.start").alias("start"), "volume", "ticks")
 
 
-def session_parts(batch: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions within one batch; parts of a session that spans batches are joined by ``sessions``."""
-    return batch.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
-        F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume")).drop("w")
+def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of a user, kept in the state store and written once, when the watermark has passed their end."""
+    return stream.withWatermark("ts", DELAY).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("volume").alias("volume")).select("user_id", F.col("w.start").alias("start"), "events", "volume")
 
 
-def sessions(parts: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Parts of sessions joined where they are no further apart than the gap."""
-    w = Window.partitionBy("user_id").orderBy("start", "last")
-    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("start") > before + F.expr(f"interval {gap}"), F.lit(True))
-    numbered = parts.withColumn("fresh", fresh.cast("int")).withColumn("n", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "n").agg(
-        F.min("start").alias("start"), F.sum("events").alias("events"), F.sum("volume").alias("volume")).drop("n")
+def splice(quotes: DataFrame, closes: DataFrame, age: str = "1 day") -> DataFrame:
+    """Live quotes in adjusted prices, by the newest close that was known at the quote's own time and is at most ``age`` old.
 
-
-def splice(stream: DataFrame, history: DataFrame) -> DataFrame:
-    """Live quotes mapped into adjusted prices: a stateless stream-static join.
-
-    ``history`` has one reference row (key, adjusted close, raw close) per key.
+    quotes(event_id, key, ts, price), closes(key, known, adjusted, raw). Both streams wait for the other up to their watermarks;
+    a quote without a usable close keeps its price, and each is written once.
     """
-    joined = stream.join(history, "key", "left")
-    usable = (F.col("raw") > 0) & (F.col("adjusted") > 0)
-    ratio = F.coalesce(F.when(usable, F.col("adjusted") / F.col("raw")), F.lit(1.0))
-    return joined.select("event_id", "key", (F.col("price") * ratio).alias("price"))
+    left = quotes.withWatermark("ts", DELAY).alias("q")
+    right = closes.withWatermark("known", DELAY).alias("c")
+    near = F.expr(f"q.key = c.key and c.known <= q.ts and c.known > q.ts - interval {age}")
+    joined = left.join(right, near, "left").select("q.event_id", "q.key", "q.ts", "q.price", "c.known", "c.adjusted", "c.raw")
+    newest_close = F.max_by(F.struct("adjusted", "raw"), "known")
+    found = joined.groupBy("ts", "event_id", "key", "price").agg(newest_close.alias("c"))
+    usable = (F.col("c.raw") > 0) & (F.col("c.adjusted") > 0)
+    ratio = F.coalesce(F.when(usable, F.col("c.adjusted") / F.col("c.raw")), F.lit(1.0))
+    return found.select("event_id", "key", (F.col("price") * ratio).alias("price"))
 
 
 def upsert(existing: DataFrame, log: DataFrame) -> DataFrame:
@@ -108,11 +134,24 @@ def upsert(existing: DataFrame, log: DataFrame) -> DataFrame:
     return newest(existing.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(log), ["sym", "start"])
 
 
-def latch_states(bars: DataFrame, upper: float, lower: float) -> DataFrame:
-    """On/off state of each symbol after each of its bars: the last event wins."""
-    event = F.when(F.col("close") >= upper, 1).when(F.col("close") <= lower, 0)
-    w = Window.partitionBy("sym").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    return bars.select("sym", "start", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(0)).alias("state"))
+def latch(bars: DataFrame, upper: float, lower: float) -> DataFrame:
+    """On/off state of each symbol after each of its bars: on from ``upper``, off from ``lower``, else as it was.
+
+    A stream of closed bars(sym, start, close), oldest first; the state store keeps one row a symbol, and a batch touches only
+    the symbols that have a bar in it. A bar no newer than the last one seen changes nothing and is left out.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, on = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values("start")  # of one symbol in one batch
+        rows = rows[rows["start"] > pd.Timestamp(last, unit="us")] if last is not None else rows
+        event = rows["close"].map(lambda x: 1.0 if x >= upper else 0.0 if x <= lower else None).astype("float64")
+        out = pd.DataFrame({"sym": rows["sym"], "start": rows["start"], "state": event.ffill().fillna(on).astype("int32")})
+        if len(out):
+            state.update((int(out["start"].iloc[-1].value // 1000), int(out["state"].iloc[-1])))
+        yield out
+
+    return bars.select("sym", "start", "close").groupBy("sym").applyInPandasWithState(
+        step, "sym string, start timestamp, state int", "last long, state int", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedup(stream: DataFrame) -> DataFrame:
@@ -120,16 +159,76 @@ def dedup(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(["event_id"])
 
 
+class LateRows(StreamingQueryListener):
+    """Keeps the rows that each batch of one query dropped as late: one folder a batch, so a run that is resumed goes on counting."""
+
+    def __init__(self, spark: SparkSession, name: str, folder: str):
+        self.spark, self.name, self.folder, self.run, self.ended = spark, name, folder, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        if event.progress.runId == self.run and late:
+            self.spark.createDataFrame([(late,)], "late long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={event.progress.batchId}")
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self.ended.set()
+
+
 def counted(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
-    """Run an append-mode stream to completion; count all rows it has kept and those that came too late in this run."""
-    spark, base = df.sparkSession, base or scratch(df.sparkSession, name)
-    query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
-    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
-    return spark.read.schema(df.schema).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(late).cast("bigint"))
+    """Run an append-mode stream to completion; count the rows it has kept and those that came too late, in this run and before.
+
+    Every batch reports its late rows to a listener, however many batches there are; the reports are kept beside the rows.
+    """
+    spark, base, name = df.sparkSession, base or scratch(df.sparkSession, name), f"{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([(0,)], "late long").write.mode("ignore").parquet(f"{base}/late/batch=-1")
+    listener = LateRows(spark, name, f"{base}/late")
+    spark.streams.addListener(listener)
+    try:
+        query = (df.writeStream.outputMode("append").queryName(name).format("parquet").option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
+        if not listener.ended.wait(600):
+            raise TimeoutError("the end of the stream was not reported, so late rows may be missing")
+    finally:
+        spark.streams.removeListener(listener)
+    late = spark.read.schema("late long, batch long").parquet(f"{base}/late").agg(F.sum("late"))
+    return spark.read.schema(df.schema).parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("kept")).withColumn("late", late.scalar())
 
 
 def first_pushes(batch: DataFrame) -> DataFrame:
-    """First successful row of each (date, mode) in a batch, or, over the log of all batches, of all."""
+    """First successful row of each (date, mode) in a batch."""
     return batch.groupBy("push_date", "mode").agg(F.min(F.struct("ts", "event_id")).alias("p")).select("push_date", "mode", "p.*")
+
+
+def publish(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Publish the first successful row of each (date, mode) once, over all batches and runs; return what is published.
+
+    What a batch publishes goes to the folder of its date and number. A batch leaves out the keys that earlier batches have
+    published, reading the folders of its own dates only; when it is replayed it does not see what it wrote before, so it
+    writes the same rows over them.
+    """
+    spark, base = stream.sparkSession, base or scratch(stream.sparkSession, name)
+    kind = "mode string, ts timestamp, event_id long, push_date date, batch long"
+    spark.createDataFrame([], kind).write.mode("ignore").partitionBy("push_date", "batch").parquet(f"{base}/published")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        first = first_pushes(batch).persist()
+        dates = [r.push_date for r in first.select("push_date").distinct().collect()]  # the calendar days of one batch
+        published = spark.read.schema(kind).parquet(f"{base}/published").where(F.col("push_date").isin(dates) & (F.col("batch") < number))
+        fresh = first.join(published.select("push_date", "mode"), ["push_date", "mode"], "left_anti").withColumn("batch", F.lit(number).cast("long"))
+        writer = fresh.select("mode", F.col("ts").cast("timestamp").alias("ts"), "event_id", "push_date", "batch").write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("push_date", "batch").parquet(f"{base}/published")
+        first.unpersist()
+
+    query = (stream.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(kind).parquet(f"{base}/published")
