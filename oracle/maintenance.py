@@ -54,6 +54,16 @@ def oracle_sql() -> dict[str, str]:
     raw = """raw AS (SELECT * EXCLUDE (rn) REPLACE (CASE WHEN sym % 11 = 5 THEN 0 ELSE volume END AS volume) FROM
       (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS rn FROM bars) WHERE sym % 7 <> 0 OR rn <= 5)"""
     o["migrate_table"] = b(f"SELECT {cols} FROM kept WHERE sym IN (SELECT sym FROM raw GROUP BY 1 HAVING count(*) >= 10)", raw, jumps("raw", "kept"))
+    lines = """lines AS (SELECT *, (sym % 7 = 3 AND n = 2) OR (sym % 7 = 5 AND n % 9 = 4) AS bad FROM
+      (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d) AS n FROM bars) WHERE sym % 11 <> 6)"""
+    o["scan_csv_files"] = b(f"SELECT {cols} FROM lines WHERE NOT bad", lines)
+    o["csv_file_report"] = b("""SELECT sym, coalesce(r, 0) AS rows, coalesce(x, 0) AS broken, first_broken,
+      CASE WHEN x > 0 THEN 'broken' WHEN r > 0 THEN 'complete' ELSE 'empty' END AS status FROM (SELECT DISTINCT sym FROM bars) LEFT JOIN
+      (SELECT sym, count(*) FILTER (NOT bad) AS r, count(*) FILTER (bad) AS x, (min(d) FILTER (bad))::VARCHAR AS first_broken FROM lines GROUP BY 1) USING (sym)""", lines)
+    o["merge_into_table"] = b(f"""SELECT {cols} FROM (SELECT * FROM new WHERE sym % 10 = 7 UNION ALL
+      SELECT * FROM old WHERE (sym, d) NOT IN (SELECT sym, d FROM new WHERE sym % 10 = 7))""", OLD, NEW)
+    o["append_to_table"] = b(f"""SELECT {cols} FROM (SELECT * FROM old UNION ALL SELECT n.* FROM new n LEFT JOIN
+      (SELECT sym, max(d) AS latest FROM old GROUP BY 1) USING (sym) WHERE sym % 10 = 7 AND (latest IS NULL OR d > latest))""", OLD, NEW)
     o["delete_symbol"] = b(f"SELECT {cols} FROM bars WHERE sym % 10 <> 3")
     o["migrate_report"] = b("""SELECT status, count(*) AS symbols, coalesce(sum(kept), 0)::BIGINT AS rows_kept FROM
       (SELECT f.sym, CASE WHEN f.n < 10 THEN 'skipped' WHEN coalesce(k.n, 0) = 0 THEN 'failed' ELSE 'migrated' END AS status, k.n AS kept
@@ -113,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
     sig = [base(), tags(BEST)]
     o["latest_signals"] = query("SELECT sym, d, round(close, 4) AS close FROM sig WHERE signal_v64 AND (sym, d) IN (SELECT sym, max(d) FROM sig GROUP BY 1)", *sig)
     o["universe_semi_prefilter"] = lst("SELECT sym, u.name FROM universe u WHERE sym IN (SELECT sym FROM tradable)")
-    o["resume_anti"] = b("SELECT sym, name FROM universe WHERE sym NOT IN (SELECT sym FROM bars WHERE d >= DATE '2001-10-29')", UNIVERSE)
+    o["resume_anti"] = b("SELECT sym, name FROM universe WHERE sym NOT IN (SELECT sym FROM bars WHERE d >= (SELECT max(d) - 7 FROM bars))", UNIVERSE)
     o["filter_allowed_dates"] = query("SELECT sym, d FROM sig WHERE signal_v64 AND d IN (SELECT d FROM daily WHERE state = 1)", *sig, MARKET, REGIME_CTE)
     st = "st AS (SELECT sym, d FROM sig WHERE signal_v64)"
     o["filter_industry_allow"] = query(f"SELECT sym, d FROM ({GATES['industry_gate']}) WHERE allow", *sig, UNIVERSE, MOMENTUM(BEST.industry_days),

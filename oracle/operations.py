@@ -45,9 +45,14 @@ def oracle_sql() -> dict[str, str]:
       (SELECT uid AS user_id, ts, event_type = 'signup' AS follow FROM
         (SELECT *, CASE WHEN event_id % 50 = 0 THEN user_id + 1000000 ELSE user_id END AS uid FROM events WHERE event_type IN ('signup', 'error'))
         QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ts DESC, event_id DESC) = 1) USING (user_id) WHERE plan IS NOT NULL OR follow""", USERS)
-    o["push_idempotent"] = query("""SELECT push_time::DATE AS push_date, mode, id FROM logs WHERE push_time >= TIMESTAMP '2024-01-10' AND success = 1
-      AND (push_time::DATE, mode) NOT IN (SELECT (push_time::DATE, mode) FROM logs WHERE push_time < TIMESTAMP '2024-01-15' AND mode = 'intraday' AND success = 1)
+    o["push_idempotent"] = query("""SELECT push_time::DATE AS push_date, mode, id FROM logs WHERE success = 1
+      AND (push_time::DATE, mode) NOT IN (SELECT (push_time::DATE, mode) FROM logs, (SELECT min(push_time)::DATE AS a, max(push_time)::DATE AS b FROM logs)
+        WHERE push_time < a + ((b - a) // 2)::INT AND mode = 'intraday' AND success = 1)
       QUALIFY row_number() OVER (PARTITION BY push_time::DATE, mode ORDER BY push_time, id) = 1""", LOGS)
+    o["ops_payloads"] = query("""SELECT id, CASE WHEN whole THEN mode END AS mode, CASE WHEN whole THEN 2 * signal_count END AS second,
+      CASE WHEN whole THEN success = 1 END AS ok, CASE WHEN whole THEN duration_ms END AS took, NULL::INT AS third, NULL::INT AS wrong,
+      CASE WHEN id % 17 = 5 THEN 'missing' WHEN id % 13 = 4 THEN 'malformed' ELSE 'read' END AS status
+      FROM (SELECT *, id % 17 <> 5 AND id % 13 <> 4 AS whole FROM logs)""", LOGS)
     o["dq_enum_violations"] = query("""SELECT 'event_type' AS "column", event_type AS value, count(*) AS rows FROM logs
       WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY 2
       UNION ALL SELECT 'mode', mode, count(*) FROM logs WHERE mode NOT IN ('intraday') GROUP BY 2""", LOGS)

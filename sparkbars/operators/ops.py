@@ -122,6 +122,16 @@ def append_log(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_payloads(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of JSON payloads by (path, type), parsed once a row: null where a field is missing or of another kind.
+
+    ``status`` tells whole payloads (read) from text that is no JSON (malformed) and from null (missing).
+    """
+    parsed = rows.withColumn("_variant", F.try_parse_json("payload"))
+    status = F.when(F.col("payload").isNull(), "missing").when(F.col("_variant").isNull(), "malformed").otherwise("read")
+    return parsed.select("*", *(F.try_variant_get("_variant", path, kind).alias(name) for name, (path, kind) in fields.items()), status.alias("status")).drop("_variant")
+
+
 def local_day(ts: Column | str, zone: str) -> Column:
     """The date of a UTC time where ``zone`` is the local time."""
     return F.to_date(F.from_utc_timestamp(ts, zone))

@@ -11,7 +11,7 @@ from sparkbars.params import BEST
 from sparkbars.plans.features import feature_frame, project
 from sparkbars.plans.ledgers import industry_gate, market_gate, regime_settings
 from sparkbars.plans.market import regime_grid_fine
-from sparkbars.sources import barstore, views
+from sparkbars.sources import bartable, csvfiles, views
 from sparkbars.sources.tables import scratch, table
 
 CUT = "2000-01-01"
@@ -60,39 +60,83 @@ def bars_min_history(spark, root):
 
 def scan_csv_bars(spark, root):
     path = scratch(spark, "csv-scan")
-    barstore.write_csv(views.bars(spark, root), path)
-    return _money(barstore.read_csv(spark, path))
+    csvfiles.write_csv(views.bars(spark, root), path)
+    return _money(csvfiles.read_csv(spark, path))
 
 
 def sink_csv_bars(spark, root):
     path = scratch(spark, "csv-sink")
-    barstore.write_csv(views.bars_raw(spark, root), path)
-    return barstore.read_csv(spark, path).groupBy("sym").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("volume"), 2).alias("volume"))
+    csvfiles.write_csv(views.bars_raw(spark, root), path)
+    return csvfiles.read_csv(spark, path).groupBy("sym").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("volume"), 2).alias("volume"))
 
 
-def _store(spark, root, name):
-    return barstore.BarStore(spark, scratch(spark, name)).create(views.bars(spark, root))
+def _csv_lines(spark, root):
+    """Files per symbol as they come: some with a line that is cut off, some with a price that is no number, some with no bars."""
+    bars = views.bars(spark, root)
+    n = F.row_number().over(m.by_day())
+    cells = [F.col(c).cast("string") for c in ("d", *m.OHLC, "volume")]
+    line = F.concat_ws(",", *cells)
+    bad = F.when((F.col("sym") % 7 == 3) & (F.col("n") == 2), F.concat_ws(",", *cells[:3])).when(
+        (F.col("sym") % 7 == 5) & (F.col("n") % 9 == 4), F.concat_ws(",", cells[0], F.lit("n/a"), *cells[2:]))
+    rows = bars.withColumn("n", n).where("sym % 11 != 6").select("sym", "n", F.coalesce(bad, line).alias("value"))
+    heads = bars.select("sym").distinct().select("sym", F.lit(0).alias("n"), F.lit("d,open,high,low,close,volume").alias("value"))
+    path = scratch(spark, "csv-lines")
+    lines = rows.unionByName(heads).repartition("sym").sortWithinPartitions("sym", "n")  # one file a symbol, its head first
+    lines.select("sym", "value").write.partitionBy("sym").text(path)
+    return path
+
+
+def scan_csv_files(spark, root):
+    """Whole bars of all files; see csv_file_report for the rest."""
+    df = csvfiles.read_csv_per_symbol(spark, _csv_lines(spark, root))
+    return _money(df.withColumn("sym", F.col("sym").cast("bigint")))
+
+
+def csv_file_report(spark, root):
+    """Outcome per symbol of reading its files, with the date of the first line that is no bar."""
+    report = csvfiles.csv_report(spark, _csv_lines(spark, root))
+    return report.select(F.col("sym").cast("bigint").alias("sym"), "rows", "broken", F.substring_index("first_broken", ",", 1).alias("first_broken"), "status")
+
+
+def _table(spark, root, name, bars=None):
+    path = scratch(spark, name)
+    bartable.create(views.bars(spark, root) if bars is None else bars, path)
+    return path
 
 
 def replace_partition(spark, root):
     """Every tenth symbol gets new rows, every tenth moves to a new symbol, all others stay."""
-    store = _store(spark, root, "replace")
-    rows = store.read().where("sym % 10 in (3, 4)").withColumn("close", F.col("close") + 1)
+    path = _table(spark, root, "replace")
+    rows = bartable.read(spark, path).where("sym % 10 in (3, 4)").withColumn("close", F.col("close") + 1)
     moved = rows.withColumn("sym", F.when(F.col("sym") % 10 == 4, F.col("sym") + 1_000_000).otherwise(F.col("sym")))
-    store.replace(rows.select("sym"), moved)
-    return _money(store.read())
+    bartable.replace(spark, path, rows.select("sym"), moved)
+    return _money(bartable.read(spark, path))
 
 
 def scan_one_symbol(spark, root):
-    """The bars of one symbol, the largest; the key reaches the scan of the sorted table."""
-    store = _store(spark, root, "symbol")
-    return _money(m.scan_symbol(store.read(), store.read().agg(F.max("sym")).scalar()))
+    """The bars of one symbol, the largest; bucket and key reach the scan."""
+    path = _table(spark, root, "symbol")
+    return _money(m.min_history(bartable.read_symbol(spark, path, bartable.read(spark, path).agg(F.max("sym")).scalar()), 10))
 
 
 def delete_symbol(spark, root):
-    store = _store(spark, root, "delete")
-    store.replace(views.universe(spark, root).where("sym % 10 = 3").select("sym"))
-    return _money(store.read())
+    path = _table(spark, root, "delete")
+    bartable.replace(spark, path, views.universe(spark, root).where("sym % 10 = 3").select("sym"))
+    return _money(bartable.read(spark, path))
+
+
+def merge_into_table(spark, root):
+    """New rows of a few symbols written over the stored ones of the same date; other buckets are not read."""
+    path = _table(spark, root, "merged", _old(spark, root))
+    bartable.merge(spark, path, _new(spark, root).where("sym % 10 = 7"))
+    return _money(bartable.read(spark, path))
+
+
+def append_to_table(spark, root):
+    """Rows of a few symbols that are newer than the stored ones, added as files."""
+    path = _table(spark, root, "appended", _old(spark, root))
+    bartable.append_newer(spark, path, _new(spark, root).where("sym % 10 = 7"))
+    return _money(bartable.read(spark, path))
 
 
 def _raw_files(spark, root):
@@ -100,8 +144,8 @@ def _raw_files(spark, root):
     short = F.row_number().over(m.by_day()) <= 5
     raw = views.bars(spark, root).withColumn("short", short).where("sym % 7 != 0 or short").drop("short")
     path = scratch(spark, "csv-raw")
-    barstore.write_csv(raw.withColumn("volume", F.when(F.col("sym") % 11 == 5, 0.0).otherwise(F.col("volume"))), path)
-    return barstore.read_csv(spark, path)
+    csvfiles.write_csv(raw.withColumn("volume", F.when(F.col("sym") % 11 == 5, 0.0).otherwise(F.col("volume"))), path)
+    return csvfiles.read_csv(spark, path)
 
 
 def _enough(raw, rows=10):
@@ -111,9 +155,8 @@ def _enough(raw, rows=10):
 def migrate_table(spark, root):
     """Raw files read, cleaned and written into the bar table; symbols with too few rows are left out."""
     raw = _raw_files(spark, root)
-    store = barstore.BarStore(spark, scratch(spark, "migrated"))
-    store.create(m.clean(raw).join(_enough(raw).where("enough"), "sym", "left_semi"))
-    return _money(store.read())
+    path = _table(spark, root, "migrated", m.clean(raw).join(_enough(raw).where("enough"), "sym", "left_semi"))
+    return _money(bartable.read(spark, path))
 
 
 def migrate_report(spark, root):
@@ -329,9 +372,11 @@ def universe_semi_prefilter(spark, root):
     return views.universe(spark, root).join(u.tradable(_listing(spark, root)).select("sym"), "sym", "left_semi").select("sym", "name")
 
 
-def resume_anti(spark, root):
-    """Symbols still to be scanned: those without a bar in the last processed month."""
-    done = views.bars(spark, root).where("d >= '2001-10-29'").select("sym").distinct()
+def resume_anti(spark, root, since=None):
+    """Symbols still to be scanned: those without a bar since the given date, by default in the table's last 7 days."""
+    bars = views.bars(spark, root)
+    since = since or bars.agg(F.date_sub(F.max("d"), 7)).scalar()
+    done = bars.where(F.col("d") >= since).select("sym").distinct()
     return views.universe(spark, root).join(done, "sym", "left_anti").select("sym", "name")
 
 
@@ -370,7 +415,7 @@ def scan_counters(spark, root):
 def queries() -> dict:
     return {f.__name__: f for f in (
         scan_symbol_bars, bars_min_history, scan_csv_bars, sink_csv_bars, scan_one_symbol, replace_partition, delete_symbol, migrate_table,
-        migrate_report, cache_stats,
+        scan_csv_files, csv_file_report, merge_into_table, append_to_table, migrate_report, cache_stats,
         latest_date_per_symbol, latest_close_per_symbol, stale_symbols, backfill_dates, incremental_merge, append_newer_only,
         exrights_check, history_gaps, merge_day_adjusted, forward_adjust, splice_realtime_bar, missing_trade_dates, amv_coalesce,
         retention_window, trading_calendar, freshness_gate, snapshot_sufficiency, report_json, grid_csv, clean_bars, clean_jump_rows,

@@ -71,9 +71,14 @@ def user_upsert(spark, root):
     return ops.upsert_users(views.users(spark, root), _follows(spark, root))
 
 
-def push_idempotent(spark, root):
+def push_idempotent(spark, root, since=None, until=None):
+    """Deliveries from ``since`` on (by default all), where the intraday ones before ``until`` (the middle of the log) are out already."""
     logs = views.push_logs(spark, root)
-    return ops.new_deliveries(logs.where("push_time >= '2024-01-10'"), logs.where("push_time < '2024-01-15' and mode = 'intraday'"))
+    if since is None or until is None:
+        first, last = F.to_date(F.min("push_time")), F.to_date(F.max("push_time"))
+        bounds = logs.select(F.min("push_time").alias("since"), F.date_add(first, F.floor(F.date_diff(last, first) / 2).cast("int")).alias("until")).first()
+        since, until = since or bounds.since, until or bounds.until
+    return ops.new_deliveries(logs.where(F.col("push_time") >= F.lit(since)), logs.where((F.col("push_time") < F.lit(until)) & (F.col("mode") == "intraday")))
 
 
 def dq_enum_violations(spark, root):
@@ -94,6 +99,18 @@ def ops_log_append(spark, root):
     return ops.append_log(spark, path, events.where("event_id % 2 <> 0"))
 
 
+def ops_payloads(spark, root):
+    """Nested log payloads, some cut off and some missing, read as variants."""
+    logs = views.push_logs(spark, root)
+    payload = F.format_string('{"push":{"mode":"%s","counts":[%d,%d]},"ok":%s,"took":"%d"}', "mode", "signal_count", F.col("signal_count") * 2,
+                              F.when(F.col("success") == 1, "true").otherwise("false"), "duration_ms")
+    cut = F.substring(payload, F.lit(1), (F.length(payload) - F.col("id") % 29 - 1).cast("int"))
+    payload = F.when(F.col("id") % 17 == 5, F.lit(None)).when(F.col("id") % 13 == 4, cut).otherwise(payload)
+    fields = {"mode": ("$.push.mode", "string"), "second": ("$.push.counts[1]", "int"), "ok": ("$.ok", "boolean"), "took": ("$.took", "bigint"),
+              "third": ("$.push.counts[2]", "int"), "wrong": ("$.push", "int")}
+    return ops.read_payloads(logs.select("id", payload.alias("payload")), fields).drop("payload")
+
+
 def events_by_local_day(spark, root):
     day = ops.local_day(F.col("ts").cast("timestamp"), "Asia/Shanghai")
     return table(spark, root, "events").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("events"))
@@ -110,5 +127,5 @@ def update_run_counters(spark, root):
 def queries() -> dict:
     return {f.__name__: f for f in (
         ops_report, metrics_recent, ops_last_push, subscription_stats, active_subscribers, subscription_state, subscription_expire,
-        subscription_expire_events, subscription_upgrade, user_upsert, push_idempotent, dq_enum_violations, dq_fk_orphans, ops_log_append,
+        subscription_expire_events, subscription_upgrade, user_upsert, push_idempotent, dq_enum_violations, dq_fk_orphans, ops_log_append, ops_payloads,
         events_by_local_day, update_run_counters)}

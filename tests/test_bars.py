@@ -17,7 +17,7 @@ from sparkbars.operators.indicators import indicators
 from sparkbars.operators.signals import signals
 from sparkbars.params import BEST, V60, V64
 from sparkbars.plans.market import exact_median
-from sparkbars.sources import barstore
+from sparkbars.sources import bartable, csvfiles
 
 SCHEMA = "sym bigint, d date, open double, high double, low double, close double, volume double"
 START = dt.date(2024, 1, 1)
@@ -169,43 +169,58 @@ def test_exact_median(spark):
         assert got[k] == pytest.approx(statistics.median(v for kk, v in rows if kk == k), abs=1e-15)
 
 
-def test_store_replace_and_delete(spark, tmp_path):
-    rows = [r for s in range(6) for r in walk(12, s, sym=s)]
-    bars = spark.createDataFrame(rows, SCHEMA)
-    store = barstore.BarStore(spark, str(tmp_path / "store")).create(bars)
-    store.replace(spark.createDataFrame([(2,)], "sym bigint"))
-    assert {r.sym for r in store.read().select("sym").distinct().collect()} == {0, 1, 3, 4, 5}
-    store.replace(spark.createDataFrame([(3,)], "sym bigint"), bars.where("sym = 3").withColumn("close", F.lit(7.0)))
-    assert {r.close for r in store.read().where("sym = 3").collect()} == {7.0}
-    store.compact()
-    assert store.read().count() == 60
-    store.replace(spark.createDataFrame([(s,) for s in range(6)], "sym bigint"))
-    assert store.read().count() == 0
-
-
-def test_store_keeps_symbols_that_are_not_named(spark, tmp_path):
+def files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("part-*")}
+
+
+def test_table_replace_and_delete(spark, tmp_path):
+    path = str(tmp_path / "table")
+    bars = spark.createDataFrame([r for s in range(6) for r in walk(12, s, sym=s)], SCHEMA)
+    bartable.create(bars, path)
+    bartable.replace(spark, path, spark.createDataFrame([(2,)], "sym bigint"))
+    assert {r.sym for r in bartable.read(spark, path).select("sym").distinct().collect()} == {0, 1, 3, 4, 5}
+    bartable.replace(spark, path, spark.createDataFrame([(3,)], "sym bigint"), bars.where("sym = 3").withColumn("close", F.lit(7.0)))
+    assert {r.close for r in bartable.read(spark, path).where("sym = 3").collect()} == {7.0}
+    assert bartable.read(spark, path).count() == 60 and bartable.read_symbol(spark, path, 3).count() == 12
+    bartable.replace(spark, path, spark.createDataFrame([(s,) for s in range(6)], "sym bigint"))
+    assert bartable.read(spark, path).count() == 0
+    bartable.merge(spark, path, bars.where("sym = 1"))
+    assert bartable.read(spark, path).count() == 12
+
+
+def test_table_changes_touch_their_own_buckets_only(spark, tmp_path):
+    path = tmp_path / "table"
+    bars = spark.createDataFrame([r for s in range(200) for r in walk(3, s, sym=s)], SCHEMA)
+    bartable.create(bars, str(path))
+    before = files(path)
+    new = bars.where("sym in (2, 17)").withColumn("close", F.lit(9.0)).withColumn("d", F.date_add("d", 2))
+    plan = bartable.touched(spark, str(path), new)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    bartable.merge(spark, str(path), new)
+    after = files(path)
+    buckets = {r.b for r in new.select(bartable.bucket(F.col("sym")).alias("b")).distinct().collect()}
+    assert {p.parent.name for p in before if after.get(p) != before[p]} == {f"bucket={b}" for b in buckets}
+    rows = bartable.read(spark, str(path))
+    assert rows.count() == 600 + 4 and rows.where("close = 9").count() == 6
+    newer = bars.where("sym = 5").withColumn("d", F.date_add("d", 1))
+    bartable.append_newer(spark, str(path), newer)
+    assert rows.sparkSession.read.parquet(str(path)).where("sym = 5").count() == 4 and all(files(path).get(p) == t for p, t in after.items())
+
+
+def test_table_moves_symbols_and_ignores_a_failed_write(spark, tmp_path):
+    path = str(tmp_path / "table")
     bars = spark.createDataFrame([r for s in range(12) for r in walk(3, s, sym=s)], SCHEMA)
-    store = barstore.BarStore(spark, str(tmp_path / "store")).create(bars)
+    bartable.create(bars, path)
     fresh = spark.createDataFrame([r for s in range(100, 108) for r in walk(1, s, sym=s)], SCHEMA)
-    store.replace(spark.createDataFrame([(2,)], "sym bigint"), fresh)
-    assert store.read().count() == 36 - 3 + 8
-    store.replace(spark.createDataFrame([(2,)], "sym bigint"), fresh)  # symbols of the new rows are replaced too
-    assert store.read().count() == 36 - 3 + 8
-    store.append(bars.where("sym = 2"))
-    assert store.read().count() == 36 + 8
-    store.create(bars.where("sym = 1"))
-    assert store.read().count() == 3
-
-
-def test_store_ignores_a_failed_write(spark, tmp_path):
-    bars = spark.createDataFrame(walk(3, 1, sym=1), SCHEMA)
-    store = barstore.BarStore(spark, str(tmp_path / "store")).create(bars)
+    for _ in range(2):  # symbols of the new rows are replaced too
+        bartable.replace(spark, path, spark.createDataFrame([(2,)], "sym bigint"), fresh)
+        assert bartable.read(spark, path).count() == 36 - 3 + 8
+    before = sorted(bartable.read(spark, path).collect())
     with pytest.raises(Exception):
-        store.replace(bars.select("sym"), bars.withColumn("close", F.raise_error(F.lit("broken")).cast("double")))
-    assert sorted(store.read().collect()) == sorted(bars.collect())
-    store.replace(bars.select("sym"), bars.limit(1))
-    assert store.read().count() == 1
-    assert barstore.BarStore(spark, str(tmp_path / "none")).read().count() == 0
+        bartable.replace(spark, path, bars.select("sym"), bars.withColumn("close", F.raise_error(F.lit("broken")).cast("double")))
+    assert sorted(bartable.read(spark, path).collect()) == before
+    bartable.create(bars.where("sym = 1"), path)
+    assert bartable.read(spark, path).count() == 3
 
 
 def test_splice_of_several_quotes_uses_the_close_before_each(spark):
@@ -225,11 +240,17 @@ def test_adjustment_carries_factors_and_keeps_bars_without(spark):
     assert [r.close for r in got] == [10.0, 2.5, 2.5, 10.0] + [10.0] * 4
 
 
-def test_csv_per_symbol(spark, tmp_path):
-    for name in ("600519.SH", "000001.SZ"):
-        (tmp_path / f"{name}.csv").write_text("d,open,high,low,close,volume\n2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1,2,0.5,1.6,100\n")
-    got = barstore.read_csv_per_symbol(spark, str(tmp_path)).collect()
-    assert {r.sym for r in got} == {"600519.SH", "000001.SZ"} and len(got) == 4
+def test_csv_per_symbol_and_what_is_wrong_with_it(spark, tmp_path):
+    head = "d,open,high,low,close,volume\n"
+    good = "2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1,2,0.5,1.6,100\n"
+    for name, text in {"600519.SH": head + good, "000001.SZ": head + "2024-01-04,1,x,0.5,1.5,100\n" + good + "2024-01-05,1,2\n", "1.SZ": head, "2.SZ": "",
+                       "3.SZ": head + "no date,1,2,0.5,1.5,100\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = csvfiles.read_csv_per_symbol(spark, str(tmp_path)).collect()
+    assert sorted(r.sym for r in got) == ["000001.SZ"] * 2 + ["600519.SH"] * 2 and {r.close for r in got} == {1.5, 1.6}
+    assert sorted(map(tuple, csvfiles.csv_report(spark, str(tmp_path)).collect())) == [
+        ("000001.SZ", 2, 2, "2024-01-04,1,x,0.5,1.5,100", "broken"), ("1.SZ", 0, 0, None, "empty"), ("2.SZ", 0, 0, None, "empty"),
+        ("3.SZ", 0, 1, "no date,1,2,0.5,1.5,100", "broken"), ("600519.SH", 2, 0, None, "complete")]
 
 
 def test_market_activity_covers_all_dates_of_the_table(spark, monkeypatch):
