@@ -70,13 +70,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into blocks of at most `limit` text bytes; a longer text is a block of its own."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches into blocks of at most `limit` text bytes and `rows` rows; a longer text is a block of its own."""
     for batch in batches:
         _, offsets = utf8(batch.column(column))
         row = 0
         while row < len(batch):
-            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+            end = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
             yield batch.slice(row, end - row)
             row = end
 

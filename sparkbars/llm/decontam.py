@@ -236,5 +236,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item; rows without doc_id stay."""
-    return docs.join(contamination(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that contain no item; rows without doc_id stay.
+
+    The ids to leave out are written first: while their files are below Spark's threshold the texts are not shuffled.
+    """
+    found = Scratch(docs.sparkSession, "found").save(contamination(docs, items).select("doc_id").distinct())
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)

@@ -96,8 +96,10 @@ def profiles(docs: DataFrame) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= PROFILE).select("lang", "ngram", "place")
 
 
-def _predictor(langs: list[str], known: np.ndarray, places: np.ndarray) -> Callable:
-    """places: for each language the place of each known n-gram, with a last column for all others."""
+def _predictor(langs: list[str], known: np.ndarray, places: np.ndarray, only_kept: bool = False) -> Callable:
+    """places: for each language the place of each known n-gram, with a last column for all others.
+
+    With `only_kept`, the rows themselves come back, without those of no identifiable language."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             classes, offsets = letter_classes(block.column("text"))
@@ -121,6 +123,9 @@ def _predictor(langs: list[str], known: np.ndarray, places: np.ndarray) -> Calla
                 most = others.min() if len(others) else PROFILE * len(order)
                 names.append(langs[best])
                 scores.append(float((most - apart[best]) / most) if most else 0.0)
+            if only_kept:
+                yield block.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+                continue
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"])
@@ -142,10 +147,28 @@ def identify(docs: DataFrame) -> DataFrame:
     are ignored. Only the profiles (400 n-grams for each language) come to the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), held_out().alias("held_out"))
+    return docs.drop("lang").mapInArrow(_predictor(*_learned(docs)), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def _learned(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     rows = profiles(docs.where("not held_out")).collect()
     langs = sorted({r.lang for r in rows})
     known = np.unique(np.array([r.ngram for r in rows], np.uint32))
     places = np.full((len(langs), len(known) + 1), PROFILE, np.int64)
     for r in rows:
         places[langs.index(r.lang), np.searchsorted(known, np.uint32(r.ngram))] = r.place - 1
-    return docs.drop("lang").mapInArrow(_predictor(langs, known, places), "doc_id long, held_out boolean, lang_pred string, score double")
+    return langs, known, places
+
+
+def identifiable(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text `identify` gives a language, all columns as they are.
+
+    Every row is judged by its own text, whatever its doc_id; rows meet their prediction in the pass that makes it, so nothing
+    is joined. Null texts and texts without a letter go, and all rows if no language can be learned.
+    """
+    names = docs.columns
+    kept = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("kept")
+    schema = docs.select(kept).schema["kept"].dataType.simpleString()
+    learned = _learned(docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), held_out().alias("held_out")))
+    out = docs.select(kept, F.col("text").cast("string").alias("text")).mapInArrow(_predictor(*learned, True), f"kept {schema}, text string")
+    return out.select(*(F.col("text").alias(c) if c == "text" else F.col("kept")[c].alias(c) for c in names))

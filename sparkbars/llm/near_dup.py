@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,10 @@ PERCENT = 75         # least Jaccard similarity of a link, in hundredths
 BANDS, ROWS = 32, 4  # a pair at the least similarity shares no band with probability (1 - .75**4)**32 = 5e-6
 SAMPLES = 1024       # MinHash samples in a sketch; the first BANDS * ROWS of them make the bands
 SKETCH_WORDS = 32    # the odd sketch has 2048 bits: at the least similarity its estimate has a deviation of 0.02
+SIGNED = 512         # texts signed at once
+PAIRWISE = 64        # pairs a text up to which the rest of shared bands is compared pair by pair
+ORDERED = 4096       # texts from which frequent shingles are learned, about,
+FREQUENT = 1 << 16   # and so many shingles at most; both only set the order of shingles, any order gives the same links
 SKETCH_SLACK = 0.09  # a candidate stays unless its estimate is this far below the least similarity, 4.5 deviations
 
 _random = np.random.default_rng(8)
@@ -45,7 +49,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, limit=BLOCK_BYTES // 4):  # the samples of a text take four KB, however short it is
+    for block in blocks(batches, limit=BLOCK_BYTES // 4, rows=SIGNED):  # the samples of a text take four KB, however short it is
         data, offsets = utf8(block.column("text"))
         sizes = np.zeros(len(block), np.int64)
         digests = np.zeros((len(block), 2), np.uint64)
@@ -66,7 +70,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
+    for block in blocks(batches, rows=4 * SIGNED):
         data, offsets = utf8(block.column("text"))
         sets = [x.tobytes() for x in shingle_sets(data, offsets, WIDTH)]
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
@@ -107,6 +111,10 @@ def _links(docs: DataFrame, likely: DataFrame, scratch: Scratch) -> DataFrame:
     Texts are shuffled by merge joins at every size, so that the cost follows the input.
     """
     likely = scratch.save(likely)
+    if not likely.limit(1).count():
+        none = likely.select(F.col("head").alias("a"), F.col("doc").alias("b"))
+        none.scratch_path = likely.scratch_path
+        return none
     wanted = likely.select(F.col("head").alias("doc_id")).distinct().union(likely.select("doc").distinct()).distinct()
     sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, hashes binary")
     full = likely.join(sets.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").join(
@@ -117,6 +125,48 @@ def _links(docs: DataFrame, likely: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        sets = list(shingle_sets(*utf8(block.column("text")), WIDTH))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+
+def _prefixes(late: np.ndarray, place: np.ndarray) -> Callable:
+    """The first shingles of each text, frequent ones last: texts that are similar enough share one of them."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, rows=4 * SIGNED):
+            sets, sizes = [], []
+            for hashes in shingle_sets(*utf8(block.column("text")), WIDTH):
+                if len(late) and len(hashes):
+                    at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+                    hashes = hashes[np.argsort(np.where(late[at] == hashes, place[at], -1), kind="stable")]
+                sizes.append(len(hashes) - -(-PERCENT * len(hashes) // 100) + 1 if len(hashes) else 0)
+                sets.append(hashes[:sizes[-1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())],
+                                             ["doc_id", "shingles"])
+    return cut
+
+
+def _by_prefixes(docs: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(one_doc_id, two_doc_id) of texts in different components that may be similar enough, by a join on their rarest shingles.
+
+    A pair at PERCENT hundredths shares one of the first |x| - ceil(PERCENT * |x| / 100) + 1 shingles of both, in any order of all
+    shingles. Shingles that many texts share come last, so that texts with a common frame, but contents of their own, do not meet.
+    """
+    members = scratch.save(placed.select("doc_id", "component", "n_shingles").distinct())
+    own = docs.join(members.select("doc_id"), "doc_id", "left_semi")
+    share = max(1, members.count() // ORDERED)
+    seen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    common = seen.where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    late, count = common["shingle"].to_numpy().view(np.uint64), common["n"].to_numpy()
+    order = np.argsort(late)
+    parts = own.mapInArrow(_prefixes(late[order], count[order]), "doc_id long, shingles array<long>")
+    parts = scratch.save(parts.join(members, "doc_id").select("doc_id", "component", "n_shingles", F.explode("shingles").alias("shingle")))
+    met = _prefixed(parts, "one").join(_prefixed(parts, "two"), F.expr(
+        f"one_shingle = two_shingle and one_component < two_component and 100 * least(one_n_shingles, two_n_shingles) >= {PERCENT} * greatest(one_n_shingles, two_n_shingles)"))
+    return met.select("one_doc_id", "two_doc_id").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept).
 
@@ -125,7 +175,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id share its links. Other columns are ignored.
 
     Texts with equal shingle sets become one before any pair is made. A band that many texts share is compared with its
-    smallest member only; what those links leave in different components within a band is then compared across components.
+    smallest member only. What those links leave in different components within a band is then compared across components: pair
+    by pair while these are few, else by a join on each text's rarest shingles, which finds every pair that is similar enough.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -139,8 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = texts.select("doc_id", F.posexplode("bands").alias("place", "band"))
     shared = scratch.save(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
     member = scratch.save(bands.join(shared, "band"))
-    parts = [F.shiftright(F.col("bands")[k], 32).cast("int").alias(f"b{k}") for k in range(BANDS)]
-    known = texts.select("doc_id", "n_shingles", *SKETCH, *parts)
+    known = texts.select("doc_id", "n_shingles", *SKETCH)
     tried = member.where("head <> doc_id").select(F.col("head").alias("head_doc_id"), F.col("doc_id").alias("own_doc_id")).distinct()
     tried = tried.join(_prefixed(known, "head"), "head_doc_id").join(_prefixed(known, "own"), "own_doc_id").where(_likely("head", "own"))
     links = _links(docs, tried.select(F.col("head_doc_id").alias("head"), F.col("own_doc_id").alias("doc")), scratch)
@@ -149,10 +199,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "band", "place", "doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    placed = scratch.save(placed.join(mixed, "band", "left_semi").where("doc_id <> head").drop("head").join(known, "doc_id"))
-    met_before = F.expr(" or ".join(f"(one_place > {k} and one_b{k} = two_b{k})" for k in range(BANDS - 1)))  # a pair is made in one band only
-    across = _prefixed(placed, "one").join(
-        _prefixed(placed, "two"), F.expr("one_band = two_band and one_component < two_component") & _likely("one", "two") & ~met_before)
+    placed = scratch.save(placed.join(mixed, "band", "left_semi").where("doc_id <> head").drop("head").join(texts.select("doc_id", "n_shingles", "bands", *SKETCH), "doc_id"))
+    work = placed.groupBy("band").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+    if (work[0] or 0) > PAIRWISE * (work[1] or 0):
+        apart = _by_prefixes(docs, placed, scratch)
+        across = apart.join(_prefixed(known, "one"), "one_doc_id").join(_prefixed(known, "two"), "two_doc_id").where(_likely("one", "two"))
+    else:
+        # a pair is made in one band only, told by the whole value of the earlier ones
+        met_before = F.expr(" or ".join(f"(one_place > {k} and one_bands[{k}] = two_bands[{k}])" for k in range(BANDS - 1)))
+        across = _prefixed(placed, "one").join(
+            _prefixed(placed, "two"), F.expr("one_band = two_band and one_component < two_component") & _likely("one", "two") & ~met_before)
     across = across.select(F.least("one_doc_id", "two_doc_id").alias("head"), F.greatest("one_doc_id", "two_doc_id").alias("doc")).distinct()
     more = _links(docs, across, scratch)
     if more.limit(1).count():
@@ -164,3 +220,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates keeps: one document of each group; rows without doc_id, text or words stay.
+
+    The ids to leave out are written first: while their files are below Spark's threshold the texts are not shuffled.
+    """
+    repeated = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    repeated = Scratch(docs.sparkSession, "repeated").save(repeated)
+    return docs.join(repeated, "doc_id", "left_anti").select(docs.columns)

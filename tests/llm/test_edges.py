@@ -125,6 +125,29 @@ def test_stages(spark, docs, empty, stage):
             assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, None, 8, 9}
 
 
+def test_language_is_decided_row_by_row(spark):
+    rows = [(1, "the river is long and the stone is old", "en"), (1, None, "en"), (None, None, None), (None, "der Fluss ist lang", "de"), (2, "12 34", "en"), (2, "der Stein", "de")]
+    frame = spark.createDataFrame([(i, t, lang, "s", n, "x", n) for n, (i, t, lang) in enumerate(rows)],
+                                  "doc_id long, text string, lang string, source string, n_chars long, held_out string, kept long")
+    out = corpus_pipeline.language(spark, frame, "")
+    assert out.columns == frame.columns and sorted(r.n_chars for r in out.collect()) == [0, 3, 5]
+
+
+@pytest.mark.parametrize("k", range(1, 4))
+def test_repeated_and_null_ids_in_the_filters(spark, k):
+    text = "one two three four five six seven eight nine ten"
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None), (4, item), (4, "other words"), (None, item), (5, "call +49 30 1234567 now")]
+    frame = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.withColumn("row", frame.n_chars)
+    name, stage = corpus_pipeline.STAGES[k]
+    kept = {r.row: r for r in stage(spark, frame, "/root/testdata/sf0.001").collect()}
+    want = {"near_dedup": {0, 1, 3, 4, 5, 6, 7, 8, 9}, "decontamination": {0, 1, 2, 3, 4, 5, 8, 9}, "personal_data": set(range(10))}[name]
+    assert set(kept) == want
+    if name == "personal_data":
+        assert kept[9].text == "call [PHONE] now" and kept[9].n_chars == len(kept[9].text) and kept[5].n_chars is None
+
+
 def test_pipeline_is_its_stages(spark):
     root = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{root}/documents.parquet")

@@ -383,3 +383,30 @@ def test_neighbours_in_many_dimensions(spark, dim):
     for q in range(0, 84, 20):
         score = vectors @ vectors[q]
         assert found[q] == [(i, score[i]) for i in np.lexsort((np.arange(84), -score)) if i != q][:20]
+
+
+def test_links_between_texts_with_a_common_frame(spark, monkeypatch):
+    from sparkbars.llm import near_dup
+
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(240):
+        frame = [f"frame{k}" for k in range([180, 240, 255][k % 3])]
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 300 - len(frame))]
+        docs.append((k, " ".join(frame + own)))
+        if k % 6 == 0:
+            own[len(own) // 2] = "changed"
+            docs.append((1000 + k, " ".join(frame + own)))
+    sets = {d: {tuple(words(t)[k:k + 5]) for k in range(len(words(t)) - 4)} for d, t in docs}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for pairwise in (0, near_dup.PAIRWISE, 10**9):
+        monkeypatch.setattr(near_dup, "PAIRWISE", pairwise)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame).collect()}
+        assert got == root
+    assert 100 < len(set(root.values())) < 240
