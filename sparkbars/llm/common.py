@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20  # text bytes that a task works on at once
+BATCH_ROWS = 1000      # rows of an Arrow batch; Spark's default is meant for rows without texts
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Python workers on this machine find this package wherever they are started."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the rows of Arrow batches for this session, unless its user has chosen them: texts of a batch are held several times over."""
+    if spark.conf.get(ROWS_SETTING) == "10000":
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +49,7 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage: later jobs read them again after the loss of any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -70,6 +82,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine; workers are kept, and else hold what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut batches into blocks of at most `limit` text bytes and `rows` rows; a longer text is a block of its own."""
     for batch in batches:
@@ -79,6 +100,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
             yield batch.slice(row, end - row)
             row = end
+    give_back()
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, small_batches, utf8
 
 PROFILE = 400          # n-grams of a profile
 HELD_OUT = (3, 1)      # rows whose crc32(doc_id) has this remainder are never learned from
@@ -151,6 +151,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def _learned(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    small_batches(docs.sparkSession)
     rows = profiles(docs.where("not held_out")).collect()
     langs = sorted({r.lang for r in rows})
     known = np.unique(np.array([r.ngram for r in rows], np.uint32))
