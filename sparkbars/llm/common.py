@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20  # text bytes that a task works on at once
+BLOCK_BYTES = 1 << 19  # text bytes that a task works on at once
 BATCH_ROWS = 1000      # rows of an Arrow batch; Spark's default is meant for rows without texts
 ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

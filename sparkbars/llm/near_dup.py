@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Scratch, blocks, lists, utf8
+from .common import Scratch, blocks, lists, utf8
 from .graph import components
 from .words import PLACES, mix, shingle_sets
 
@@ -49,7 +49,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, limit=BLOCK_BYTES // 4, rows=SIGNED):  # the samples of a text take four KB, however short it is
+    for block in blocks(batches, rows=SIGNED):  # the samples of a text take four KB, however short it is
         data, offsets = utf8(block.column("text"))
         sizes = np.zeros(len(block), np.int64)
         digests = np.zeros((len(block), 2), np.uint64)
