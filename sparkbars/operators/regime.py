@@ -189,26 +189,65 @@ def grid_series(series: DataFrame, settings: dict) -> DataFrame:
     return df.select("d", "ret", F.inline(F.array(*pairs)))
 
 
-def grid_states(series: DataFrame, settings: dict, strict: bool = True) -> DataFrame:
-    """States of every parameter combination; the fixed grid is exploded from a literal array."""
-    limits = F.array(*[F.struct(F.lit(i).alias("limit"), F.lit(float(u)).alias("upper"), F.lit(float(low)).alias("lower"))
-                       for i, (u, low) in enumerate(grid(settings, strict))])
-    # Spread the x series first: the fan-out and all windows per (pair, limit) then need no further shuffle.
-    pairs = len(settings["smooth"]) * len(settings["cost"])
-    rows = grid_series(series, settings).repartition(pairs, "pair").select(
-        "pair", "d", "ret", "smooth", "cost", "x", F.inline(limits))
-    window = up_to_now(["pair", "limit"])
-    return rows.withColumn("state", latch(F.col("x") >= F.col("upper"), F.col("x") <= F.col("lower"), window))
+BITS = 60  # combinations whose states share one number
 
 
-def evaluate(states: DataFrame, keys: list[str], min_transitions: int = 4, series: list[str] | None = None) -> DataFrame:
-    """Timing quality per combination from rows (d, ret, state); weak combinations are left out.
+def grid_segments(series: DataFrame, settings: dict, strict: bool = True) -> DataFrame:
+    """Runs of days with a return in which no combination of limits changes its state, with what a run adds to any of them.
 
-    ``series`` may name integer columns that identify the combination, for cheaper sorting.
+    A combination is on while its upper limit was reached later than its lower one, so one running maximum of row numbers a
+    limit decides all pairs of limits; their states are bits of ``states``. Rows: one a run, as many as the series' crossings.
+    """
+    limits = grid(settings, strict)
+    pairs = len(settings["smooth"]) * len(settings["cost"])
+    rows = grid_series(series, settings).repartition(pairs, "pair")
+    place = F.row_number().over(by_date(["pair"]))
+    reached = {f"on{k}": F.col("x") >= float(u) for k, u in enumerate(settings["upper"])} | {
+        f"off{k}": F.col("x") <= float(low) for k, low in enumerate(settings["lower"])}
+    rows = rows.withColumn("_n", place).withColumns({
+        c: F.coalesce(F.max(F.when(hit, F.col("_n"))).over(up_to_now(["pair"])), F.lit(0)) for c, hit in reached.items()})
+    is_on = [F.col(f"on{settings['upper'].index(u)}") > F.col(f"off{settings['lower'].index(low)}") for u, low in limits]
+    words = [sum((F.shiftleft(on.cast("bigint"), k) for k, on in enumerate(is_on[start:start + BITS])), F.lit(0).cast("bigint"))
+             for start in range(0, len(is_on), BITS)]
+    rows = rows.where("ret is not null").select("pair", "smooth", "cost", "d", "ret", F.array(*words).alias("states"), F.log1p("ret").alias("g"))
+    fresh = F.coalesce(F.lag("states").over(by_date(["pair"])) != F.col("states"), F.lit(True))
+    rows = rows.withColumn("_fresh", fresh.cast("int")).withColumn("seg", F.sum("_fresh").over(up_to_now(["pair"])))
+    inside = up_to_now(["pair", "seg"])
+    rows = rows.withColumn("p", F.sum("g").over(inside)).withColumn("drop", F.col("p") - F.max("p").over(inside))
+    return rows.groupBy("pair", "seg", "smooth", "cost").agg(
+        F.min("states").alias("states"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("ret") > 0).alias("wins"), F.sum("g").alias("grown"),
+        F.min("p").alias("low"), F.max("p").alias("high"), F.min("drop").alias("drop"))
+
+
+def grid_evaluation(series: DataFrame, settings: dict, strict: bool = True, min_transitions: int = 4) -> DataFrame:
+    """``evaluate`` of every admissible combination, from the runs of its series instead of its days."""
+    limits = F.array(*[F.struct(F.lit(i).alias("limit"), F.lit(float(u)).alias("upper"), F.lit(float(low)).alias("lower"))
+                       for i, (u, low) in enumerate(grid(settings, strict))])
+    runs = grid_segments(series, settings, strict).select("*", F.inline(limits))
+    bit = F.expr(f"(shiftright(states[cast(limit div {BITS} as int)], limit % {BITS}) & 1) = 1")
+    runs = runs.withColumn("bull", bit).withColumn("gain", F.when(F.col("bull"), F.col("grown")).otherwise(0.0))
+    order = Window.partitionBy("pair", "limit").orderBy("seg")
+    runs = runs.withColumns({
+        "flip": F.coalesce((F.col("bull") != F.lag("bull").over(order)).cast("int"), F.lit(0)),
+        "start": F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("gain")})
+    runs = runs.withColumn("top", F.when(F.col("bull"), F.col("start") + F.col("high")).otherwise(F.col("start")))
+    runs = runs.withColumn("peak", F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    fall = F.when(F.col("bull"), F.least(F.col("start") + F.col("low") - F.col("peak"), F.col("drop"))).otherwise(
+        F.col("start") - F.greatest("peak", "start"))
+    of = lambda on, value: F.sum(F.when(F.col("bull") == on, value).otherwise(F.lit(0)))
+    out = runs.groupBy("pair", "limit", "smooth", "cost", "upper", "lower").agg(
+        F.sum("days").alias("total_days"), of(True, F.col("days")).alias("bull_days"), of(False, F.col("days")).alias("bear_days"),
+        F.sum("flip").alias("transitions"), F.sum("gain").alias("log_bull"), of(False, F.col("grown")).alias("log_bear"),
+        F.sum("grown").alias("log_all"), of(True, F.col("wins")).alias("bull_wins"), F.min(fall).alias("log_drop"))
+    return _report(out, ["smooth", "cost", "upper", "lower"], min_transitions)
+
+
+def evaluate(states: DataFrame, keys: list[str], min_transitions: int = 4) -> DataFrame:
+    """Timing quality per combination from rows (d, ret, state); weak combinations are left out.
 
     Products of growth factors are sums of logarithms; growth factors are positive.
     """
-    part = series or keys
+    part = keys
     grown = F.col("_grown")
     df = states.where("ret is not null").withColumn("_grown", F.log1p("ret"))
     df = df.withColumn("_log", F.when(F.col("state") == 1, grown).otherwise(0.0))
@@ -217,11 +256,15 @@ def evaluate(states: DataFrame, keys: list[str], min_transitions: int = 4, serie
         "_equity": F.sum("_log").over(up_to_now(part))})
     df = df.withColumn("_peak", F.max("_equity").over(up_to_now(part)))
     bull, bear = F.col("state") == 1, F.col("state") == 0
-    out = df.groupBy(*part, *[k for k in keys if k not in part]).agg(
+    out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_days"), F.count_if(bull).alias("bull_days"), F.count_if(bear).alias("bear_days"),
         F.sum("_flip").alias("transitions"), F.sum("_log").alias("log_bull"),
         F.sum(F.when(bear, grown).otherwise(0.0)).alias("log_bear"), F.sum(grown).alias("log_all"),
         F.count_if(bull & (F.col("ret") > 0)).alias("bull_wins"), F.min(F.col("_equity") - F.col("_peak")).alias("log_drop"))
+    return _report(out, keys, min_transitions)
+
+
+def _report(out: DataFrame, keys: list[str], min_transitions: int) -> DataFrame:
     out = out.where((F.col("total_days") >= 100) & (F.col("transitions") >= min_transitions)
                     & (F.col("bull_days") >= 20) & (F.col("bear_days") >= 20))
 

@@ -149,8 +149,7 @@ def regime_eval(spark, root):
 
 
 def _grid(spark, root, settings=GRID, strict=True, least=4):
-    states = regime.grid_states(_returns(spark, root), settings, strict)
-    return regime.evaluate(states, ["smooth", "cost", "upper", "lower"], least, series=["pair", "limit"])
+    return regime.grid_evaluation(_returns(spark, root), settings, strict, least)
 
 
 def regime_grid(spark, root):
