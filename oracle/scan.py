@@ -108,5 +108,8 @@ def oracle_sql() -> dict[str, str]:
     shown = f"sym, name, industry, d, round(close, 4) AS price, score, momentum_tag, {PRIORITY} AS priority, {STARS} AS stars, {LABELS} AS wyckoff"
     o["daily_scan"] = query(f"SELECT {shown} FROM gated WHERE {FINAL} AND (sym, d) IN (SELECT sym, max(d) FROM bars WHERE d <= DATE '1996-08-05' GROUP BY 1) "
                             "AND sym IN (SELECT sym FROM tradable)", *full, LISTING)
+    o["daily_scans"] = query(f"""SELECT as_of, {shown} FROM gated JOIN
+      (SELECT as_of, sym, max(d) AS d FROM bars JOIN (SELECT DISTINCT d AS as_of FROM bars WHERE d BETWEEN DATE '1996-01-01' AND DATE '1997-12-29') ON d <= as_of GROUP BY 1, 2)
+      USING (sym, d) WHERE {FINAL} AND sym IN (SELECT sym FROM tradable)""", *full, LISTING)
     o["scan_all_dates"] = query(f"SELECT {shown} FROM gated WHERE {FINAL}", *full)
     return o

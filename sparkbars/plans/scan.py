@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkbars.functions.windows import half_even
+from sparkbars.functions.windows import by_symbol, half_even
 from sparkbars.operators import industry, records, regime
 from sparkbars.operators import universe as u
+from sparkbars.operators.indicators import indicators
+from sparkbars.operators.signals import STEPS as SIGNAL_STEPS
 from sparkbars.params import BEST, REGIME
 from sparkbars.plans.features import feature_frame
 from sparkbars.plans.ledgers import regime_settings
@@ -33,11 +34,16 @@ def _permitted(spark, root):
     return regime.allowed(daily, weeks).select("d", c("allowed").alias("bull"))
 
 
+def momentum(spark, root):
+    """Industry momentum by date, derived once: it needs the returns of all symbols, a scan only a few of its rows."""
+    return views.stored(spark, root, "momentum", lambda spark, root: industry.momentum(
+        views.bars(spark, root), views.universe(spark, root), BEST.industry_days), ("lineitem", "supplier", "nation", "region"))
+
+
 def gated(spark, root, df):
     """Signals with regime, industry permission and momentum verdict."""
     df = df.join(_permitted(spark, root), "d", "left").withColumn("bull", F.coalesce("bull", F.lit(False)))
-    momentum = industry.momentum(views.bars(spark, root), views.universe(spark, root), BEST.industry_days)
-    allowed = industry.allow_absolute(momentum, BEST.industry_threshold).withColumnRenamed("allow", "industry_ok")
+    allowed = industry.allow_absolute(momentum(spark, root), BEST.industry_threshold).withColumnRenamed("allow", "industry_ok")
     df = df.join(views.universe(spark, root).select("sym", "name", "industry"), "sym", "left")
     df = df.join(allowed, ["industry", "d"], "left").withColumn("industry_ok", F.coalesce("industry_ok", F.lit(True)))
     return records.momentum_check(df, BEST)
@@ -114,26 +120,77 @@ def dynamic_score_filter(spark, root):
     return _final(gated(spark, root, _signals(spark, root))).select("sym", "d", "bull", "score")
 
 
-def scan_of_day(spark, root, day=None):
-    """The whole scan as of a date (or the end of the data): eligible universe, signal on each symbol's newest bar, gates, labels, tier."""
+YEARS = 2  # of a period; its partition holds the period's bars and each symbol's last TAIL bars before it
+TAIL = 64  # more bars than signals look back from a bar whose indicators are known
+
+
+def _period(day):
+    return F.floor(F.year(day) / YEARS)
+
+
+def indicator_blocks(spark, root):
+    """Bars with their indicators, recurrences included, by period: what a scan of one day reads is one period long, not the history."""
+    return views.stored(spark, root, "indicator-blocks", _derived_blocks, by=("period",))
+
+
+def _derived_blocks(spark, root):
+    rows = indicators(views.bars(spark, root)).withColumn("period", _period("d"))
+    ends = rows.groupBy("sym", "period").agg(F.max("rn").alias("last"))
+    ends = ends.groupBy("sym").agg(F.collect_list(F.struct("period", "last")).alias("ends"))  # one entry a period
+    newest = rows.agg(F.max("period")).first()[0] or 0
+    before = lambda p: F.array_max(F.transform(F.filter("ends", lambda e: e["period"] < p), lambda e: e["last"]))
+    later = F.when(c("period") < newest, F.sequence(c("period") + 1, F.lit(newest).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    tails = F.filter(later, lambda p: before(p) - c("rn") < TAIL)
+    rows = rows.join(ends, "sym")
+    return rows.withColumn("period", F.explode(F.concat(F.array("period"), tails))).drop("ends")
+
+
+def _block_of(spark, root, day):
+    """The stored rows that decide signals up to a day: a partition, and of it the dates up to the day."""
+    rows = indicator_blocks(spark, root)
+    newest = rows.agg(F.max("period")).first()[0]  # from the names of partitions
+    return rows.where((c("period") == F.least(F.lit(newest), _period(F.lit(day).cast("date")))) & (c("d") <= F.lit(day).cast("date"))).drop("period")
+
+
+def scan_of_day(spark, root, day):
+    """The whole scan as of a date: eligible universe, signal on each symbol's newest bar, gates, labels, tier."""
+    return scan_of_days(spark, root, day, day).drop("as_of")
+
+
+def scan_of_days(spark, root, first, last):
+    """The scan as of every date with bars from ``first`` to ``last`` of one period; ``as_of`` is the date of the scan."""
     eligible = u.tradable(_listing(spark, root)).select("sym")
-    df = _context(spark, root)
-    if day:
-        df = df.where(c("d") <= F.lit(day).cast("date"))
-    newest = F.max("d").over(Window.partitionBy("sym"))
-    df = df.withColumn("newest", newest).where("signal_v64 and d = newest").drop("newest").join(eligible, "sym", "left_semi")
+    rows = _block_of(spark, root, last)
+    df = rows
+    for step in SIGNAL_STEPS:
+        df = step(df, BEST)
+    following = F.lead("d").over(by_symbol())
+    df = records.with_context(df, BEST).withColumn("following", following).where("signal_v64").join(eligible, "sym", "left_semi")
+    start, end = (F.lit(x).cast("date") for x in (first, last))
+    if first == last:
+        df = df.where("following is null").withColumn("as_of", end)
+    else:
+        days = [r.d for r in rows.where(c("d") >= start).select("d").distinct().collect()]  # calendar days of a period
+        held = F.filter(F.array(*(F.lit(x) for x in sorted(days))).cast("array<date>"), lambda x: (x >= c("d")) & (c("following").isNull() | (x < c("following"))))
+        df = df.withColumn("as_of", F.explode(held))
     df = records.tier(records.detail(_final(gated(spark, root, df)), BEST))
-    return df.select("sym", "name", "industry", "d", F.round("close", 4).alias("price"), "score", "momentum_tag", "priority", "stars",
+    return df.select("as_of", "sym", "name", "industry", "d", F.round("close", 4).alias("price"), "score", "momentum_tag", "priority", "stars",
                      F.array_join("wyckoff", ";").alias("wyckoff"))
 
 
 SCAN_DAY = "1996-08-05"
+SCAN_DAYS = "1996-01-01", "1997-12-29"
 
 
 def daily_scan(spark, root):
     return scan_of_day(spark, root, SCAN_DAY)
 
 
+def daily_scans(spark, root):
+    """One scan for each date with bars of two years."""
+    return scan_of_days(spark, root, *SCAN_DAYS)
+
+
 def scan_all_dates(spark, root):
     """The scan's gates and labels applied to every signal of the history."""
     df = records.tier(records.detail(_final(gated(spark, root, _signals(spark, root))), BEST))
@@ -144,6 +201,6 @@ def scan_all_dates(spark, root):
 def queries() -> dict:
     return {f.__name__: f for f in (
         signal_change_volratio, sos_dates_list, signal_detail_labels, signal_detail_extended, t_trading_advice, signal_priority_tier, seasonal_flag,
-        signal_record, momentum_boost, momentum_hard_filter, signal_revival, dynamic_score_filter, daily_scan, scan_all_dates)}
+        signal_record, momentum_boost, momentum_hard_filter, signal_revival, dynamic_score_filter, daily_scan, daily_scans, scan_all_dates)}
 
 

@@ -54,23 +54,31 @@ def bars_raw(spark: SparkSession, root: str) -> DataFrame:
 
 
 _stored: dict[tuple, str] = {}
-_lock = threading.Lock()
+_lock = threading.RLock()  # a stored view may be derived from another
 
 
-def stored(spark: SparkSession, root: str, name: str, derive) -> DataFrame:
-    """A view derived from the trades once and kept as a table in the shared folder, so that no query reads the trades again for it.
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What a table's files look like: number, bytes, newest time and a sum over names, lengths and times; a table that changes has another."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = top.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(top)
+    if status.isFile():
+        return status.getLen(), status.getModificationTime()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # contents are not read
+    each = F.xxhash64("path", "length", "modificationTime") % (1 << 40)
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(each)).first())
 
-    It is derived anew in each application, and whenever the trades' folder has changed.
+
+def stored(spark: SparkSession, root: str, name: str, derive, sources: tuple = ("lineitem",), by: tuple = ()) -> DataFrame:
+    """A view derived from source tables once and kept as a table in the shared folder, so that no query reads the sources again for it.
+
+    It is derived anew in each application, and whenever a file of a source has changed. ``by`` names partition columns.
     """
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lineitem.parquet")
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.getFileStatus(source)
-    key = (spark.sparkContext.applicationId, root, name, status.getModificationTime(), status.getLen())
+    key = (spark.sparkContext.applicationId, root, name, *(_state(spark, f"{root}/{source}.parquet") for source in sources))
     with _lock:
         mark = spark._jvm.org.apache.hadoop.fs.Path(f"{_stored[key]}/_SUCCESS") if key in _stored else None
         if mark is None or not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
             path = scratch(spark, name)
-            derive(spark, root).write.parquet(path)
+            derive(spark, root).write.partitionBy(*by).parquet(path)
             _stored[key] = path
     return spark.read.parquet(_stored[key])
 
