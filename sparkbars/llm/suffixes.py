@@ -212,16 +212,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text_id", "text", "wanted")), strict=True):
             raw = text.encode()
             out += [(w["key"], w["hot"], text_id, w["first"], raw[w["first"]:w["first"] + w["count"] + WIDTH - 1]) for w in wanted]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "hot", "text_id", "first", "slice"])
 
 
-SPANS = "text_id long, start long, stop long"
+SPANS = "text_id binary, start long, stop long"
 
 
-def _span_batch(text_ids: list[int], starts: list[int], stops: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (text_ids, starts, stops)], ["text_id", "start", "stop"])
+def _span_batch(text_ids: list[bytes], starts: list[int], stops: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(text_ids, pa.binary()), *(pa.array(x, pa.int64()) for x in (starts, stops))], ["text_id", "start", "stop"])
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             string = (sums[WIDTH:] - sums[:-WIDTH]) * down[:-WIDTH]
             count = len(string)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(string).view(np.int64)), pa.array(mix(string ^ BYTE_VALUES[9]).view(np.int64)), pa.array([text_id] * count, pa.int64()),
+                [pa.array(mix(string).view(np.int64)), pa.array(mix(string ^ BYTE_VALUES[9]).view(np.int64)), pa.array([text_id] * count, pa.binary()),
                  pa.array(np.arange(first, first + count))], ["digest", "check", "text_id", "start"])
 
 
@@ -292,12 +292,12 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     Equal strings have equal keys, so a slice whose key occurs once is done. Equal slices become one by digest: all that occur
     twice is repeated. What is left, distinct slices of a shared key, is dealt out by key and sorted. A key of very many
     distinct slices (a passage in ever new surroundings) is split into its single strings, counted by digest, so no task holds
-    a hot key. Texts are told apart by a hash, equal ones having equal results.
+    a hot key. Texts are told apart by a hash of 128 bits, equal ones having equal results.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_id", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_id", F.unhex(F.md5(F.col("text").cast("binary"))))
     long_enough = docs.where(F.octet_length("text") >= WIDTH)
-    slices = long_enough.select("text", "text_id").mapInArrow(_slices, "key long, digest long, text_id long, first long, count int")
+    slices = long_enough.select("text", "text_id").mapInArrow(_slices, "key long, digest long, text_id binary, first long, count int")
     slices = scratch.save(slices)
     one = F.min(F.struct("text_id", "first", "count")).alias("one")
     classes = scratch.save(slices.groupBy("key", "digest").agg(F.count("*").alias("n"), one))
@@ -308,10 +308,10 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     mixed = classes.join(keys.hint("merge"), "key").select("key", (F.col("kinds") > HOT).alias("hot"), "one.*")
     wanted = mixed.groupBy("text_id").agg(F.collect_list(F.struct("key", "hot", "first", "count")).alias("wanted"))
     texts = long_enough.select("text_id", "text").join(wanted.hint("merge"), "text_id").dropDuplicates(["text_id"])
-    cut = scratch.save(texts.select("text_id", "text", "wanted").mapInArrow(_cut, "key long, hot boolean, text_id long, first long, slice binary"))
+    cut = scratch.save(texts.select("text_id", "text", "wanted").mapInArrow(_cut, "key long, hot boolean, text_id binary, first long, slice binary"))
     sorted_spans = cut.where("not hot").select("key", "text_id", "first", "slice").repartition("key").sortWithinPartitions("key").mapInArrow(
         _sorted_shards, SPANS)
-    strings = cut.where("hot").select("text_id", "first", "slice").mapInArrow(_strings, "digest long, check long, text_id long, start long")
+    strings = cut.where("hot").select("text_id", "first", "slice").mapInArrow(_strings, "digest long, check long, text_id binary, start long")
     again = strings.groupBy("digest", "check").agg(F.count("*").alias("n")).where("n > 1").select("digest", "check")
     hot_spans = strings.join(again.hint("merge"), ["digest", "check"], "left_semi").select("text_id", "start", (F.col("start") + WIDTH).alias("stop"))
     spans = scratch.save(spans.unionByName(sorted_spans).unionByName(hot_spans).groupBy("text_id").agg(
