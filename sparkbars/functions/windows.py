@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +14,32 @@ BLOCK = 512
 FIXED = 1e9
 
 
+@lru_cache(maxsize=256)
+def _frame(context: SparkContext, first: int | None, last: int | None):
+    """Window specifications of an application, built once: a query names dozens of them, each some calls to the JVM."""
+    order = Window.partitionBy("sym").orderBy("blk", "d")
+    return order if last is None else order.rowsBetween(first, last)
+
+
 def by_symbol():
     """Rows of one symbol in time order.
 
     ``blk`` never decreases with ``d`` so (blk, d) is the same order as (d); naming it
     lets every window, including the block windows of ``ewm``, reuse a single sort.
     """
-    return Window.partitionBy("sym").orderBy("blk", "d")
+    return _frame(SparkContext.getOrCreate(), None, None)
 
 
 def last_n(n: int):
-    return by_symbol().rowsBetween(-(n - 1), 0)
+    return _frame(SparkContext.getOrCreate(), -(n - 1), 0)
 
 
 def previous_n(n: int):
-    return by_symbol().rowsBetween(-n, -1)
+    return _frame(SparkContext.getOrCreate(), -n, -1)
 
 
 def so_far():
-    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    return _frame(SparkContext.getOrCreate(), Window.unboundedPreceding, 0)
 
 
 def sequence(bars: DataFrame) -> DataFrame:
