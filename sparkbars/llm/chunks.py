@@ -82,10 +82,14 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, _ = chunk_bounds(data, np.array([0, len(data)]))
             digest, _ = digests(data, starts, ends)
             shared, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-            for m in marks:
+            met = set()  # digests of chunks that stay here, at their first place
+            for m in sorted(marks, key=lambda m: m["number"]):
+                stays = m["first"] and m["digest"] not in met
+                if stays:
+                    met.add(m["digest"])
                 if m["number"] < len(starts) and digest[m["number"]] == m["digest"]:
                     shared[m["number"]] = True
-                    later[m["number"]] = not m["first"]
+                    later[m["number"]] = not stays
             if not _runs(shared, starts, ends):
                 continue
             gone, kept, at = _runs(later, starts, ends), [], 0
@@ -110,15 +114,16 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     its own chunk. Null and empty texts have no chunk; rows without doc_id are left out. Rows that repeat a doc_id stand for one
     document; where their texts differ, marks only apply to chunks of the same digest. Other columns are ignored.
 
-    Counts are combined before the shuffle. Chunks meet the repeated digests in a merge join, whose hot keys can be split.
+    Counts and least ids are combined before the shuffle, in hash aggregates; the first place within the least id is found where
+    that document is cleaned. Chunks meet the repeated digests in a merge join, whose hot keys can be split.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     chunks = docs.where("text is not null").mapInArrow(_rows, "doc_id long, number int, digest long, check int")
-    first = F.min(F.struct("doc_id", "number")).alias("first")
+    first = F.min("doc_id").alias("first")
     repeated = scratch.save(chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"))
     met = chunks.join(repeated.hint("merge"), ["digest", "check"])
-    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("number") == F.col("first.number"))
-    marks = scratch.save(met.groupBy("doc_id").agg(F.collect_set(F.struct("number", "digest", is_first.alias("first"))).alias("marks")))
+    is_first = (F.col("doc_id") == F.col("first")).alias("first")
+    marks = scratch.save(met.groupBy("doc_id").agg(F.collect_set(F.struct("number", "digest", is_first)).alias("marks")))
     return docs.join(marks.hint("merge"), "doc_id").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_chunks long, n_shared long, n_removed long, n_spans long, kept binary, kept_sha256 string")
