@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -18,43 +19,44 @@ WIDTH = 400               # bytes of a string that must not repeat
 KMER = 32                 # bytes whose least hash within a string is the key that brings equal strings together
 SHARD_BYTES = 2 << 20     # text that is sorted at once; a shard ends with its last key
 HOT = SHARD_BYTES // WIDTH  # distinct slices of one key that are sorted together, about a shard; more are dealt out string by string
-QUEUE_ENTRIES = 8 << 20   # suffixes that the queues of a sort keep in memory before they go to disk
+QUEUE_ENTRIES = 1 << 18   # suffix tuples that the queues of a sweep keep in memory before they go to disk
+RANGE = 1 << 14           # suffixes of the symbols that a sweep takes at once; at least one symbol, and at least 1 in 64 of all suffixes
+COMMON_BITS = 16          # of a tuple, for the common prefix
 PLACE_BITS = np.uint64(31)
 
 
 # ---- sorting -------------------------------------------------------------------------------------------------------------
 
 class Queues:
-    """First-in-first-out queues of suffix tuples by first symbol: the symbols are taken in order, so together they are a
-    priority queue. Beyond the memory budget, entries wait in one temporary file, which is gone when the sort ends."""
+    """Queues of suffix tuples by range of symbols: the ranges are taken in order, so together they are a priority queue. A tuple
+    is a place and the common prefix with the tuple before it, packed in one number. Beyond the memory budget, tuples wait in one
+    temporary file beside Spark's own spill files, which is gone when the sweep ends and which nothing but its task reads."""
 
-    def __init__(self, symbols: int, budget: int = QUEUE_ENTRIES):
-        self.parts: list[list] = [[] for _ in range(symbols)]
+    def __init__(self, ranges: int, budget: int = QUEUE_ENTRIES):
+        self.parts: list[list] = [[] for _ in range(ranges)]
         self.held, self.budget, self.file, self.end = 0, budget, None, 0
 
-    def add(self, suffixes: np.ndarray, symbols: np.ndarray) -> None:
-        """Add suffixes, in order, to the queues of their symbols."""
-        if not len(suffixes):
+    def add(self, places: np.ndarray, common: np.ndarray, ranges: np.ndarray) -> None:
+        """Add tuples, in order of their ranges, to the queues of these."""
+        if not len(places):
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols = symbols[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(symbols)) + 1, [len(symbols)]]).tolist()
-        suffixes = suffixes[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(ranges)]]).tolist()
+        tuples = (places << COMMON_BITS) | common
         for start, end in zip(edges[:-1], edges[1:], strict=True):
-            part = suffixes[start:end]
+            part = tuples[start:end]
             if self.held + len(part) > self.budget:
-                self.file = self.file or tempfile.TemporaryFile()
+                self.file = self.file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
                 self.file.seek(self.end)
                 self.file.write(part.tobytes())
-                self.parts[symbols[start]].append((self.end, len(part)))
+                self.parts[ranges[start]].append((self.end, len(part)))
                 self.end += part.nbytes
             else:
                 self.held += len(part)
-                self.parts[symbols[start]].append(part)
+                self.parts[ranges[start]].append(part)
 
-    def take(self, symbol: int) -> np.ndarray:
-        parts, out = self.parts[symbol], []
-        self.parts[symbol] = []
+    def take(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        parts, out = self.parts[number], [np.empty(0, np.int64)]
+        self.parts[number] = []
         for part in parts:
             if isinstance(part, tuple):
                 self.file.seek(part[0])
@@ -62,89 +64,198 @@ class Queues:
             else:
                 self.held -= len(part)
                 out.append(part)
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        tuples = np.concatenate(out)
+        return tuples >> COMMON_BITS, tuples & (2**COMMON_BITS - 1)
 
     def close(self) -> None:
         if self.file:
             self.file.close()
 
 
-def induced(text: np.ndarray, rising: np.ndarray, stars: np.ndarray, symbols: int, budget: int = QUEUE_ENTRIES) -> np.ndarray:
-    """All suffixes in order, induced from the S*-suffixes in order: falling ones upwards, then rising ones downwards."""
-    bounds = np.searchsorted(text[stars], np.arange(symbols + 1))
-    falling, queues = [], Queues(symbols, budget)
-    for symbol in range(symbols):
-        found, now = [], queues.take(symbol)
+class RangeMin:
+    """Least values of ranges (from, to], both positions of one array of common prefixes, by a table of powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.table = np.empty((max(1, int(len(values)).bit_length()), len(values)), np.uint16)
+        self.table[0] = values
+        for level in range(1, len(self.table)):
+            half, fits = 2 ** (level - 1), len(values) - 2**level + 1
+            np.minimum(self.table[level - 1, :fits], self.table[level - 1, half:half + fits], out=self.table[level, :fits])
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        return np.minimum(self.table[level, low + 1], self.table[level, high + 1 - (1 << level)]).astype(np.int64)
+
+
+OUTSIDE, INSIDE, SEED = 0, 1, 2  # how a suffix came into its range: by the queue, induced within the range, given
+
+
+def _chained(parent: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of one range: by key, then those that came by the queue, those induced in the range in the order
+    of what induced them, and the seeds. Chains of inducing are compared by doubling the steps looked at."""
+    count = len(key)
+    group = key.astype(np.int64) * 3 + kind
+    order = np.argsort(group, kind="stable")
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+    tied = order[kind[order] == INSIDE]
+    if not len(tied):
+        return rank
+
+    def ranked() -> np.ndarray:
+        """Give each of the tied, which are in order, the rank of the first that is equal; the tied among them are left."""
+        new = np.append(True, np.any([np.diff(x) != 0 for x in marks], axis=0))
+        first = np.flatnonzero(new)
+        rank[tied] = place[first[np.cumsum(new) - 1]]
+        alone = new & np.append(new[1:], True)
+        return ~alone
+
+    place, marks = rank[tied], [group[tied]]
+    left = ranked()
+    jump = parent
+    while left.any():
+        tied, place = tied[left], place[left]
+        above = np.where(jump[tied] >= 0, rank[jump[tied]], -1)
+        by = np.lexsort((above, rank[tied]))
+        tied, marks = tied[by], [rank[tied[by]], above[by]]
+        left = ranked()
+        jump = np.where(jump >= 0, jump[jump], -1)
+    return rank
+
+
+def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndarray, common: np.ndarray, reach: int,
+          budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the wanted type, induced from seeds in order of keys, and the seeds: places in order, and each one's common
+    prefix with the one before it. Ranges of symbols are taken in order; what they induce waits in the queues of later ranges."""
+    total = np.cumsum(np.bincount(keys))
+    size = max(RANGE, len(keys) >> 6)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(total // size)) + 1, [len(total)]])
+    range_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    cuts = np.searchsorted(keys[seeds], edges)
+    queues, out_places, out_common = Queues(len(edges) - 1, budget), [], []
+    for number in range(len(edges) - 1):
+        stop = edges[number + 1]
+        queued, carried = queues.take(number)
+        by = np.argsort(keys[queued], kind="stable")
+        queued, carried = queued[by], carried[by]
+        given, given_common = seeds[cuts[number]:cuts[number + 1]], common[cuts[number]:cuts[number + 1]]
+        now, first = np.concatenate([queued, given]), 0
+        places, parents = [now], [np.full(len(now), -1)]
         while len(now):
-            found.append(now)
-            before = now[now > 0] - 1
-            before = before[~rising[before]]
-            same = text[before] == symbol
-            queues.add(before[~same], text[before[~same]])
-            now = before[same]
-        falling.append(np.concatenate(found) if found else np.empty(0, np.int64))
-        before = stars[bounds[symbol]:bounds[symbol + 1]]
-        before = before[before > 0] - 1
-        queues.add(before, text[before])
+            at = np.flatnonzero(now > 0)
+            before = now[at] - 1
+            keep = wanted[before] & (keys[before] < stop)
+            at, before = at[keep], before[keep]
+            places.append(before)
+            parents.append(first + at)
+            first, now = first + len(now), before
+        place, parent = np.concatenate(places), np.concatenate(parents)
+        if not len(place):
+            continue
+        kind = np.repeat([OUTSIDE, SEED, INSIDE], [len(queued), len(given), len(place) - len(queued) - len(given)])
+        key = keys[place]
+        rank = _chained(parent, kind, key)
+        order = np.empty(len(place), np.int64)
+        order[rank] = np.arange(len(place))
+        known = np.zeros(len(place), np.int64)  # of what came by the queue and of the seeds, in their own orders
+        known[:len(queued)], known[len(queued):len(queued) + len(given)] = carried, given_common
+        if len(queued):
+            known[:len(queued)][np.concatenate([[True], np.diff(key[:len(queued)]) != 0])] = 0
+
+        a, b = order[:-1].copy(), order[1:].copy()
+        steps = np.zeros(len(a), np.int64)
+        active = np.flatnonzero((kind[a] == INSIDE) & (kind[b] == INSIDE) & (key[a] == key[b]))
+        while len(active):
+            a[active], b[active] = parent[a[active]], parent[b[active]]
+            steps[active] += 1
+            active = active[(kind[a[active]] == INSIDE) & (kind[b[active]] == INSIDE) & (key[a[active]] == key[b[active]]) & (steps[active] < reach)]
+        same = key[a] == key[b]
+        found = np.where(same & (kind[b] == INSIDE), 1, 0)
+        found = np.where(same & (kind[b] == SEED), np.minimum(runs[place[a]], runs[place[b]]), found)
+        both = same & (kind[a] == kind[b]) & (kind[b] != INSIDE)
+        found = np.where(both, known[b], found)  # right for neighbours
+        both = np.flatnonzero(both & (steps > 0))
+        if len(both):
+            found[both] = RangeMin(known)(a[both], b[both])
+        mine = np.concatenate([[0], np.minimum(steps + found, reach)])
+        place = place[order]
+        out_places.append(place)
+        out_common.append(mine.astype(np.uint16))
+
+        at = np.flatnonzero(place > 0)
+        before = place[at] - 1
+        keep = wanted[before] & (keys[before] >= stop)
+        at, before = at[keep], before[keep]
+        by = np.argsort(keys[before], kind="stable")
+        at, before = at[by], before[by]
+        passed = np.ones(len(at), np.int64)
+        again = np.flatnonzero(np.diff(keys[before]) == 0) + 1
+        if len(again):
+            passed[again] = np.minimum(1 + RangeMin(mine)(at[again - 1], at[again]), reach)
+        queues.add(before, passed, range_of[keys[before]])
     queues.close()
-    order, queues = [], Queues(symbols, budget)
-    for symbol in range(symbols - 1, -1, -1):
-        found, now = [], queues.take(symbol)
-        while len(now):
-            found.append(now)
-            before = now[now > 0] - 1
-            before = before[rising[before]]
-            same = text[before] == symbol
-            queues.add(before[~same], text[before[~same]])
-            now = before[same]
-        if symbol == 0:
-            found.append(np.array([len(text) - 1]))
-        down = falling[symbol][::-1]
-        before = down[down > 0] - 1
-        before = before[rising[before]]
-        queues.add(before, text[before])
-        order += [*found, down]
-    queues.close()
-    return np.concatenate(order)[::-1]
+    return np.concatenate(out_places), np.concatenate(out_common)
+
 
+def induced(text: np.ndarray, rising: np.ndarray, runs: np.ndarray, stars: np.ndarray, common: np.ndarray, reach: int,
+            budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order and their common prefixes, induced from the S*-suffixes in order: falling ones upwards, then rising
+    ones downwards."""
+    up, up_common = sweep(text, ~rising, runs, stars, common, reach, budget)
+    falls = ~rising[up]
+    falling, fall_common = up[falls], up_common[falls]
+    del up, up_common
+    down, down_common = sweep(text.max() - text, rising, runs, falling[::-1], np.concatenate([[0], fall_common[:0:-1]]), reach, budget)
+    last = len(text) - 1  # the end comes before all others
+    down_common = np.append(down_common, text[down[-1]] == text[last])
+    return np.append(last, down[::-1]), np.append(0, down_common[:0:-1])
 
-def suffix_order(text: np.ndarray, reach: int = WIDTH, budget: int = QUEUE_ENTRIES) -> np.ndarray:
-    """Positions of text (symbols 0 to 256, the last one 0, the one before it not) ordered by their suffixes, exact for the first `reach` symbols.
 
-    S*-substrings are sorted by inducing from their first symbols, and named. The string of names is ranked in rounds that
-    double the names looked at, until ranks differ or cover `reach`; from that order of the S*-suffixes all others are induced.
+def suffix_order(text: np.ndarray, reach: int = WIDTH, budget: int = QUEUE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """Places of text ordered by their suffixes, and each one's common prefix with the one before it, exact for the first `reach` symbols.
+
+    The last symbol of text is 0, the one before it not. S*-substrings are sorted by inducing from their first symbols and named:
+    two are equal if their common prefix, carried along, reaches over both. Where names repeat, the string of names is sorted
+    by this same function. Its order and common prefixes are those of the S*-suffixes, from which all others are induced.
     """
-    n, symbols = len(text), int(text.max()) + 1
+    n, text = len(text), text.astype(np.int32)
+    if n < 2:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
     change = np.where(text[:-1] != text[1:], np.arange(n - 1), n - 1)
-    change = np.minimum.accumulate(change[::-1])[::-1]
+    change = np.append(np.minimum.accumulate(change[::-1])[::-1], n - 1)
     rising = np.ones(n, bool)
-    known = change < n - 1
-    rising[:-1] = False
-    rising[:-1][known] = text[change[known]] < text[change[known] + 1]
+    rising[:-1] = text[change[:-1]] < text[change[:-1] + 1]
+    runs = np.minimum(change - np.arange(n) + 1, reach).astype(np.int32)
     star = np.zeros(n, bool)
     star[1:] = rising[1:] & ~rising[:-1]
     star[n - 1] = True
     places = np.flatnonzero(star)
     first = places[np.argsort(text[places], kind="stable")]
-    order = induced(text, rising, first, symbols, budget)
-    order = order[star[order]]
-    sums, down = prefix_hash(BYTE_VALUES[text & 255] + text.astype(np.uint64))
-    ends = np.minimum(np.append(places[1:], n - 1) + 1, n)
-    number = np.zeros(n, np.int64)
+    order, common = induced(text, rising, runs, first, np.append(0, np.diff(text[first]) == 0), reach, budget)
+
+    chosen = np.flatnonzero(star[order])
+    common = np.minimum.reduceat(common[:chosen[-1] + 1], np.append(0, chosen[:-1] + 1))
+    number = np.zeros(n, np.int32)
     number[places] = np.arange(len(places))
-    at = number[order]
-    hashed = (sums[ends[at]] - sums[order]) * down[order]
-    new = np.ones(len(order), np.int64)
-    new[1:] = (hashed[1:] != hashed[:-1]) | (np.diff(ends[at] - order) != 0)
-    rank = np.zeros(len(places), np.int64)
-    rank[at] = np.cumsum(new)
-    step = 1
-    while step < reach and rank.max() < len(rank):
-        later = np.zeros(len(rank), np.int64)
-        later[:-step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + later, return_inverse=True)[1] + 1
-        step *= 2
-    return induced(text, rising, places[np.argsort(rank, kind="stable")], symbols, budget)
+    at = number[order[chosen]]
+    length = np.append(np.diff(places) + 1, 1)[at]
+    new = (common < np.minimum(length, reach)) | (np.append(0, length[:-1]) != length)
+    names = np.zeros(len(places), np.int64)
+    names[at] = np.cumsum(new) - 1
+    del order, common, number
+    if names.max() == len(names) - 1:
+        ranked, shared = at, np.zeros(len(at), np.int64)
+    else:
+        ranked, shared = suffix_order(names, reach, budget)
+
+    a, b, ended = places[ranked[:-1]], places[ranked[1:]], np.append(text, -1)
+    same = places[np.minimum(ranked[1:] + shared[1:], len(places) - 1)] - b
+    active = np.flatnonzero(same < reach)
+    while len(active):  # beyond the names in common, within one S*-substring and the run after it
+        active = active[ended[a[active] + same[active]] == ended[b[active] + same[active]]]
+        same[active] += 1
+        active = active[same[active] < reach]
+    return induced(text, rising, runs, places[ranked], np.append(0, np.minimum(same, reach)), reach, budget)
 
 
 def repeated_starts(slices: list[bytes]) -> list[np.ndarray]:
@@ -157,11 +268,11 @@ def repeated_starts(slices: list[bytes]) -> list[np.ndarray]:
     np.add.at(is_start, ends - lengths, 1)
     np.add.at(is_start, ends - WIDTH + 1, -1)
     is_start = np.cumsum(is_start[:-1]) > 0
-    order = suffix_order(text)
-    order = order[is_start[order]]
-    sums, down = prefix_hash(BYTE_VALUES[(text - 1) & 255])
-    common = (sums[order + WIDTH] - sums[order]) * down[order]  # the common-prefix value of a suffix tuple
-    same = common[1:] == common[:-1]
+    order, common = suffix_order(text)
+    starts = np.flatnonzero(is_start[order])
+    common = np.minimum.reduceat(common[:starts[-1] + 1], np.append(0, starts[:-1] + 1))
+    order = order[starts]
+    same = common[1:] >= WIDTH
     again = np.zeros(len(text), bool)
     again[order[1:][same]] = again[order[:-1][same]] = True
     return [again[e - n:e - WIDTH + 1] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]

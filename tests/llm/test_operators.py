@@ -93,11 +93,51 @@ def test_hot_keys_give_the_same_strings(spark, monkeypatch):
         assert got == brute_strings(texts, suffixes.WIDTH) and all(v[1] >= 450 for v in got.values())
 
 
-def test_suffix_order_and_queues_on_disk():
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        text = np.append(rng.integers(1, 2 + int(rng.integers(1, 5)), int(rng.integers(2, 200))), 0).astype(np.uint16)
-        assert list(suffixes.suffix_order(text, budget=int(rng.integers(3, 50)))) == sorted(range(len(text)), key=lambda i: tuple(text[i:]))
+def _shared(text, i, j, reach):
+    n = 0
+    while n < reach and max(i, j) + n < len(text) and text[i + n] == text[j + n]:
+        n += 1
+    return n
+
+
+def test_suffix_order_and_queues_on_disk(monkeypatch):
+    """Order and common prefixes against sorting, over several levels of names, ranges of few symbols and queues that go to disk."""
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        monkeypatch.setattr(suffixes, "RANGE", int(rng.integers(1, 30)))
+        letters = int(rng.integers(1, 6))
+        body = rng.integers(trial % 2, letters + 1, int(rng.integers(1, 120)))
+        if trial % 5 == 0:
+            body = np.tile(body[:max(1, len(body) // 6)], 8)
+        if trial % 7 == 0:
+            body = np.repeat(body, rng.integers(1, 9, len(body)))
+        text = [*body.tolist(), int(rng.integers(1, letters + 1)), 0]
+        order, common = suffixes.suffix_order(np.array(text, np.uint16), budget=int(rng.integers(3, 50)))
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        assert order.tolist() == want
+        assert common.tolist() == [0, *(_shared(text, i, j, suffixes.WIDTH) for i, j in zip(want, want[1:], strict=False))]
+
+
+def test_suffix_order_within_a_reach():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        reach = int(rng.integers(1, 8))
+        text = [*np.tile(rng.integers(0, 4, int(rng.integers(1, 30))), int(rng.integers(1, 6))).tolist(), 1, 0]
+        order, common = suffixes.suffix_order(np.array(text, np.uint16), reach=reach, budget=10)
+        heads = [text[i:i + reach] for i in order]
+        assert sorted(order.tolist()) == list(range(len(text))) and heads == sorted(heads)
+        assert common.tolist() == [0, *(_shared(text, i, j, reach) for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))]
+
+
+def test_queues_spill_at_the_registered_parameters(monkeypatch):
+    """A shard of the registered size holds more tuples than the memory budget: its queues go to disk."""
+    files, make = [], suffixes.tempfile.TemporaryFile
+    monkeypatch.setattr(suffixes.tempfile, "TemporaryFile", lambda **kw: files.append(kw) or make(**kw))
+    text = np.append(np.random.default_rng(7).integers(1, 200, suffixes.SHARD_BYTES), [1, 0]).astype(np.uint16)
+    order, _ = suffixes.suffix_order(text)
+    raw, step = text.astype(">u2").tobytes(), 997
+    heads = [raw[2 * i:2 * i + 800] for i in order[::step].tolist()]
+    assert files and heads == sorted(heads)
 
 
 def test_shared_passages_survive_insertions(spark):
