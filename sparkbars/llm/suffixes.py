@@ -132,6 +132,8 @@ def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndar
     edges = np.concatenate([[0], np.flatnonzero(np.diff(total // size)) + 1, [len(total)]])
     range_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     cuts = np.searchsorted(keys[seeds], edges)
+    target = np.full(len(keys), -1, np.int32)  # key of the suffix that each one induces
+    target[1:] = np.where(wanted[:-1], keys[:-1], -1)
     queues, out_places, out_common = Queues(len(edges) - 1, budget), [], []
     for number in range(len(edges) - 1):
         stop = edges[number + 1]
@@ -140,15 +142,13 @@ def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndar
         queued, carried = queued[by], carried[by]
         given, given_common = seeds[cuts[number]:cuts[number + 1]], common[cuts[number]:cuts[number + 1]]
         now, first = np.concatenate([queued, given]), 0
-        places, parents = [now], [np.full(len(now), -1)]
+        places, parents, targets = [now], [np.full(len(now), -1)], []
         while len(now):
-            at = np.flatnonzero(now > 0)
-            before = now[at] - 1
-            keep = wanted[before] & (keys[before] < stop)
-            at, before = at[keep], before[keep]
-            places.append(before)
+            targets.append(target[now])
+            at = np.flatnonzero((targets[-1] >= 0) & (targets[-1] < stop))
+            places.append(now[at] - 1)
             parents.append(first + at)
-            first, now = first + len(now), before
+            first, now = first + len(now), places[-1]
         place, parent = np.concatenate(places), np.concatenate(parents)
         if not len(place):
             continue
@@ -169,30 +169,27 @@ def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndar
             a[active], b[active] = parent[a[active]], parent[b[active]]
             steps[active] += 1
             active = active[(kind[a[active]] == INSIDE) & (kind[b[active]] == INSIDE) & (key[a[active]] == key[b[active]]) & (steps[active] < reach)]
-        same = key[a] == key[b]
-        found = np.where(same & (kind[b] == INSIDE), 1, 0)
-        found = np.where(same & (kind[b] == SEED), np.minimum(runs[place[a]], runs[place[b]]), found)
-        both = same & (kind[a] == kind[b]) & (kind[b] != INSIDE)
-        found = np.where(both, known[b], found)  # right for neighbours
-        both = np.flatnonzero(both & (steps > 0))
+        before, after = kind[a], kind[b]
+        found = np.where(before == after, known[b], 1)  # right for neighbours, and where only the second was induced in the range
+        meet = np.flatnonzero((after == SEED) & (before != SEED))
+        found[meet] = np.minimum(runs[place[a[meet]]], runs[place[b[meet]]])
+        both = np.flatnonzero((before == after) & (after != INSIDE) & (steps > 0))
         if len(both):
             found[both] = RangeMin(known)(a[both], b[both])
+        found[key[a] != key[b]] = 0
         mine = np.concatenate([[0], np.minimum(steps + found, reach)])
-        place = place[order]
+        place, goes = place[order], np.concatenate(targets)[order]
         out_places.append(place)
         out_common.append(mine.astype(np.uint16))
 
-        at = np.flatnonzero(place > 0)
-        before = place[at] - 1
-        keep = wanted[before] & (keys[before] >= stop)
-        at, before = at[keep], before[keep]
-        by = np.argsort(keys[before], kind="stable")
-        at, before = at[by], before[by]
+        at = np.flatnonzero(goes >= stop)
+        at = at[np.argsort(goes[at], kind="stable")]
+        goes = goes[at]
         passed = np.ones(len(at), np.int64)
-        again = np.flatnonzero(np.diff(keys[before]) == 0) + 1
+        again = np.flatnonzero(np.diff(goes) == 0) + 1
         if len(again):
             passed[again] = np.minimum(1 + RangeMin(mine)(at[again - 1], at[again]), reach)
-        queues.add(before, passed, range_of[keys[before]])
+        queues.add(place[at] - 1, passed, range_of[goes])
     queues.close()
     return np.concatenate(out_places), np.concatenate(out_common)
 
