@@ -87,6 +87,14 @@ class RangeMin:
         return np.minimum(self.table[level, low + 1], self.table[level, high + 1 - (1 << level)]).astype(np.int64)
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of values; by digits where they lie close together."""
+    if len(values):
+        values = values - values.min()
+        values = values.astype(np.uint16) if values.max() < 2**16 else values
+    return np.argsort(values, kind="stable")
+
+
 OUTSIDE, INSIDE, SEED = 0, 1, 2  # how a suffix came into its range: by the queue, induced within the range, given
 
 
@@ -95,7 +103,7 @@ def _chained(parent: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarra
     of what induced them, and the seeds. Chains of inducing are compared by doubling the steps looked at."""
     count = len(key)
     group = key.astype(np.int64) * 3 + kind
-    order = np.argsort(group, kind="stable")
+    order = _order(group)
     rank = np.empty(count, np.int64)
     rank[order] = np.arange(count)
     tied = order[kind[order] == INSIDE]
@@ -138,7 +146,7 @@ def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndar
     for number in range(len(edges) - 1):
         stop = edges[number + 1]
         queued, carried = queues.take(number)
-        by = np.argsort(keys[queued], kind="stable")
+        by = _order(keys[queued])
         queued, carried = queued[by], carried[by]
         given, given_common = seeds[cuts[number]:cuts[number + 1]], common[cuts[number]:cuts[number + 1]]
         now, first = np.concatenate([queued, given]), 0
@@ -183,7 +191,7 @@ def sweep(keys: np.ndarray, wanted: np.ndarray, runs: np.ndarray, seeds: np.ndar
         out_common.append(mine.astype(np.uint16))
 
         at = np.flatnonzero(goes >= stop)
-        at = at[np.argsort(goes[at], kind="stable")]
+        at = at[_order(goes[at])]
         goes = goes[at]
         passed = np.ones(len(at), np.int64)
         again = np.flatnonzero(np.diff(goes) == 0) + 1
@@ -208,12 +216,41 @@ def induced(text: np.ndarray, rising: np.ndarray, runs: np.ndarray, stars: np.nd
     return np.append(last, down[::-1]), np.append(0, down_common[:0:-1])
 
 
+def named(text: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """Names, in order, of the S*-substrings from places, each up to the next place. They are sorted by words of as many symbols
+    as fit in 63 bits; those that are equal so far go on with the next word. A substring comes after those it begins."""
+    length = np.append(np.diff(places) + 1, 1)
+    bits = (int(text.max()) + 2).bit_length()
+    per, last = 63 // bits, len(text) - 1
+    symbols = text.astype(np.int64) + 1
+    symbols[last] = 0  # the end is the least
+
+    def words(of: np.ndarray, offset: int) -> np.ndarray:
+        out, place, size = np.zeros(len(of), np.int64), places[of], length[of]
+        for k in range(offset, offset + per):
+            out = (out << bits) | np.where(k < size, symbols[np.minimum(place + k, last)], 2**bits - 1)
+        return out
+
+    rank, tied, offset = np.zeros(len(places), np.int64), np.arange(len(places)), 0
+    while len(tied) and offset < reach:
+        word = words(tied, offset)
+        by = np.lexsort((word, rank[tied])) if offset else np.argsort(word, kind="stable")
+        tied, word = tied[by], word[by]
+        before, turn = rank[tied], np.arange(len(tied))
+        group = np.append(True, np.diff(before) != 0)
+        new = group | np.append(True, np.diff(word) != 0)
+        rank[tied] = before + np.maximum.accumulate(np.where(new, turn, 0)) - np.maximum.accumulate(np.where(group, turn, 0))
+        offset += per
+        tied = tied[~(new & np.append(new[1:], True)) & (length[tied] >= offset)]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_order(text: np.ndarray, reach: int = WIDTH, budget: int = QUEUE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Places of text ordered by their suffixes, and each one's common prefix with the one before it, exact for the first `reach` symbols.
 
-    The last symbol of text is 0, the one before it not. S*-substrings are sorted by inducing from their first symbols and named:
-    two are equal if their common prefix, carried along, reaches over both. Where names repeat, the string of names is sorted
-    by this same function. Its order and common prefixes are those of the S*-suffixes, from which all others are induced.
+    The last symbol of text is 0, the one before it not. S*-substrings are sorted and named. Where names repeat, the string of
+    names is sorted by this same function. Its order and common prefixes give those of the S*-suffixes, from which all others
+    are induced, common prefixes carried along.
     """
     n, text = len(text), text.astype(np.int32)
     if n < 2:
@@ -227,21 +264,9 @@ def suffix_order(text: np.ndarray, reach: int = WIDTH, budget: int = QUEUE_ENTRI
     star[1:] = rising[1:] & ~rising[:-1]
     star[n - 1] = True
     places = np.flatnonzero(star)
-    first = places[np.argsort(text[places], kind="stable")]
-    order, common = induced(text, rising, runs, first, np.append(0, np.diff(text[first]) == 0), reach, budget)
-
-    chosen = np.flatnonzero(star[order])
-    common = np.minimum.reduceat(common[:chosen[-1] + 1], np.append(0, chosen[:-1] + 1))
-    number = np.zeros(n, np.int32)
-    number[places] = np.arange(len(places))
-    at = number[order[chosen]]
-    length = np.append(np.diff(places) + 1, 1)[at]
-    new = (common < np.minimum(length, reach)) | (np.append(0, length[:-1]) != length)
-    names = np.zeros(len(places), np.int64)
-    names[at] = np.cumsum(new) - 1
-    del order, common, number
+    names = named(text, places, reach)
     if names.max() == len(names) - 1:
-        ranked, shared = at, np.zeros(len(at), np.int64)
+        ranked, shared = np.argsort(names), np.zeros(len(names), np.int64)
     else:
         ranked, shared = suffix_order(names, reach, budget)
 
