@@ -117,10 +117,19 @@ def splice(quotes: DataFrame, closes: DataFrame, age: str = "1 day") -> DataFram
 
     quotes(event_id, key, ts, price), closes(key, known, adjusted, raw). Both streams wait for the other up to their watermarks;
     a quote without a usable close keeps its price, and each is written once.
+
+    Time is cut into cells of one ``age``. A close goes to its own cell and all it may be used in (one more, since days and months
+    differ in length), so a quote meets the closes around its time instead of all of its key.
     """
-    left = quotes.withWatermark("ts", DELAY).alias("q")
-    right = closes.withWatermark("known", DELAY).alias("c")
-    near = F.expr(f"q.key = c.key and c.known <= q.ts and c.known > q.ts - interval {age}")
+    width = F.expr(f"greatest(unix_micros(timestamp '1970-01-01 00:00:00Z' + interval {age}), 1)")
+
+    def cell(time):
+        return F.floor(F.unix_micros(time) / width).cast("long")
+
+    left = quotes.withWatermark("ts", DELAY).withColumn("cell", cell(F.col("ts"))).alias("q")
+    cells = F.sequence(cell(F.col("known")), cell(F.col("known") + F.expr(f"interval {age}")) + 1)
+    right = closes.withWatermark("known", DELAY).withColumn("cell", F.explode(cells)).alias("c")
+    near = F.expr(f"q.key = c.key and q.cell = c.cell and c.known <= q.ts and c.known > q.ts - interval {age}")
     joined = left.join(right, near, "left").select("q.event_id", "q.key", "q.ts", "q.price", "c.known", "c.adjusted", "c.raw")
     newest_close = F.max_by(F.struct("adjusted", "raw"), "known")
     found = joined.groupBy("ts", "event_id", "key", "price").agg(newest_close.alias("c"))

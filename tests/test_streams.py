@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,19 @@ def test_a_quote_never_sees_a_later_close(spark, tmp_path, few_partitions):
     assert got == {1: 10.0, 2: 20.0, 3: 10.0, 4: 30.0, 5: 20.0, 6: 30.0, 7: 10.0}
 
 
+@pytest.mark.parametrize("age", ["45 minutes", "1 day"])
+def test_a_quote_meets_the_closes_of_its_time_only(spark, age):
+    length = dt.timedelta(days=1) if "day" in age else dt.timedelta(minutes=45)
+    closes = [("a", at(20 * k), float(k + 1)) for k in range(300)]
+    times = [at(37 * k) for k in range(160)] + [at(20 * k) + length for k in range(0, 300, 7)]  # the last lie at the end of an age
+    left = spark.createDataFrame([(i, "a", ts, 1.0) for i, ts in enumerate(times)], "event_id long, key string, ts timestamp, price double")
+    right = spark.createDataFrame([(k, ts, c, 1.0) for k, ts, c in closes], "key string, known timestamp, adjusted double, raw double")
+    spliced = s.splice(left, right, age)
+    want = {i: max((c for _, known, c in closes if ts - length < known <= ts), default=1.0) for i, ts in enumerate(times)}  # closes grow
+    assert {r.event_id: r.price for r in spliced.collect()} == want
+    assert "cell#" in re.search(r"Join\w* .*", spliced._jdf.queryExecution().optimizedPlan().toString()).group()
+
+
 def test_late_rows_of_many_batches_and_a_restart(spark, tmp_path, few_partitions):
     folder, base = str(tmp_path / "in"), str(tmp_path / "run")
     put(spark, folder, [(0, 10_000, 0, "a", 1)])
