@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkbars.functions.windows import by_symbol, half_even
+from sparkbars.functions.windows import by_symbol, half_even, prior
 from sparkbars.operators import industry, records, regime
 from sparkbars.operators import universe as u
-from sparkbars.operators.indicators import indicators
+from sparkbars.operators.indicators import candles, indicators, neighbours, returns
 from sparkbars.operators.signals import STEPS as SIGNAL_STEPS
 from sparkbars.params import BEST, REGIME
 from sparkbars.plans.features import feature_frame
@@ -124,6 +124,12 @@ YEARS = 2  # of a period; its partition holds the period's bars and each symbol'
 TAIL = 64  # more bars than signals look back from a bar whose indicators are known
 
 
+# What a block keeps: the bar, its place, and what signals need of its history. Candles, changes and values of the bars just
+# before follow from these, and are added where a block is read.
+STORED = """sym d open high low close volume rn blk volume_ma volume_ma10 low_before5 low10 low12 flow_high yellow_line white_line vwap obv
+j macd_hist low_hist12 atr14 atr30 max_return30 low_obv10""".split()
+
+
 def _period(day):
     return F.floor(F.year(day) / YEARS)
 
@@ -134,7 +140,7 @@ def indicator_blocks(spark, root):
 
 
 def _derived_blocks(spark, root):
-    rows = indicators(views.bars(spark, root)).withColumn("period", _period("d"))
+    rows = indicators(views.bars(spark, root)).select(*STORED, _period("d").alias("period"))
     ends = rows.groupBy("sym", "period").agg(F.max("rn").alias("last"))
     ends = ends.groupBy("sym").agg(F.collect_list(F.struct("period", "last")).alias("ends"))  # one entry a period
     newest = rows.agg(F.max("period")).first()[0] or 0
@@ -149,7 +155,9 @@ def _block_of(spark, root, day):
     """The stored rows that decide signals up to a day: a partition, and of it the dates up to the day."""
     rows = indicator_blocks(spark, root)
     newest = rows.agg(F.max("period")).first()[0]  # from the names of partitions
-    return rows.where((c("period") == F.least(F.lit(newest), _period(F.lit(day).cast("date")))) & (c("d") <= F.lit(day).cast("date"))).drop("period")
+    rows = rows.where((c("period") == F.least(F.lit(newest), _period(F.lit(day).cast("date")))) & (c("d") <= F.lit(day).cast("date"))).drop("period")
+    rows = candles(rows)
+    return rows.withColumns({name: prior(source, n) for name, (source, n) in neighbours().items()}).withColumns(returns())
 
 
 def scan_of_day(spark, root, day):
