@@ -145,7 +145,9 @@ def _raw_files(spark, root):
     raw = views.bars(spark, root).withColumn("short", short).where("sym % 7 != 0 or short").drop("short")
     path = scratch(spark, "csv-raw")
     csvfiles.write_csv(raw.withColumn("volume", F.when(F.col("sym") % 11 == 5, 0.0).otherwise(F.col("volume"))), path)
-    return csvfiles.read_csv(spark, path)
+    once = scratch(spark, "csv-read")  # rows are counted and cleaned in two passes; each file is opened in one only
+    csvfiles.read_csv(spark, path).write.parquet(once)
+    return spark.read.parquet(once)
 
 
 def _enough(raw, rows=10):
