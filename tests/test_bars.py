@@ -263,3 +263,12 @@ def test_market_activity_covers_all_dates_of_the_table(spark, monkeypatch):
     monkeypatch.setattr(market.views, "bars", lambda spark, root: bars)
     assert sorted(r.d for r in market.market_amv(spark, "").collect()) == days
     assert [r.d for r in market.market_amv(spark, "", date(1995, 1, 1), date(2001, 12, 31)).collect()] == days[1:2]
+
+
+def test_csv_folders_are_written_and_listed_by_a_few_tasks(spark, tmp_path):
+    rows = [r for s in range(40) for r in walk(12, s, sym=s)]
+    spark.conf.set(csvfiles.LISTING, "10000")
+    csvfiles.write_csv(spark.createDataFrame(rows, SCHEMA).select("sym", "d", "open", "high", "low", "close", "volume"), str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("sym=*/*.csv"))) == 40
+    got = csvfiles.read_csv(spark, str(tmp_path / "csv"))
+    assert got.count() == 480 and int(spark.conf.get(csvfiles.LISTING)) < 100
