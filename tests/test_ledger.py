@@ -84,3 +84,29 @@ def test_fold_matches_bar_by_bar_walk(spark, market, rules, version):
         assert got == brute([x for x in plain if x.sym == sym], rules, version)
         for a, b in zip(got, got[1:]):
             assert a[0] < a[1] < b[0]
+
+
+def test_ledgers_of_one_frame_share_its_windows(spark, market):
+    """Two ledgers, signal counts and paths come from one pass over the features: their plans hold each window once."""
+    from sparkbars.plans import ledgers
+    from tests.test_queries import ROOT
+
+    def windows(name):
+        plan = ledgers.queries()[name](spark, ROOT)._jdf.queryExecution().optimizedPlan().toString()
+        return sum(line.lstrip(" :+-").startswith("Window [") for line in plan.splitlines())
+
+    one = windows("ledger_v64")
+    assert windows("ledger_ab_delta") <= one + 1 and windows("ledger_filtered_out") <= one + 1
+    assert windows("ledger_by_symbol") <= one and windows("position_path") <= one + 2
+
+
+def test_folded_ledgers_equal_those_folded_alone(spark, market):
+    df = signals(indicators(market), BEST).withColumns({
+        "a": F.col("support_ok") & (F.col("rn") % 3 == 0), "b": F.col("support_ok") & (F.col("rn") % 5 == 0)}).cache()
+    both = ledger.folded_ledgers(df, BEST, 64, {"x": "a", "y": "b"})
+    alone = {n: ledger.trade_ledger(df, BEST, 64, n).select("sym", "buy_date", "sell_date").collect() for n in "ab"}
+    for column, name in (("x", "a"), ("y", "b")):
+        got = both.select("sym", F.inline(column)).select("sym", "buy_date", "sell_date").collect()
+        assert got and sorted(got) == sorted(alone[name])
+    lacking = both.select("sym", F.inline(ledger.missing_from("x", "y"))).select("sym", "buy_date").collect()
+    assert sorted(lacking) == sorted({(t.sym, t.buy_date) for t in alone["a"]} - {(t.sym, t.buy_date) for t in alone["b"]})

@@ -37,3 +37,8 @@ def test_stored_views_follow_files_inside_a_folder(spark, tmp_path):
     first = scan.views.market_daily(spark, str(tmp_path)).agg(F.sum("stock_count")).first()[0]
     rows.limit(500).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
     assert first == 3000 and scan.views.market_daily(spark, str(tmp_path)).agg(F.sum("stock_count")).first()[0] == 3500
+
+
+def test_a_block_keeps_no_column_that_follows_from_others(spark):
+    stored = scan.indicator_blocks(spark, ROOT).columns
+    assert len(stored) <= 26 and not {"prev_close", "ema12", "body", "close_sum"} & set(stored)
