@@ -41,4 +41,4 @@ def test_stored_views_follow_files_inside_a_folder(spark, tmp_path):
 
 def test_a_block_keeps_no_column_that_follows_from_others(spark):
     stored = scan.indicator_blocks(spark, ROOT).columns
-    assert len(stored) <= 26 and not {"prev_close", "ema12", "body", "close_sum"} & set(stored)
+    assert set(stored) == {*scan.STORED, "period"} and not {"prev_close", "ema12", "body", "close_sum"} & set(stored)
