@@ -192,7 +192,8 @@ def nested(r: Rules, columns: str, name: str) -> str:
 def oracle_sql() -> dict[str, str]:
     out = {n: query(f"SELECT {ROUNDED} FROM closed", *ledger_ctes(*spec)) for n, spec in LEDGERS.items()}
     q = lambda select, *extra: query(select, *BEST_LEDGER, *extra)
-    out["ledger_metrics"] = q(f"SELECT {METRICS} FROM closed")
+    out["ledger_metrics"] = q(f"""SELECT {METRICS}, coalesce(array_to_string(list_transform(map_entries(histogram(exit_reason)),
+      lambda e: e.key || ':' || e.value), '|'), '') AS exits FROM closed""")
     out["ledger_exit_counts"] = q("SELECT string_agg(exit_reason || ':' || n, '|' ORDER BY exit_reason) AS exits FROM (SELECT exit_reason, count(*) AS n FROM closed GROUP BY 1)")
     out["ledger_by_exit"] = q("SELECT exit_reason, count(*) AS trades, round(avg(profit_pct), 4) AS avg_profit FROM closed GROUP BY 1")
     out["ledger_by_symbol"] = q("""SELECT s.sym, s.signals, coalesce(t.trades, 0) AS trades, t.avg_profit, t.win_rate

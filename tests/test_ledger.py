@@ -110,3 +110,21 @@ def test_folded_ledgers_equal_those_folded_alone(spark, market):
         assert got and sorted(got) == sorted(alone[name])
     lacking = both.select("sym", F.inline(ledger.missing_from("x", "y"))).select("sym", "buy_date").collect()
     assert sorted(lacking) == sorted({(t.sym, t.buy_date) for t in alone["a"]} - {(t.sym, t.buy_date) for t in alone["b"]})
+
+
+def test_metrics_count_the_trades_of_each_exit(spark):
+    """Figures and exit counts by hand, whole and by key; a trade without a figure is in no mean, one without a reason in no exit."""
+    from sparkbars.operators import metrics
+
+    schema = "k int, profit_pct double, hold_days bigint, max_profit_pct double, exit_reason string"
+    rows = [(1, 4.0, 3, 6.0, "PROFIT_TIER"), (1, 2.0, 4, 2.0, "TIME_STOP"), (1, -3.0, 6, 1.0, "TIME_STOP"), (2, 0.0, 7, None, "TIME_STOP"),
+            (2, None, None, 3.0, None)]
+    trades = spark.createDataFrame(rows, schema)
+    whole = metrics.ledger_metrics(trades).first()
+    assert whole.exits == {"PROFIT_TIER": 1, "TIME_STOP": 3}
+    assert tuple(whole)[:-1] == (5, 2, 2, 40.0, 0.75, 3.0, 1.5, 2.0, 5.0, 3.0, 3.0)
+    by = {r.k: r for r in metrics.ledger_metrics(trades, ["k"]).collect()}
+    assert by[1].exits == {"PROFIT_TIER": 1, "TIME_STOP": 2} and by[2].exits == {"TIME_STOP": 1}
+    assert (by[1].avg_win, by[1].avg_loss, by[2].avg_win, by[2].avg_loss, by[2].profit_factor) == (3.0, 3.0, 0.0, 0.0, 999.0)
+    none = metrics.ledger_metrics(trades.where("false")).first()
+    assert (none.total, none.wins, none.win_rate, none.avg_loss, none.total_profit, none.exits) == (0, 0, None, 0.01, 0.0, {})
