@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkbars.functions.windows import dealt
 from sparkbars.operators import maintenance as m
 from sparkbars.operators import regime
 from sparkbars.operators import universe as u
@@ -72,17 +73,15 @@ def sink_csv_bars(spark, root):
 
 def _csv_lines(spark, root):
     """Files per symbol as they come: some with a line that is cut off, some with a price that is no number, some with no bars."""
-    bars = views.bars(spark, root)
-    n = F.row_number().over(m.by_day())
+    bars = dealt(views.bars(spark, root)).withColumn("n", F.row_number().over(m.by_day()))
     cells = [F.col(c).cast("string") for c in ("d", *m.OHLC, "volume")]
     line = F.concat_ws(",", *cells)
     bad = F.when((F.col("sym") % 7 == 3) & (F.col("n") == 2), F.concat_ws(",", *cells[:3])).when(
         (F.col("sym") % 7 == 5) & (F.col("n") % 9 == 4), F.concat_ws(",", cells[0], F.lit("n/a"), *cells[2:]))
-    rows = bars.withColumn("n", n).where("sym % 11 != 6").select("sym", "n", F.coalesce(bad, line).alias("value"))
-    heads = bars.select("sym").distinct().select("sym", F.lit(0).alias("n"), F.lit("d,open,high,low,close,volume").alias("value"))
+    head = F.when(F.col("n") == 1, "d,open,high,low,close,volume\n").otherwise("")  # every file has one, also that of a symbol whose bars are left out
+    value = F.concat(head, F.when(F.expr("sym % 11 != 6"), F.concat(F.coalesce(bad, line), F.lit("\n"))).otherwise(""))
     path = scratch(spark, "csv-lines")
-    lines = rows.unionByName(heads).repartition("sym").sortWithinPartitions("sym", "n")  # one file a symbol, its head first
-    lines.select("sym", "value").write.partitionBy("sym").text(path)
+    csvfiles.write_files(bars.select("sym", "d", value.alias("value")).sortWithinPartitions("sym", "d").where("value != ''").select("sym", "value"), path)
     return path
 
 

@@ -272,3 +272,46 @@ def test_csv_folders_are_written_and_listed_by_a_few_tasks(spark, tmp_path):
     assert len(list((tmp_path / "csv").glob("sym=*/*.csv"))) == 40
     got = csvfiles.read_csv(spark, str(tmp_path / "csv"))
     assert got.count() == 480 and int(spark.conf.get(csvfiles.LISTING)) < 100
+
+
+def test_files_per_symbol_are_whole_however_their_lines_come(spark, tmp_path):
+    """One file a symbol and no other, with all of its lines in order, also where a symbol's lines come in several batches."""
+    rows = [(s, i, ("d,open\n" if i == 0 else "") + (f"{s},{i}\n" if s else "")) for s in range(12) for i in range(7 if s else 1)] + [(None, 0, "d,open\n")]
+    lines = spark.createDataFrame(rows, "sym bigint, n int, value string").repartition(3, "sym").sortWithinPartitions("sym", "n").select("sym", "value")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        csvfiles.write_files(lines, str(tmp_path / "files"))
+        csvfiles.write_files(lines.where("false"), str(tmp_path / "none"))
+        csvfiles.write_folders(lines, str(tmp_path / "folders"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = {str(s): "d,open\n" + "".join(f"{s},{i}\n" for i in range(7) if s) for s in range(12)}
+    assert {f.name: f.read_text() for f in (tmp_path / "files").iterdir()} == {f"{s}.csv": text for s, text in (want | {"null": "d,open\n"}).items()}
+    assert not list((tmp_path / "none").iterdir())
+    assert {f.parent.name[4:]: f.read_text() for f in (tmp_path / "folders").glob("sym=[0-9]*/*.txt")} == want
+
+
+def test_files_per_symbol_are_made_and_listed_by_a_few_tasks(spark, tmp_path):
+    """Bars are dealt to tasks that make the files, one a symbol in one folder, and folders are not listed by a task each."""
+    from sparkbars.plans import maintenance
+    from tests.test_queries import ROOT
+
+    made = maintenance._csv_lines(spark, ROOT)
+    syms = {r.sym for r in maintenance.views.bars(spark, ROOT).select("sym").distinct().collect()}
+    names = spark.read.format("binaryFile").load(made).select("path").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in names) == sorted(f"{s}.csv" for s in syms)
+    spark.conf.set(csvfiles.LISTING, "10000")
+    for s in range(40):
+        (tmp_path / f"sym={s}").mkdir()
+        (tmp_path / f"sym={s}" / "a.b.csv").write_text("d,open,high,low,close,volume\n2024-01-02,1,1,1,1,9\n")
+    report = csvfiles.csv_report(spark, str(tmp_path))
+    assert int(spark.conf.get(csvfiles.LISTING)) < 100
+    assert sorted(map(tuple, report.collect())) == sorted((str(s), 1, 0, None, "complete") for s in range(40))
+
+
+@pytest.mark.parametrize("file,sym", [("file:/a/7.csv", "7"), ("/a/x.y.csv", "x.y"), ("/a/sym=5/part-0.c000.txt", "5"), ("/a/sym=/7.csv", "7"),
+                                      ("/a/plain", ""), ("/a/.csv", ""), ("/a.b/plain", ""), ("/a/tail.", "tail"), ("/sym=3/b/8.csv", "8")])
+def test_symbol_of_a_file(spark, file, sym):
+    df = spark.createDataFrame([(file,)], "file string").select(csvfiles._symbol(F.col("file")))
+    assert df.first()[0] == sym
