@@ -315,3 +315,10 @@ def test_files_per_symbol_are_made_and_listed_by_a_few_tasks(spark, tmp_path):
 def test_symbol_of_a_file(spark, file, sym):
     df = spark.createDataFrame([(file,)], "file string").select(csvfiles._symbol(F.col("file")))
     assert df.first()[0] == sym
+
+
+def test_lines_longer_than_the_buffer_are_read_whole(spark, tmp_path):
+    head, good, long = "d,open,high,low,close,volume", "2024-01-02,1,1,1,1,9", "2024-01-03,1,1,1,1,9," + "x" * 200_000
+    (tmp_path / "7.csv").write_text("\n".join([head, good, long, "2024-01-04,2,2,2,2," + " " * 100_000 + "9", good]) + "\n")
+    report = csvfiles.csv_report(spark, str(tmp_path)).first()
+    assert (report.sym, report.broken, report.first_broken, report.status) == ("7", 4 - report.rows, long, "broken")
